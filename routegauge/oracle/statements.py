@@ -2,9 +2,10 @@
 
 from routegauge.oracle import derived  # noqa: F401
 from routegauge.oracle.builder import build
+from routegauge.oracle.routing import ROUTING
 from routegauge.oracle.scoring import SCORING
 
-_BODIES = {**SCORING}
+_BODIES = {**SCORING, **ROUTING}
 
 
 def statements() -> dict[str, str]:
