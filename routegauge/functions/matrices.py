@@ -7,9 +7,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLUSTERS = 3
+RECENT = 3
+EPS = 1e-12
+_DOUBLE, _DOUBLES, _INTS = T.DoubleType(), T.ArrayType(T.DoubleType()), T.ArrayType(T.IntegerType())
+_PRODUCTS = T.StructType([
+    T.StructField("cnt", T.LongType()), T.StructField("total", _DOUBLE),
+    T.StructField("squares", _DOUBLE), T.StructField("low", _DOUBLE),
+])
 LLOYD_STEPS = 20
+_PARTS = T.ArrayType(T.StructType([
+    T.StructField("part", T.StringType()), T.StructField("n", T.LongType()), T.StructField("squares", _DOUBLE),
+    T.StructField("cells", _DOUBLE), T.StructField("vsum", _DOUBLES), T.StructField("usum", _DOUBLES),
+]))
+_NEAR = T.ArrayType(T.StructType([T.StructField(c, _DOUBLE) for c in ("sim", "recent", "dist")]))
+_DOUBLES_ARROW = pa.list_(pa.float64())
+_PARTS_ARROW = pa.list_(pa.struct([
+    ("part", pa.string()), ("n", pa.int64()), ("squares", pa.float64()), ("cells", pa.float64()),
+    ("vsum", _DOUBLES_ARROW), ("usum", _DOUBLES_ARROW),
+]))
+_NEAR_ARROW = pa.list_(pa.struct([(c, pa.float64()) for c in ("sim", "recent", "dist")]))
 
 
 def _blocks(column: pa.Array) -> Iterator[np.ndarray]:
@@ -23,15 +42,86 @@ def _blocks(column: pa.Array) -> Iterator[np.ndarray]:
         lo, hi = outer[i], outer[i + 1]
         rows = hi - lo
         start, stop = inner_offsets[lo], inner_offsets[hi]
-        yield flat[start:stop].reshape(rows, -1) if rows else np.zeros((0, 0))
+        yield flat[start:stop].reshape(rows, -1).astype(np.float64) if rows else np.zeros((0, 0))
 
 
-@F.arrow_udf("struct<cnt:bigint,total:double,squares:double,low:double>")
+def _vectors(column: pa.Array) -> np.ndarray:
+    """A column of equally long arrays as one matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=-1, keepdims=True) + EPS)
+
+
+@F.arrow_udf(_DOUBLE)
+def cosine(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Row-wise cosine of two vector columns without nulls."""
+    return pa.array((_unit(_vectors(left)) * _unit(_vectors(right))).sum(axis=-1), pa.float64())
+
+
+@F.arrow_udf(_DOUBLE)
+def dot(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Row-wise dot product of two vector columns without nulls."""
+    return pa.array((_vectors(left) * _vectors(right)).sum(axis=-1), pa.float64())
+
+
+@F.arrow_udf(_DOUBLES)
+def vector_total(block: pa.Array) -> pa.Array:
+    """Element-wise sum of the vectors of a block."""
+    return pa.array([x.sum(axis=0) for x in _blocks(block)], _DOUBLES_ARROW)
+
+
+@F.arrow_udf(_PARTS)
+def block_parts(block: pa.Array, section: pa.Array, start: pa.Array, n: pa.Array) -> pa.Array:
+    """Partial sums of a block for each part of the request its rows belong to.
+
+    History rows count for hist, for early or late (halves, from four rows on) and for recent (last three).
+    """
+    out = []
+    for x, name, at, size in zip(_blocks(block), section.to_pylist(), start.to_pylist(), n.to_pylist()):
+        place = at + np.arange(len(x))
+        if name == "history":
+            half = size // 2
+            parts = {"hist": place >= 0, "recent": place >= size - RECENT}
+            if size >= 4:
+                parts |= {"early": place < half, "late": place >= half}
+        else:
+            parts = {"cand" if name == "candidate" else name: place >= 0}
+        unit = _unit(x)
+        out.append([
+            {"part": p, "n": int(mask.sum()), "squares": float(np.square(x[mask]).sum()), "cells": float(x[mask].sum()),
+             "vsum": x[mask].sum(axis=0), "usum": unit[mask].sum(axis=0)}
+            for p, mask in parts.items() if mask.any()
+        ])
+    return pa.array(out, _PARTS_ARROW)
+
+
+@F.arrow_udf(_NEAR)
+def near_history(block: pa.Array, unit_mean: pa.Array, recent_mean: pa.Array, centroid: pa.Array) -> pa.Array:
+    """Per row of a block its cosine to history and to recent history, and its distance to the centroid."""
+    sides = zip(_blocks(block), _vectors(unit_mean), _vectors(recent_mean), _vectors(centroid))
+    out = []
+    for x, hu, ru, hc in sides:
+        u = _unit(x)
+        rows = zip(u @ hu, u @ ru, np.linalg.norm(x - hc, axis=1))
+        out.append([{"sim": float(a), "recent": float(b), "dist": float(d)} for a, b, d in rows])
+    return pa.array(out, _NEAR_ARROW)
+
+
+@F.arrow_udf(_DOUBLES)
+def neighbour_cosines(block: pa.Array) -> pa.Array:
+    """Cosines of consecutive rows of a block."""
+    return pa.array([(_unit(x)[:-1] * _unit(x)[1:]).sum(axis=1) for x in _blocks(block)], _DOUBLES_ARROW)
+
+
+@F.arrow_udf(_PRODUCTS)
 def pair_products(left: pa.Array, right: pa.Array, same: pa.Array) -> pa.Array:
-    """Count, sum, sum of squares and minimum of the dot products between two blocks (i < j within one block)."""
+    """Count, sum, sum of squares and minimum of the cosines between two blocks (i < j within one block)."""
     out = []
     for a, b, one in zip(_blocks(left), _blocks(right), same.to_pylist()):
-        products = a @ b.T
+        products = _unit(a) @ _unit(b).T
         values = products[np.triu_indices(len(a), k=1)] if one else products.ravel()
         low = float(values.min()) if values.size else None
         out.append((values.size, float(values.sum()), float(np.square(values).sum()), low))
@@ -41,20 +131,20 @@ def pair_products(left: pa.Array, right: pa.Array, same: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(_DOUBLE)
 def top3_singular(block: pa.Array) -> pa.Array:
     """Sum of the three largest singular values of the centred block."""
     sums = [np.linalg.svd(x - x.mean(axis=0), compute_uv=False)[:3].sum() if len(x) else 0.0 for x in _blocks(block)]
     return pa.array(sums, pa.float64())
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(_DOUBLES)
 def gram(block: pa.Array) -> pa.Array:
     """Flattened X'X of a block; grams of the blocks of one group add up."""
     return pa.array([(x.T @ x).ravel() for x in _blocks(block)], pa.list_(pa.float64()))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(_DOUBLE)
 def top3_from_gram(grams: pa.Array, means: pa.Array, counts: pa.Array) -> pa.Array:
     """The same sum from the added grams: eigenvalues of X'X - n * mean mean'."""
     out = []
@@ -92,13 +182,13 @@ def lloyd(x: np.ndarray, k: int = CLUSTERS, steps: int = LLOYD_STEPS) -> np.ndar
     return labels
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(_INTS)
 def cluster_labels(block: pa.Array) -> pa.Array:
     """Label of every row of a block; blocks with fewer rows than clusters get none."""
     return pa.array([lloyd(x) if len(x) >= CLUSTERS else [] for x in _blocks(block)], pa.list_(pa.int32()))
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(_DOUBLES)
 def label_distances(left: pa.Array, left_labels: pa.Array, right: pa.Array, right_labels: pa.Array, same: pa.Array) -> pa.Array:
     """Per cluster the sum of distances over ordered pairs between two blocks (a block with itself once)."""
     out = []

@@ -20,18 +20,17 @@ CHUNK = 4096  # rows of one request that one window task orders
 BLOCK = 256  # vectors of one request that one matrix product holds
 LISTED = 8192  # values of one request whose order statistics come from a list
 BUCKETS = 4096  # value buckets per unit of similarity beyond that
-RECENT = 3
 PROBS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
 def usable(entries: DataFrame) -> DataFrame:
-    """Rows with a vector, their place dpos among the usable rows of the section, and its size n.
+    """Rows with a vector v, their place dpos among the usable rows of the section, and its size n.
 
     Places are counted per chunk of the original positions and shifted by the chunks before.
     """
-    rows = entries.filter(F.col("vec").isNotNull()).withColumns(
-        {"v": V.as_double("vec"), "chunk": F.floor(F.col("pos") / CHUNK)}
-    ).drop("vec")
+    rows = entries.filter(F.col("vec").isNotNull()).select(
+        "request_id", "section", "pos", F.floor(F.col("pos") / CHUNK).alias("chunk"), F.col("vec").alias("v")
+    )
     keys = ["request_id", "section", "chunk"]
     section = Window.partitionBy("request_id", "section")
     before = section.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,36 +39,42 @@ def usable(entries: DataFrame) -> DataFrame:
     )
     placed = rows.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
     joined = placed.join(sizes, keys)
-    return joined.withColumn("dpos", F.col("skip") + F.col("at") - 1).drop("skip", "at")
-
-
-def _roles() -> Column:
-    n, d = F.col("n"), F.col("dpos")
-    history = F.array_compact(F.array(
-        F.lit("hist"),
-        F.when(n >= 4, F.when(d < F.floor(n / 2), F.lit("early")).otherwise(F.lit("late"))),
-        F.when(d >= n - RECENT, F.lit("recent")),
-    ))
-    return F.when(F.col("section") == "history", history).when(
-        F.col("section") == "candidate", F.array(F.lit("cand"))
-    ).otherwise(F.array(F.lit("query")))
-
-
-def profile(rows: DataFrame) -> DataFrame:
-    """One row per request with size, sums and centroids of each part: hist, early, late, recent, cand, query."""
-    parts = ("hist", "early", "late", "recent", "cand", "query")
-    per_role = rows.withColumn("role", F.explode(_roles())).groupBy("request_id", "role").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(V.norm2(F.col("v"))).alias("squares"),
-        F.sum(V.total(F.col("v"))).alias("cells"),
-        V.mean_vector(F.col("v")).alias("centroid"),
-        V.mean_vector(V.unit_vector(F.col("v"))).alias("unit_mean"),
+    return joined.withColumn("dpos", F.col("skip") + F.col("at") - 1).drop("skip", "at", "chunk")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """request_id, section, block, blocks (how many the section has), n, m: at most BLOCK vectors in order."""
+    return rows.groupBy("request_id", "section", F.floor(F.col("dpos") / BLOCK).alias("block")).agg(
+        F.max("n").alias("n"),
+        F.max(F.ceil(F.col("n") / BLOCK)).alias("blocks"),
+        F.transform(F.array_sort(F.collect_list(F.struct("dpos", "v"))), lambda s: s["v"]).alias("m"),
     )
-    wide = per_role.groupBy("request_id").agg(*[
-        F.first(F.when(F.col("role") == r, F.struct("n", "squares", "cells", "centroid", "unit_mean")), True).alias(r)
-        for r in parts
+
+
+def profile(table: DataFrame) -> DataFrame:
+    """One row per request with sizes, sums and centroids of hist, early, late, recent, cand and query.
+
+    Each block contributes partial sums; only requests of several blocks need them added up.
+    """
+    names = ("hist", "early", "late", "recent", "cand", "query")
+    partial = table.select(
+        "request_id", "blocks", F.explode(M.block_parts("m", "section", F.col("block") * BLOCK, "n")).alias("p")
+    ).select("request_id", "blocks", "p.*")
+    single = partial.filter(F.col("blocks") == 1).drop("blocks")
+    added = partial.filter(F.col("blocks") > 1).groupBy("request_id", "part").agg(
+        *[F.sum(c).alias(c) for c in ("n", "squares", "cells")], *[V.sum_vector(F.col(c)).alias(c) for c in ("vsum", "usum")]
+    )
+
+    def mean(c: str) -> Column:
+        return F.transform(F.col(c), lambda x: x / F.col("n"))
+
+    means = single.unionByName(added).select(
+        "request_id", "part", "n", "squares", "cells", mean("vsum").alias("centroid"), mean("usum").alias("unit_mean")
+    )
+    return means.groupBy("request_id").agg(*[
+        F.first(F.when(F.col("part") == p, F.struct("n", "squares", "cells", "centroid", "unit_mean")), True).alias(p)
+        for p in names
     ])
-    return wide
 
 
 def _variance(part: str) -> Column:
@@ -122,17 +127,15 @@ def centroids(prof: DataFrame) -> DataFrame:
     )
 
 
-def adjacent(rows: DataFrame) -> DataFrame:
+def adjacent(table: DataFrame) -> DataFrame:
     """Mean and population deviation of the cosine between neighbours of the history."""
-    history = rows.filter(F.col("section") == "history").select("request_id", "chunk", "pos", V.unit_vector(F.col("v")).alias("u"))
-    ends = history.groupBy("request_id", "chunk").agg(F.max_by("u", "pos").alias("end"))
-    handed = ends.select(
-        "request_id", "chunk", F.lag("end").over(Window.partitionBy("request_id").orderBy("chunk")).alias("end")
-    ).filter(F.col("end").isNotNull())
-    inside = F.lag("u").over(Window.partitionBy("request_id", "chunk").orderBy("pos"))
-    linked = history.withColumn("prev", inside).join(handed, ["request_id", "chunk"], "left")
-    sims = linked.select("request_id", V.dot(F.coalesce("prev", "end"), F.col("u")).alias("s")).filter(F.col("s").isNotNull())
-    return sims.groupBy("request_id").agg(
+    history = table.filter(F.col("section") == "history")
+    inside = history.select("request_id", F.explode(M.neighbour_cosines("m")).alias("s"))
+    many = history.filter(F.col("blocks") > 1)
+    heads = many.filter(F.col("block") > 0).select("request_id", "block", F.get("m", F.lit(0)).alias("head"))
+    tails = many.select("request_id", (F.col("block") + 1).alias("block"), F.element_at("m", -1).alias("tail"))
+    across = heads.join(tails, ["request_id", "block"]).select("request_id", M.cosine("tail", "head").alias("s"))
+    return inside.unionByName(across).groupBy("request_id").agg(
         F.avg("s").alias("hist_adj_cos_mean"), F.stddev_pop("s").alias("hist_adj_cos_std")
     )
 
@@ -199,7 +202,7 @@ def similarity_statistics(sims: DataFrame, prefix: str, extra: list[Column] = ()
     )
 
 
-def candidate_history(rows: DataFrame, prof: DataFrame) -> DataFrame:
+def candidate_history(table: DataFrame, prof: DataFrame) -> DataFrame:
     """Every statistic of candidates against history.
 
     The mean cosine to all history vectors is one dot product with the mean of their unit vectors.
@@ -208,42 +211,28 @@ def candidate_history(rows: DataFrame, prof: DataFrame) -> DataFrame:
         "request_id", F.col("hist.unit_mean").alias("hu"), F.col("recent.unit_mean").alias("ru"),
         F.col("hist.centroid").alias("hc"),
     )
-    cands = rows.filter(F.col("section") == "candidate").select("request_id", "n", "v")
-    unit = cands.withColumn("u", V.unit_vector(F.col("v"))).join(sides, "request_id")
-    sims = unit.select(
-        "request_id", "n", V.dot(F.col("u"), F.col("hu")).alias("sim"), V.dot(F.col("u"), F.col("ru")).alias("recent"),
-        V.distance(F.col("v"), F.col("hc")).alias("dist"),
-    )
-    return similarity_statistics(sims, "history_candidate", [
+    cands = table.filter(F.col("section") == "candidate").select("request_id", "n", "m").join(sides, "request_id")
+    sims = cands.select("request_id", "n", F.explode(M.near_history("m", "hu", "ru", "hc")).alias("s"))
+    return similarity_statistics(sims.select("request_id", "n", "s.*"), "history_candidate", [
         F.avg("recent").alias("c2h_recentK_mean"), F.max("recent").alias("c2h_recentK_max"),
         F.avg("dist").alias("cand_density_wrt_hist"),
     ])
 
 
-def candidate_query(rows: DataFrame, prof: DataFrame) -> DataFrame:
+def candidate_query(table: DataFrame, prof: DataFrame) -> DataFrame:
     q = prof.filter(F.col("query").isNotNull() & F.col("cand").isNotNull()).select(
-        "request_id", F.col("query.centroid").alias("q")
+        "request_id", F.col("query.centroid").alias("q"), F.col("query.unit_mean").alias("qu")
     )
-    cands = rows.filter(F.col("section") == "candidate").select("request_id", "n", "v").join(q, "request_id")
-    sims = cands.select(
-        "request_id", "n", _cosine(F.col("v"), F.col("q")).alias("sim"), V.distance(F.col("v"), F.col("q")).alias("dist")
+    cands = table.filter(F.col("section") == "candidate").select("request_id", "n", "m").join(q, "request_id")
+    sims = cands.select("request_id", "n", F.explode(M.near_history("m", "qu", "qu", "q")).alias("s"))
+    return similarity_statistics(
+        sims.select("request_id", "n", "s.*"), "query_candidate", [F.avg("dist").alias("cand_density_wrt_query")]
     )
-    return similarity_statistics(sims, "query_candidate", [F.avg("dist").alias("cand_density_wrt_query")])
 
 
 # --- all-pairs work on blocks -----------------------------------------------------------------------
 
 
-def blocks(rows: DataFrame, section: str, unit: bool = False) -> DataFrame:
-    """request_id, block, blocks (how many the request has), m: at most BLOCK vectors in order."""
-    vec = V.unit_vector(F.col("v")) if unit else F.col("v")
-    part = rows.filter(F.col("section") == section)
-    return part.groupBy("request_id", F.floor(F.col("dpos") / BLOCK).alias("block")).agg(
-        F.max(F.ceil(F.col("n") / BLOCK)).alias("blocks"),
-        F.transform(F.array_sort(F.collect_list(F.struct("dpos", vec.alias("v")))), lambda s: s["v"]).alias("m"),
-    )
-
-
 def block_pairs(table: DataFrame, *columns: str) -> DataFrame:
     """Every unordered pair of blocks of a request, with the columns of both sides as l_* and r_*.
 
@@ -265,9 +254,9 @@ def block_pairs(table: DataFrame, *columns: str) -> DataFrame:
     return single.unionByName(paired.drop("from_block", "block"))
 
 
-def pairwise(rows: DataFrame) -> DataFrame:
+def pairwise(table: DataFrame) -> DataFrame:
     """Mean, population deviation and minimum of the cosine over all candidate pairs."""
-    pairs = block_pairs(blocks(rows, "candidate", unit=True), "m")
+    pairs = block_pairs(table.filter(F.col("section") == "candidate"), "m")
     parts = pairs.select("request_id", M.pair_products("l_m", "r_m", "same").alias("p")).select("request_id", "p.*")
     merged = parts.groupBy("request_id").agg(
         F.sum("cnt").alias("cnt"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low")
@@ -281,16 +270,14 @@ def pairwise(rows: DataFrame) -> DataFrame:
     )
 
 
-def singular_sum(rows: DataFrame, section: str, name: str) -> DataFrame:
+def singular_sum(table: DataFrame, prof: DataFrame, section: str, part: str, name: str) -> DataFrame:
     """Sum of the top three singular values of the centred matrix of a section."""
-    table = blocks(rows, section)
-    small = table.filter(F.col("blocks") == 1).select("request_id", M.top3_singular("m").alias(name))
-    merged = table.filter(F.col("blocks") > 1).select("request_id", "m", M.gram("m").alias("g")).groupBy("request_id").agg(
+    own = table.filter(F.col("section") == section)
+    small = own.filter(F.col("blocks") == 1).select("request_id", M.top3_singular("m").alias(name))
+    merged = own.filter(F.col("blocks") > 1).select("request_id", M.gram("m").alias("g")).groupBy("request_id").agg(
         V.sum_vector(F.col("g")).alias("g")
     )
-    centre = rows.filter((F.col("section") == section) & (F.col("n") > BLOCK)).groupBy("request_id").agg(
-        V.mean_vector(F.col("v")).alias("mean"), F.count(F.lit(1)).alias("cnt")
-    )
+    centre = prof.select("request_id", F.col(f"{part}.centroid").alias("mean"), F.col(f"{part}.n").alias("cnt"))
     large = merged.join(centre, "request_id").select("request_id", M.top3_from_gram("g", "mean", "cnt").alias(name))
     return small.unionByName(large)
 
@@ -336,15 +323,15 @@ def _large_labels(rows: DataFrame) -> DataFrame:
     return rows.join(centres, key).select("request_id", "dpos", nearest([F.col(c) for c in names]).alias("label"))
 
 
-def clusters(rows: DataFrame) -> DataFrame:
+def clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Entropy of the sizes of three clusters, and the deviation between clusters of their mean distance."""
-    table = blocks(rows, "candidate")
+    table = table.filter(F.col("section") == "candidate").drop("section", "n")
     small = table.filter(F.col("blocks") == 1).withColumn("labels", M.cluster_labels("m")).filter(F.size("labels") > 0)
     large_rows = rows.filter((F.col("section") == "candidate") & (F.col("n") > BLOCK))
-    if large_rows.isEmpty():
+    if table.filter(F.col("blocks") > 1).isEmpty():
         labelled = small
     else:
-        labels = _large_labels(large_rows.select("request_id", "dpos", "v")).groupBy(
+        labels = _large_labels(large_rows.select("request_id", "dpos", V.as_double("v").alias("v"))).groupBy(
             "request_id", F.floor(F.col("dpos") / BLOCK).alias("block")
         ).agg(F.transform(F.array_sort(F.collect_list(F.struct("dpos", "label"))), lambda s: s["label"]).alias("labels"))
         large = table.filter(F.col("blocks") > 1).join(labels, ["request_id", "block"])
@@ -358,13 +345,14 @@ def clusters(rows: DataFrame) -> DataFrame:
     ).groupBy("request_id").agg(*[F.sum(F.get("d", F.lit(j))).alias(f"d{j}") for j in range(M.CLUSTERS)])
     joined = sizes.join(sums, "request_id")
     count = reduce(Column.__add__, [F.col(f"n{j}") for j in range(M.CLUSTERS)])
-    shares = [F.col(f"n{j}") / count for j in range(M.CLUSTERS)]
+    shares = [F.try_divide(f"n{j}", count) for j in range(M.CLUSTERS)]
     entropy = reduce(Column.__add__, [F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0)) for p in shares])
     means = F.array_compact(F.array(*[
-        F.when(F.col(f"n{j}") >= 2, F.col(f"d{j}") / (F.col(f"n{j}") * F.col(f"n{j}"))) for j in range(M.CLUSTERS)
+        F.when(F.col(f"n{j}") >= 2, F.try_divide(f"d{j}", F.col(f"n{j}") * F.col(f"n{j}"))) for j in range(M.CLUSTERS)
     ]))
-    centre = F.aggregate("means", F.lit(0.0), lambda s, x: s + x) / F.size("means")
-    spread_of = F.sqrt(F.aggregate("means", F.lit(0.0), lambda s, x: s + (x - F.col("mu")) * (x - F.col("mu"))) / F.size("means"))
+    centre = F.try_divide(F.aggregate("means", F.lit(0.0), lambda s, x: s + x), F.size("means"))
+    squares = F.aggregate("means", F.lit(0.0), lambda s, x: s + (x - F.col("mu")) * (x - F.col("mu")))
+    spread_of = F.sqrt(F.try_divide(squares, F.size("means")))
     return joined.select("request_id", entropy.alias("cand_cluster_size_entropy_k3"), means.alias("means")).withColumn(
         "mu", centre
     ).select("request_id", "cand_cluster_size_entropy_k3", F.when(F.size("means") > 0, spread_of).alias("ambiguous_cluster_score"))
@@ -408,15 +396,18 @@ def _only(features: DataFrame, allowed: DataFrame) -> DataFrame:
 def rec_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """The 36 recommendation features."""
     rows = usable(entries)
-    prof = profile(rows)
+    table = blocks(rows)
+    prof = profile(table)
     sided = prof.filter(_both_sides()).select("request_id")
     parts = [
-        spread(prof), drift(prof), centroids(prof), candidate_history(rows, prof),
+        spread(prof), drift(prof), centroids(prof), candidate_history(table, prof),
     ] + [
         _only(t, sided)
         for t in (
-            adjacent(rows), pairwise(rows), singular_sum(rows, "history", "hist_pca_singular_top3_sum"),
-            singular_sum(rows, "candidate", "cand_pca_singular_top3_sum"), clusters(rows),
+            adjacent(table), pairwise(table),
+            singular_sum(table, prof, "history", "hist", "hist_pca_singular_top3_sum"),
+            singular_sum(table, prof, "candidate", "cand", "cand_pca_singular_top3_sum"),
+            clusters(rows, table),
         )
     ]
     joined = reduce(lambda a, b: a.join(b, "request_id", "left"), parts)
@@ -439,12 +430,16 @@ def ir_sides(prof: DataFrame) -> DataFrame:
 def ir_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """The 27 retrieval features; the threshold shares exist but stay 0 for retrieval."""
     rows = usable(entries)
-    prof = profile(rows)
+    table = blocks(rows)
+    prof = profile(table)
     sides = ir_sides(prof)
     sided = sides.select("request_id")
-    parts = [sides, candidate_query(rows, prof).drop(*UNSET_FOR_IR)] + [
+    parts = [sides, candidate_query(table, prof).drop(*UNSET_FOR_IR)] + [
         _only(t, sided)
-        for t in (pairwise(rows), singular_sum(rows, "candidate", "cand_pca_singular_top3_sum"), clusters(rows))
+        for t in (
+            pairwise(table), singular_sum(table, prof, "candidate", "cand", "cand_pca_singular_top3_sum"),
+            clusters(rows, table),
+        )
     ]
     joined = reduce(lambda a, b: a.join(b, "request_id", "left"), parts)
     for c in UNSET_FOR_IR:

@@ -2,10 +2,11 @@
 
 from routegauge.oracle import derived  # noqa: F401
 from routegauge.oracle.builder import build
+from routegauge.oracle.features import FEATURES
 from routegauge.oracle.routing import ROUTING
 from routegauge.oracle.scoring import SCORING
 
-_BODIES = {**SCORING, **ROUTING}
+_BODIES = {**SCORING, **ROUTING, **FEATURES}
 
 
 def statements() -> dict[str, str]:

@@ -1,6 +1,6 @@
 """Collects every registered plan."""
 
-from routegauge.plans import routing, scoring  # noqa: F401
+from routegauge.plans import features, routing, scoring  # noqa: F401
 from routegauge.plans.registry import PLANS, Plan
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routegauge import fixed_values as fv
-from routegauge.functions import vectors as V
+from routegauge.functions import matrices as M
 from routegauge.functions.hashing import h32, unit
 from routegauge.session import read_table
 
@@ -214,15 +214,15 @@ def ir_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ir_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, sims: array of (letter, cosine to the query) for the ten candidates."""
-    emb = embeddings(spark, sf_dir).select("vec_id", V.unit_vector(V.as_double("vec")).alias("u"))
-    n_emb = row_count(embeddings(spark, sf_dir))
+    emb = embeddings(spark, sf_dir)
+    n_emb = row_count(emb)
     wanted = emb.select(
         F.col("vec_id").alias("request_id"),
-        F.col("u").alias("q"),
+        F.col("vec").alias("q"),
         F.posexplode(F.array(*[F.lit(c) for c in LETTERS])).alias("pos", "id"),
     ).withColumn("vec_id", (F.col("request_id") * 7 + F.col("pos") * 13 + 1) % n_emb)
     sims = wanted.join(emb, "vec_id").select(
-        "request_id", "id", F.round(V.dot(F.col("q"), F.col("u")), 9).alias("cos")
+        "request_id", "id", F.round(M.cosine("q", "vec"), 9).alias("cos")
     )
     grouped = sims.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("id", "cos"))).alias("sims"))
     return spread(grouped, "request_id")
