@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from routegauge.functions import matrices as M
 from routegauge.functions import vectors as V
-from routegauge.session import cut_lineage
+from routegauge.session import cut_lineage, materialise
 
 CHUNK = 4096  # rows of one request that one window task orders
 BLOCK = 256  # vectors of one request that one matrix product holds
@@ -396,8 +396,8 @@ def _only(features: DataFrame, allowed: DataFrame) -> DataFrame:
 def rec_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """The 36 recommendation features."""
     rows = usable(entries)
-    table = blocks(rows)
-    prof = profile(table)
+    table = materialise(blocks(rows), "vector-blocks", "section")
+    prof = materialise(profile(table), "vector-profile")
     sided = prof.filter(_both_sides()).select("request_id")
     parts = [
         spread(prof), drift(prof), centroids(prof), candidate_history(table, prof),
@@ -430,8 +430,8 @@ def ir_sides(prof: DataFrame) -> DataFrame:
 def ir_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """The 27 retrieval features; the threshold shares exist but stay 0 for retrieval."""
     rows = usable(entries)
-    table = blocks(rows)
-    prof = profile(table)
+    table = materialise(blocks(rows), "vector-blocks", "section")
+    prof = materialise(profile(table), "vector-profile")
     sides = ir_sides(prof)
     sided = sides.select("request_id")
     parts = [sides, candidate_query(table, prof).drop(*UNSET_FOR_IR)] + [

@@ -5,8 +5,9 @@ from routegauge.oracle.builder import build
 from routegauge.oracle.features import FEATURES
 from routegauge.oracle.routing import ROUTING
 from routegauge.oracle.scoring import SCORING
+from routegauge.oracle.texts import TEXTS
 
-_BODIES = {**SCORING, **ROUTING, **FEATURES}
+_BODIES = {**SCORING, **ROUTING, **FEATURES, **TEXTS}
 
 
 def statements() -> dict[str, str]:

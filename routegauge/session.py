@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in reliable storage; the partition layout and the order inside partitions are kept."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
+    """Write once as Parquet in the checkpoint folder and read back, for a table many branches use.
+
+    Unlike a checkpoint, readers of the copy prune columns and partitions.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
