@@ -202,3 +202,24 @@ def label_distances(left: pa.Array, left_labels: pa.Array, right: pa.Array, righ
             sums.append(float(total) if one else 2.0 * float(total))
         out.append(sums)
     return pa.array(out, pa.list_(pa.float64()))
+
+
+def margins_function(weights: np.ndarray, bias: np.ndarray, yes: list[list[int]], no: list[list[int]]):
+    """Arrow function vec -> one margin per verbalizer set: logsumexp of the yes logits minus that of the no logits.
+
+    ``weights`` holds the few output rows of the verbalizer tokens; yes and no list its rows per set.
+    """
+
+    def logsumexp(x: np.ndarray) -> np.ndarray:
+        top = x.max(axis=1, keepdims=True)
+        return (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0]
+
+    @F.arrow_udf(_DOUBLES)
+    def margins(vec: pa.Array) -> pa.Array:
+        if not len(vec):
+            return pa.array([], _DOUBLES_ARROW)
+        logits = _vectors(vec) @ weights.T + bias
+        columns = [logsumexp(logits[:, y]) - logsumexp(logits[:, n]) for y, n in zip(yes, no)]
+        return pa.array(list(np.stack(columns, axis=1)), _DOUBLES_ARROW)
+
+    return margins

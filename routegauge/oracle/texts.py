@@ -181,10 +181,15 @@ SELECT conv_id AS request_id, turn::INT AS turn, role, text AS content FROM conv
 WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')
 """)
 
+cte("x_loaded", """
+SELECT s.request_id, any_value(s.split) AS split, count(h.item_id)::INT AS n_history
+FROM x_split s LEFT JOIN x_history h ON h.request_id = s.request_id GROUP BY s.request_id
+""")
+
 TEXTS = {
     "load_split": """
-        WITH s AS (SELECT request_id, split, (SELECT count(*) FROM x_history h WHERE h.request_id = x_split.request_id)::INT AS n_history FROM x_split)
-        SELECT * FROM s UNION ALL (SELECT request_id, 'debug', n_history FROM s WHERE split = 'train' ORDER BY request_id LIMIT 10)""",
+        SELECT * FROM x_loaded UNION ALL
+        (SELECT request_id, 'debug', n_history FROM x_loaded WHERE split = 'train' ORDER BY request_id LIMIT 10)""",
     "chat_inputs": "SELECT conv_id AS request_id, turn::INT AS turn, role, text AS content FROM conversations",
     "prompt_fallback": """
         SELECT c.conv_id AS request_id, coalesce(any_value(d.text), arg_min(c.text, c.turn)) AS prompt
@@ -206,7 +211,7 @@ TEXTS = {
         HAVING count(*) FILTER (WHERE role = 'assistant') = 0""",
     "prompt_sections": """
         SELECT request_id, 'history' AS section, h_end::INT AS s_start, c_start::INT AS s_end FROM x_headers
-        UNION ALL SELECT request_id, 'candidate', c_end, size FROM x_headers""",
+        UNION ALL SELECT request_id, 'candidate', c_end::INT, size::INT FROM x_headers""",
     "item_blocks": "SELECT request_id, no::INT AS no, item_id, c_start::INT AS c_start, c_end::INT AS c_end FROM x_blocks",
     "span_tokens": "SELECT request_id, no::INT AS no, item_id, ts::INT AS tok_start, te::INT AS tok_end FROM x_spans",
     "align_blocks": "SELECT request_id, item_id, ts::INT AS tok_start, te::INT AS tok_end, section FROM x_aligned",

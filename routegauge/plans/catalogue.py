@@ -1,6 +1,6 @@
 """Collects every registered plan."""
 
-from routegauge.plans import features, routing, scoring, texts  # noqa: F401
+from routegauge.plans import features, models, routing, scoring, texts  # noqa: F401
 from routegauge.plans.registry import PLANS, Plan
 
 

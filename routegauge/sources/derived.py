@@ -367,3 +367,52 @@ def probe_vectors(spark: SparkSession, sf_dir: str, req: DataFrame) -> DataFrame
     neutral = req.select("request_id", F.lit(0).alias("q"), F.lit("neutral").alias("side"),
                          (F.col("request_id") % n_emb).alias("vec_id"))
     return asked.unionByName(neutral).join(emb, "vec_id").select("request_id", "q", "side", "vec")
+
+
+def verbalizer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """set, side, variant_no, token_id: first token of every variant that the documents' vocabulary knows."""
+    emb_count = row_count(embeddings(spark, sf_dir))
+    words = read_table(spark, sf_dir, "documents").select(
+        F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), F.lit(1))).alias("word")
+    )
+    listed = [
+        (name, side, i, variant.strip())
+        for name, sides in fv.VERBALIZERS.items() for side, variants in sides.items() for i, variant in enumerate(variants)
+    ]
+    variants = spark.createDataFrame(listed, "set string, side string, variant_no int, word string")
+    used = words.filter(F.col("word").isin(*sorted({v[3] for v in listed}))).distinct()
+    return variants.join(used, "word").select(
+        "set", "side", "variant_no", (h32("word") % emb_count).alias("token_id")
+    )
+
+
+VERBALIZER_SETS = ("01", "ab", "tf", "yn")
+
+
+def verbalizer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """set, side, w, b: two output rows per side of each set, taken from the first sixteen vectors."""
+    first = embeddings(spark, sf_dir).filter(F.col("vec_id") < 16)
+    name = F.element_at(F.array(*[F.lit(n) for n in VERBALIZER_SETS]), (F.floor(F.col("vec_id") / 4) + 1).cast("int"))
+    side = F.when(F.col("vec_id") % 4 < 2, "yes").otherwise("no")
+    return first.select(name.alias("set"), side.alias("side"), F.col("vec").alias("w"), (F.col("vec_id") / 100.0).alias("b"))
+
+
+def context_features(spark: SparkSession, sf_dir: str, req: DataFrame) -> DataFrame:
+    """Genre entropy of the history and mean popularity of history and candidates."""
+    line = read_table(spark, sf_dir, "lineitem")
+    popularity = line.groupBy(F.col("l_partkey").alias("item_id")).agg(F.count(F.lit(1)).alias("bought"))
+    genre = items(spark, sf_dir).select("item_id", "genres")
+    listed = request_items(req, "history").withColumn("section", F.lit("h")).unionByName(
+        request_items(req, "candidates").withColumn("section", F.lit("c"))
+    ).join(popularity, "item_id", "left").join(genre, "item_id", "left")
+    means = listed.groupBy("request_id").agg(
+        F.avg(F.when(F.col("section") == "c", F.coalesce("bought", F.lit(0)))).alias("candidate_avg_popularity"),
+        F.avg(F.when(F.col("section") == "h", F.coalesce("bought", F.lit(0)))).alias("history_avg_popularity"),
+    )
+    counts = listed.filter((F.col("section") == "h") & F.col("genres").isNotNull()).groupBy("request_id", "genres").agg(
+        F.count(F.lit(1)).alias("c")
+    )
+    totals = counts.groupBy("request_id").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s")
+    ).select("request_id", (F.log("n") - F.col("s") / F.col("n")).alias("history_genre_entropy"))
+    return means.join(totals, "request_id", "left")
