@@ -336,9 +336,11 @@ def clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
         ).agg(F.transform(F.array_sort(F.collect_list(F.struct("dpos", "label"))), lambda s: s["label"]).alias("labels"))
         large = table.filter(F.col("blocks") > 1).join(labels, ["request_id", "block"])
         labelled = small.unionByName(large)
-    sizes = labelled.groupBy("request_id").agg(*[
-        F.sum(F.size(F.filter("labels", lambda x, j=j: x == j))).alias(f"n{j}") for j in range(M.CLUSTERS)
-    ])
+
+    def holds(j: int) -> Column:
+        return F.size(F.filter("labels", lambda label: label == j))
+
+    sizes = labelled.groupBy("request_id").agg(*[F.sum(holds(j)).alias(f"n{j}") for j in range(M.CLUSTERS)])
     pairs = block_pairs(labelled, "m", "labels")
     sums = pairs.select(
         "request_id", M.label_distances("l_m", "l_labels", "r_m", "r_labels", "same").alias("d")
