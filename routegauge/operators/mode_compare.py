@@ -63,6 +63,23 @@ def pair_modes(direct: DataFrame, cot: DataFrame, columns: list[str]) -> DataFra
     return joined.select(checked.alias("request_id"), *[f"direct_{x}" for x in columns], *[f"cot_{x}" for x in columns])
 
 
+def pair_long(long: DataFrame, columns: list[str]) -> DataFrame:
+    """The same pairing from one long table with the column ``mode``, in a single aggregate."""
+
+    def of(mode: str, column: str) -> Column:
+        return F.max(F.when(F.col("mode") == mode, F.col(f"`{column}`"))).alias(f"{mode}_{column}")
+
+    paired = long.groupBy("request_id").agg(
+        F.count_if(F.col("mode") == "direct").alias("_d"), F.count_if(F.col("mode") == "cot").alias("_c"),
+        *[of(mode, c) for mode in ("direct", "cot") for c in columns],
+    )
+    one_each = (F.col("_d") == 1) & (F.col("_c") == 1)
+    checked = F.when(one_each, F.col("request_id")).otherwise(
+        F.raise_error(F.lit("Direct and CoT have different samples")).cast("bigint")
+    )
+    return paired.select(checked.alias("request_id"), *[f"`{m}_{c}`" for m in ("direct", "cot") for c in columns])
+
+
 def mode_label(paired: DataFrame, metric: str = "avg_ndcg@10") -> DataFrame:
     """1 when step-by-step is better, 0 when direct is, 2 for a tie; falls back to plain avg_ndcg."""
     if f"cot_{metric}" not in paired.columns:

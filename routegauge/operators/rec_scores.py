@@ -19,8 +19,8 @@ def parse_answers(runs: DataFrame) -> DataFrame:
 
 
 def score_runs(runs: DataFrame, requests: DataFrame, ks=(5, 10)) -> DataFrame:
-    """Per run ndcg and recall at each k; NULL where the answer held no id."""
-    parsed = runs.select(*KEYS, "run", rec_ids(F.col("text")).alias("pred"))
+    """Per run ndcg and recall at each k (NULL where the answer held no id), and its token count."""
+    parsed = runs.select(*KEYS, "run", "num_tokens", rec_ids(F.col("text")).alias("pred"))
     joined = parsed.join(requests.select("request_id", "truth"), "request_id")
     pred, truth = F.col("pred"), F.col("truth")
     return joined.select(
@@ -28,19 +28,28 @@ def score_runs(runs: DataFrame, requests: DataFrame, ks=(5, 10)) -> DataFrame:
         "run",
         *[LM.binary_ndcg(pred, truth, k).alias(f"ndcg{k}") for k in ks],
         *[LM.recall(pred, truth, k).alias(f"recall{k}") for k in ks],
+        "num_tokens",
     )
 
 
+def mean_tokens():
+    """Aggregate: mean token count over runs, a lost count being 0."""
+    return F.avg(F.coalesce(F.col("num_tokens"), F.lit(0))).alias("avg_tokens")
+
+
 def average_tokens(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Mean tokens over runs for every wanted (request_id, mode); lost counts and missing runs give 0."""
-    mean = runs.groupBy(*KEYS).agg(F.avg(F.coalesce(F.col("num_tokens"), F.lit(0))).alias("avg_tokens"))
+    mean = runs.groupBy(*KEYS).agg(mean_tokens())
     return wanted.select(*KEYS).join(mean, list(KEYS), "left").select(
         *KEYS, F.coalesce("avg_tokens", F.lit(0.0)).alias("avg_tokens")
     )
 
 
-def request_metrics(scored: DataFrame, k_runs: int = fv.K_RUNS) -> DataFrame:
-    """Wide table: @10 from the first k runs (-1 marks no answer), @5 from all runs; means skip failures."""
+def request_metrics(scored: DataFrame, k_runs: int = fv.K_RUNS, tokens: bool = False) -> DataFrame:
+    """Wide table: @10 from the first k runs (-1 marks no answer), @5 from all runs; means skip failures.
+
+    ``tokens`` adds avg_tokens to the same aggregate.
+    """
 
     def cell(metric: str, i: int):
         value = F.max(F.when(F.col("run") == i, F.col(metric)))
@@ -54,10 +63,11 @@ def request_metrics(scored: DataFrame, k_runs: int = fv.K_RUNS) -> DataFrame:
         F.coalesce(F.avg("ndcg5"), F.lit(0.0)).alias("avg_ndcg@5"),
         F.coalesce(F.avg(F.when(first, F.col("recall10"))), F.lit(0.0)).alias("avg_recall@10"),
         F.coalesce(F.avg(F.when(first, F.col("ndcg10"))), F.lit(0.0)).alias("avg_ndcg@10"),
+        *([mean_tokens()] if tokens else []),
     )
 
 
-def summarize(metrics: DataFrame, tokens: DataFrame, by: list[str], ks=(5, 10)) -> DataFrame:
+def summarize(metrics: DataFrame, by: list[str], ks=(5, 10)) -> DataFrame:
     """Mean over requests of recall, ndcg and tokens for each group."""
     means = [F.avg(f"avg_{m}@{k}").alias(f"{m}@{k}") for k in ks for m in ("recall", "ndcg")]
-    return metrics.join(tokens, list(KEYS)).groupBy(*by).agg(*means, F.avg("avg_tokens").alias("avg_tokens"))
+    return metrics.groupBy(*by).agg(*means, F.avg("avg_tokens").alias("avg_tokens"))

@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from routegauge.operators import vector_features as E
 from routegauge.plans.registry import plan, rounded
+from routegauge.session import materialise
 from routegauge.sources import derived as D
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The blocks, written once because profile, joins and matrix products all read them."""
+    return materialise(E.blocks(rows), "vector-blocks", "section")
+
+
 def _rec(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     req = D.requests(spark, sf_dir)
-    table = E.blocks(E.usable(D.rec_vectors(spark, sf_dir, req)))
+    table = _blocks(E.usable(D.rec_vectors(spark, sf_dir, req)))
     return req, table, E.profile(table)
 
 
 def _ir(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    table = E.blocks(E.usable(D.ir_vectors(spark, sf_dir)))
+    table = _blocks(E.usable(D.ir_vectors(spark, sf_dir)))
     req = D.embeddings(spark, sf_dir).select(F.col("vec_id").alias("request_id"))
     return req, table, E.profile(table)
 
@@ -100,7 +106,7 @@ def centroid_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cand_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = D.requests(spark, sf_dir)
     rows = E.usable(D.rec_vectors(spark, sf_dir, req))
-    table = E.blocks(rows)
+    table = _blocks(rows)
     names = ["cand_cluster_size_entropy_k3", "ambiguous_cluster_score"]
     return _filled(req, _sided(E.profile(table), E.clusters(rows, table)), names)
 

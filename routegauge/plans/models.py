@@ -12,7 +12,7 @@ from routegauge.operators import checklist as C
 from routegauge.operators import labels as L
 from routegauge.operators import policies as P
 from routegauge.operators import training as T
-from routegauge.operators.mode_compare import load_metrics, pair_modes
+from routegauge.operators.mode_compare import load_metrics, pair_long
 from routegauge.plans import routing as R
 from routegauge.plans.registry import plan, rounded
 from routegauge.plans.scoring import rec_wide_with_tokens
@@ -89,8 +89,7 @@ def bundle_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = rec_wide_with_tokens(spark, sf_dir)
     loaded = load_metrics(wide, load_recall=True, keys=("request_id", "mode", "avg_tokens"))
     names = ["mean_ndcg", "mean_recall", "avg_tokens"]
-    paired = pair_modes(loaded.filter(F.col("mode") == "direct"), loaded.filter(F.col("mode") == "cot"), names)
-    return paired.withColumn("split", D.split_of()).withColumn(
+    return pair_long(loaded, names).withColumn("split", D.split_of()).withColumn(
         "delta_tokens_mean", F.col("cot_avg_tokens") - F.col("direct_avg_tokens")
     ).join(feature_table(spark, sf_dir), "request_id", "left")
 

@@ -11,7 +11,7 @@ from routegauge import fixed_values as fv
 from routegauge.functions.hashing import unit
 from routegauge.operators import labels as L
 from routegauge.operators import policies as P
-from routegauge.operators.mode_compare import pair_modes
+from routegauge.operators.mode_compare import pair_long
 from routegauge.operators.ranking import with_rank
 from routegauge.plans.registry import plan, rounded
 from routegauge.plans.scoring import rec_wide, rec_wide_with_tokens
@@ -39,10 +39,7 @@ def mode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """request_id, split, mu_d, mu_c, var_d, var_c, tok_d, tok_c, advantage, weight, score (ties included)."""
-    flat = mode_statistics(spark, sf_dir)
-    paired = pair_modes(
-        flat.filter(F.col("mode") == "direct"), flat.filter(F.col("mode") == "cot"), ["mu", "var", "tok"]
-    )
+    paired = pair_long(mode_statistics(spark, sf_dir), ["mu", "var", "tok"])
     renamed = paired.select(
         "request_id",
         D.split_of().alias("split"),
@@ -306,8 +303,7 @@ def policy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         P.apply_symmetric({"name": "none"}).alias("pred_none"),
     )
     names = ["avg_recall@5", "avg_ndcg@5", "avg_recall@10", "avg_ndcg@10", "avg_tokens"]
-    wide = rec_wide_with_tokens(spark, sf_dir)
-    paired = pair_modes(wide.filter(F.col("mode") == "direct"), wide.filter(F.col("mode") == "cot"), names)
+    paired = pair_long(rec_wide_with_tokens(spark, sf_dir), names)
     return rounded(P.policy_metrics(predictions, paired, names))
 
 

@@ -29,15 +29,12 @@ def rec_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec_wide_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec_wide(spark, sf_dir).join(_rec_tokens(D.requests(spark, sf_dir)), ["request_id", "mode"])
+    return rec_scores.request_metrics(_rec_scored(spark, sf_dir), tokens=True)
 
 
 def rec_pairs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
-    """Both modes of each request side by side, from one pass over the long table."""
-    wide = rec_wide_with_tokens(spark, sf_dir)
-    return mode_compare.pair_modes(
-        wide.filter(F.col("mode") == "direct"), wide.filter(F.col("mode") == "cot"), columns
-    )
+    """Both modes of each request side by side, from one pass over the answers."""
+    return mode_compare.pair_long(rec_wide_with_tokens(spark, sf_dir), columns)
 
 
 @plan
@@ -90,8 +87,8 @@ def rec_metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def rec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = rec_wide(spark, sf_dir).withColumn("split", D.split_of())
-    return rounded(rec_scores.summarize(wide, _rec_tokens(D.requests(spark, sf_dir)), ["mode", "split"]))
+    wide = rec_wide_with_tokens(spark, sf_dir).withColumn("split", D.split_of())
+    return rounded(rec_scores.summarize(wide, ["mode", "split"]))
 
 
 @plan
@@ -197,5 +194,4 @@ def ir_metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ir_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = ir_wide(spark, sf_dir)
     runs, _ = _ir_inputs(spark, sf_dir)
-    tokens = rec_scores.average_tokens(runs, wide)
-    return rounded(ir_scores.summarize(wide, tokens, ["mode"]))
+    return rounded(ir_scores.summarize(wide, rec_scores.average_tokens(runs, wide), ["mode"]))
