@@ -88,6 +88,7 @@ def select_margins(questions: DataFrame, given: DataFrame, prefix: str = "mraw",
     An aggregate present in ``given`` is kept; an absent one is recomputed, where the top margin is the
     mean of the ``topk`` smallest ones and a request without margins has win_count 0.
     """
+    questions = questions.filter(F.col("margin_raw").isNotNull())
     seen = [r["q"] for r in questions.select("q").distinct().orderBy("q").collect()]  # question numbers
     lowest = F.slice(F.array_sort(F.collect_list("margin_raw")), 1, max(1, topk))
     table = questions.groupBy("request_id").agg(

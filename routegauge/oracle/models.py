@@ -115,8 +115,9 @@ MODELS = {
         SELECT score, any_value(w)::DOUBLE AS weight, {r6('max(lo)')} AS calibrated
         FROM x_sums s JOIN x_lowest l ON l.i = s.i GROUP BY score""",
     "write_entries": """
-        SELECT section, count(*) AS rows, count(*) FILTER (WHERE item_id % 101 <> 5) AS with_vector FROM (
-          SELECT 'history' AS section, item_id FROM x_history WHERE request_id % 97 <> 3 UNION ALL SELECT 'candidate', item_id FROM x_cands)
+        SELECT section, count(*) AS rows,
+          count(*) FILTER (WHERE item_id % 101 <> 5 AND NOT (section = 'history' AND request_id % 97 = 3)) AS with_vector FROM (
+          SELECT 'history' AS section, request_id, item_id FROM x_history UNION ALL SELECT 'candidate', request_id, item_id FROM x_cands)
         GROUP BY section""",
 }
 

@@ -59,7 +59,8 @@ def checklist_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checklist_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question 7 was lost for some requests, and odd requests came without aggregates."""
     questions = question_table(spark, sf_dir)
-    kept = questions.filter(~((F.col("request_id") % 13 == 0) & (F.col("q") == 7)))
+    lost = (F.col("request_id") % 13 == 0) & (F.col("q") == 7)
+    kept = questions.withColumn("margin_raw", F.when(~lost, F.col("margin_raw")))
     stored = C.aggregates(questions)
     even = F.col("request_id") % 2 == 0
     names = ["margin_mean_raw", "win_count", "top3_margin_mean", "gap_mean"]

@@ -27,15 +27,6 @@ def row_count(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash on the keys into as many partitions as the session shuffles into, whatever the byte size.
-
-    Adaptive execution merges small partitions by bytes; use this where few bytes mean much work.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
-
 # --- recommendation ---------------------------------------------------------------------------------
 
 
@@ -71,8 +62,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     n_part = row_count(read_table(spark, sf_dir, "part"))
-    # Compact rows that answers later expand sixtyfold: keep full parallelism on the key all joins use.
-    numbered = spread(sample, "request_id").withColumn("n_part", n_part)
+    numbered = sample.withColumn("n_part", n_part)
     drawn = F.transform(
         F.sequence(F.lit(0), F.lit(NEGATIVES - 1)),
         lambda j: (F.col("request_id") * 31 + j * 97) % F.col("n_part"),
@@ -108,6 +98,13 @@ def request_items(req: DataFrame, section: str) -> DataFrame:
     return req.select("request_id", F.posexplode(section).alias("pos", "item_id"))
 
 
+def mode_and_run(most: int) -> Column:
+    """One row per mode and run number. The list is constant, so no filter on it reaches the shared scans below."""
+    return F.explode(F.array(*[
+        F.struct(F.lit(m).alias("mode"), F.lit(i).alias("run")) for m in MODES for i in range(1, most + 1)
+    ]))
+
+
 def rec_runs(req: DataFrame) -> DataFrame:
     """Model answers: request_id, mode, run, text, num_tokens (NULL when the count was lost)."""
     n_runs = F.when(F.col("request_id") % 10 == 9, 3).when(F.col("request_id") % 10 == 4, 6).otherwise(5)
@@ -115,9 +112,8 @@ def rec_runs(req: DataFrame) -> DataFrame:
         "request_id",
         "truth",
         "candidates",
-        F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode"),
-        F.sequence(F.lit(1), n_runs).alias("runs"),
-    ).withColumn("run", F.explode("runs"))
+        mode_and_run(6).alias("g"),
+    ).select("*", "g.mode", "g.run").filter(F.col("run") <= n_runs)
     bonus = F.when(F.col("mode") == "direct", F.lit(0.2)).otherwise(
         F.when(F.col("request_id") % 3 != 0, F.lit(0.35)).otherwise(F.lit(0.05))
     )
@@ -168,19 +164,17 @@ def rec_vectors(spark: SparkSession, sf_dir: str, req: DataFrame) -> DataFrame:
     """Long entry table: request_id, section, pos, item_id, vec (NULL where pooling found no token)."""
     emb = embeddings(spark, sf_dir)
     n_emb = row_count(emb)
-    history = (
-        request_items(req, "history")
-        .filter(F.col("request_id") % 97 != 3)  # these requests arrive with an empty history
-        .withColumn("section", F.lit("history"))
-    )
+    history = request_items(req, "history").withColumn("section", F.lit("history"))
     cands = request_items(req, "candidates").withColumn("section", F.lit("candidate"))
     rows = history.unionByName(cands).withColumn("vec_id", F.col("item_id") % n_emb)
+    no_history = (F.col("section") == "history") & (F.col("request_id") % 97 == 3)
+    covered = (F.col("item_id") % 101 != 5) & ~no_history
     return rows.join(emb, "vec_id", "left").select(
         "request_id",
         "section",
         "pos",
         "item_id",
-        F.when(F.col("item_id") % 101 != 5, F.col("vec")).alias("vec"),
+        F.when(covered, F.col("vec")).alias("vec"),
     )
 
 
@@ -224,8 +218,7 @@ def ir_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sims = wanted.join(emb, "vec_id").select(
         "request_id", "id", F.round(M.cosine("q", "vec"), 9).alias("cos")
     )
-    grouped = sims.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("id", "cos"))).alias("sims"))
-    return spread(grouped, "request_id")
+    return sims.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("id", "cos"))).alias("sims"))
 
 
 def ir_truth(sims: DataFrame) -> DataFrame:
@@ -242,9 +235,8 @@ def ir_runs(sims: DataFrame) -> DataFrame:
     grid = sims.select(
         "request_id",
         "sims",
-        F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode"),
-        F.sequence(F.lit(1), F.when(F.col("request_id") % 3 == 0, 5).otherwise(4)).alias("runs"),
-    ).withColumn("run", F.explode("runs"))
+        mode_and_run(5).alias("g"),
+    ).select("*", "g.mode", "g.run").filter(F.col("run") <= F.when(F.col("request_id") % 3 == 0, 5).otherwise(4))
     noise = F.when(F.col("mode") == "direct", F.lit(0.6)).otherwise(F.lit(0.3))
 
     def scored(s):
