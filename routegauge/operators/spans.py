@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from routegauge import fixed_values as fv
 from routegauge.functions import matrices as M
 from routegauge.functions import vectors as V
+from routegauge.session import materialise
 
 WIDTH = 256  # characters (or tokens) per bucket of the overlap join
 POOL = 256  # token vectors summed in one step
@@ -142,7 +143,7 @@ def rec_entries(prompts: DataFrame, tokens: DataFrame, strategy: str = "mean") -
     """Entry vectors of recommendation prompts; uncovered items are dropped, unsectioned ones are candidates."""
     lines = line_table(prompts)
     spans = token_spans(item_blocks(lines), tokens, ["no"])
-    aligned = align(spans, sections(lines))
+    aligned = materialise(align(spans, sections(lines)), "item-spans")  # read by pooling and by the join after it
     pooled = pool(aligned, tokens, ["no"], strategy)
     return aligned.join(pooled, ["request_id", "no"]).select(
         "request_id", F.coalesce("section", F.lit("candidate")).alias("section"), F.col("no").alias("pos"), "item_id", "vec"
@@ -259,7 +260,7 @@ def ir_entries(prompts: DataFrame, tokens: DataFrame, strategy: str = "mean") ->
     query = query_span(prompts).select(
         "request_id", F.lit(0).cast("bigint").alias("no"), F.lit("").alias("id"), F.col("query").alias("text"), "c_start", "c_end"
     )
-    spans = parsed_passages(prompts).unionByName(query)
+    spans = materialise(parsed_passages(prompts).unionByName(query), "passage-spans")  # read twice below
     covered = token_spans(spans.filter(F.col("c_start").isNotNull()), tokens, ["no"])
     pooled = pool(covered.select("request_id", "no", "tok_start", "tok_end"), tokens, ["no"], strategy)
     return spans.join(pooled, ["request_id", "no"], "left").select(

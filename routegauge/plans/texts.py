@@ -9,7 +9,7 @@ from routegauge.functions import vectors as V
 from routegauge.operators import prompts as Q
 from routegauge.operators import spans as S
 from routegauge.plans.registry import plan, rounded
-from routegauge.session import read_table
+from routegauge.session import materialise, read_table
 from routegauge.sources import derived as D
 from routegauge.sources import readers
 
@@ -138,10 +138,15 @@ def item_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.item_blocks(S.line_table(_rec_prompts_with_dataset(spark, sf_dir)))
 
 
+def _with_tokens(spark: SparkSession, sf_dir: str, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prompts and their token vectors as stored tables, since spans and pooling both read them."""
+    stored = materialise(prompts, "prompts")
+    return stored, materialise(D.text_tokens(spark, sf_dir, stored), "tokens")
+
+
 def _rec_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    prompts = _rec_prompts_with_dataset(spark, sf_dir)
+    prompts, tokens = _with_tokens(spark, sf_dir, _rec_prompts_with_dataset(spark, sf_dir))
     lines = S.line_table(prompts)
-    tokens = D.text_tokens(spark, sf_dir, prompts)
     return S.token_spans(S.item_blocks(lines), tokens, ["no"]), S.sections(lines), tokens
 
 
@@ -166,8 +171,7 @@ def span_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def rec_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = _rec_prompts_with_dataset(spark, sf_dir)
-    entries = S.rec_entries(prompts, D.text_tokens(spark, sf_dir, prompts))
+    entries = S.rec_entries(*_with_tokens(spark, sf_dir, _rec_prompts_with_dataset(spark, sf_dir)))
     return rounded(entries.select("request_id", "section", "pos", "item_id", *_vector_summary(entries)))
 
 
@@ -188,6 +192,5 @@ def ir_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def ir_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = ir_prompts(spark, sf_dir)
-    entries = S.ir_entries(prompts, D.text_tokens(spark, sf_dir, prompts))
+    entries = S.ir_entries(*_with_tokens(spark, sf_dir, ir_prompts(spark, sf_dir)))
     return rounded(entries.select("request_id", "section", "id", "text", *_vector_summary(entries)))
