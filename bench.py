@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1 timed run
-after BENCH_WARM untimed ones, default 0), BENCH_QUERIES (comma-separated names).
+after BENCH_WARM untimed ones, default 1), BENCH_QUERIES (comma-separated names).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     names = os.environ.get("BENCH_QUERIES", HEADLINE).split(",")
-    warm, runs = int(os.environ.get("BENCH_WARM", "0")), int(os.environ.get("BENCH_RUNS", "1"))
+    warm, runs = int(os.environ.get("BENCH_WARM", "1")), int(os.environ.get("BENCH_RUNS", "1"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("routegauge-bench")
