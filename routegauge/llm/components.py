@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
+    edges = stored(edges, "edges")  # every round reads its edges several times
     seen = None
     while True:
         large = _hooked(_both(edges)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from routegauge.llm.queries_decontamination import LEAKS_SQL, op7_decontamination
 from routegauge.llm.queries_exact_dedup import EXACT_SQL, op10_exact_dedup
 from routegauge.llm.queries_packing import op3_best_fit_packing
+from routegauge.llm.queries_quality import op8_quality_classifier
 from routegauge.llm.queries_simhash import op9_simhash_near_dedup
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plans = (op3_best_fit_packing, op7_decontamination, op9_simhash_near_dedup, op10_exact_dedup)
+    plans = (op3_best_fit_packing, op7_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)
     return {p.__name__: p for p in plans}
 
 
