@@ -12,11 +12,12 @@ from routegauge.llm.queries_packing import op3_best_fit_packing
 from routegauge.llm.queries_quality import op8_quality_classifier
 from routegauge.llm.queries_simhash import op9_simhash_near_dedup
 from routegauge.llm.queries_token_counts import op1_token_counts
+from routegauge.llm.queries_toxicity import op4_toxicity
 from routegauge.llm.queries_url_filter import URL_SQL, op2_url_filters
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plans = (op1_token_counts, op2_url_filters, op3_best_fit_packing, op7_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)
+    plans = (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_toxicity, op7_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)
     return {p.__name__: p for p in plans}
 
 
