@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from routegauge.llm.queries_decontamination import LEAKS_SQL, op7_decontamination
 from routegauge.llm.queries_exact_dedup import EXACT_SQL, op10_exact_dedup
+from routegauge.llm.queries_html_text import op5_html_extraction
+from routegauge.llm.queries_line_dedup import op6_line_dedup
 from routegauge.llm.queries_packing import op3_best_fit_packing
 from routegauge.llm.queries_quality import op8_quality_classifier
 from routegauge.llm.queries_simhash import op9_simhash_near_dedup
@@ -17,7 +19,7 @@ from routegauge.llm.queries_url_filter import URL_SQL, op2_url_filters
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plans = (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_toxicity, op7_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)
+    plans = (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_line_dedup, op7_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)
     return {p.__name__: p for p in plans}
 
 
