@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from routegauge.session import cut_lineage, ensure_checkpoint_dir, read_table
 
-__all__ = ["batches_of", "cut_lineage", "fresh", "let", "lower_ascii", "read_table", "stored", "text_or_empty", "worker_state"]
+__all__ = ["batches_of", "cut_lineage", "fresh", "let", "lower_ascii", "read_table", "slices", "stored", "text_or_empty", "worker_state"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -64,6 +64,13 @@ def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> It
         )
 
 
+def slices(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``size``, for functions whose output is larger than their input."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
 def worker_state(name: str, make: Callable[[], object]) -> object:
     """An object that lives as long as the Python worker, so that later tasks find it again."""
     held = sys.__dict__.setdefault("_routegauge_worker_state", {})

@@ -16,26 +16,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegauge.llm.common import stored, text_or_empty
+from routegauge.llm.common import slices, stored, text_or_empty
 from routegauge.llm.components import components
 from routegauge.llm.edit_distance import probes, segments, within
 
 MOST = 2
 SHARE = 0.2  # edits a line may have per character
 RESIDENTS = 2048
+BROADCAST_ROWS = 1_000_000
+SEED = 42
 _SIGNS = np.uint64(0x9E3779B97F4A7C15)
 
 
-def lines_of(text: str = "text") -> Column:
-    """Array of (no, line): the non-empty lines, runs of ASCII white space made one space, ends trimmed."""
-    rows = F.transform(
-        F.split(text_or_empty(text), "\n"),
-        lambda x, i: F.struct(i.alias("no"), F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).alias("line")),
-    )
-    return F.filter(rows, lambda r: r["line"] != "")
+def lines_of(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(number, signed hash, line) of the non-empty lines of a UTF-8 text: ASCII white space made one space, ends trimmed."""
+    for no, raw in enumerate(text.split(b"\n")):
+        if line := b" ".join(raw.split()):
+            h = xxhash.xxh64_intdigest(line, SEED)
+            yield no, h - (1 << 64) if h >> 63 else h, line
 
 
 def allowed(shorter: int, most: int = MOST, share: float = SHARE) -> int:
@@ -47,13 +48,16 @@ def _keys(most: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple[list, list]] = {}
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, ids, homes = [], [], []
-            for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(line)
-                if h in seen or allowed(n + most, most) == 0 or n <= most:
+            for _, h, raw in (found for t in batch.column(0) for found in lines_of(t.as_py())):
+                if h in seen:
                     continue
                 seen.add(h)
+                data = raw.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass")  # slices need no care
+                n = len(data) // 4
+                if allowed(n + most, most) == 0 or n <= most:
+                    continue
                 if n not in plans:
                     if len(plans) > 5000:
                         plans.clear()
@@ -61,7 +65,6 @@ def _keys(most: int):
                         (other * 8 + i, start, start + size) for other, i, start, size in probes(n, most)
                     ]
                 own, visits = plans[n]
-                data = line.encode("utf-32-le", "surrogatepass")  # four bytes per character: slices need no care
                 got = [xxhash.xxh64_intdigest(data[4 * a : 4 * b], n * 8 + i) for i, a, b in own]
                 keys += got
                 homes += [True] * len(got)
@@ -69,7 +72,7 @@ def _keys(most: int):
                 keys += more
                 homes += [False] * len(more)
                 ids += [h] * (len(got) + len(more))
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(ids, pa.int64()), pa.array(homes, pa.bool_())],
@@ -155,11 +158,38 @@ def _verify(most: int):
     return apply
 
 
-def line_links(lines: DataFrame, most: int = MOST) -> DataFrame:
-    """(a, b): a spanning forest, per task, of the links between distinct lines; ``lines`` has h and line."""
-    keyed = lines.mapInArrow(_keys(most), "k long, h long, home boolean")
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        keys, bodies, numbers, hashes = [], [], [], []
+        for key, body, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for no, h, _ in lines_of(text.as_py()):
+                keys.append(key)
+                bodies.append(body)
+                numbers.append(no)
+                hashes.append(h)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(bodies, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())],
+            names=["key", "body", "no", "h"],
+        )
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = {h: line for t in batch.column(0) for _, h, line in lines_of(t.as_py())}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found.keys(), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in found.values()], pa.string())],
+            names=["h", "line"],
+        )
+
+
+def line_links(docs: DataFrame, text: str = "text", most: int = MOST) -> DataFrame:
+    """(a, b): a spanning forest, per task, of the links between distinct lines, known by their hashes."""
+    bodies = docs.select(text_or_empty(text).cast("binary").alias("text"))
+    keyed = bodies.mapInArrow(_keys(most), "k long, h long, home boolean")
     live = stored(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_live, "k long, h long, home boolean").distinct(), "live-segments")
-    texts = lines.join(live.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    wanted = live.select("h").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = bodies.mapInArrow(_texts, "h long, line string").join(wanted, "h", "left_semi").dropDuplicates(["h"])
     hot = live.filter("home").groupBy("k").count().filter(F.col("count") > RESIDENTS)
     hot = hot.select("k", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("blocks"))
     dealt = live.join(hot, "k", "left")
@@ -172,22 +202,26 @@ def line_links(lines: DataFrame, most: int = MOST) -> DataFrame:
     return met.repartition("k").sortWithinPartitions("k", F.desc("home")).mapInArrow(_verify(most), "a long, b long").distinct()
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """(key, body, no, h, root) of every line that an earlier line repeats, exactly or nearly.
+def marked_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """(key, body, no, h, root, repeats) of every non-empty line; repeats tells whether an earlier line is linked to it.
 
     Lines come in the order of (doc_id, line number), null ids first; the first of every class stays. key is the id of
-    the document, body a hash of its text. Lines are linked within ``most`` edits and a fifth of the shorter length.
+    the document, body a hash of its text, root the class (null for a line that nothing repeats). Lines are linked if
+    equal, or within ``most`` edits and a fifth of the shorter length.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("key"), F.xxhash64(text_or_empty(text)).alias("body"), F.explode(lines_of(text)).alias("l"))
-    rows = rows.select("key", "body", F.col("l.no").alias("no"), F.xxhash64("l.line").alias("h"), F.col("l.line").alias("line"))
-    roots = stored(components(line_links(rows.select("h", "line"), most)), "line-roots")
+    body = text_or_empty(text)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("key"), F.xxhash64(body).alias("body"), body.cast("binary").alias("text"))
+    rows = stored(rows.mapInArrow(_occurrences, "key long, body long, no int, h long"), "line-places")
+    roots = stored(components(line_links(docs, text, most)), "line-roots")
     place = F.struct("key", "no", "body")
     distinct = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").filter("n > 1 OR root IS NOT NULL")
     classed = stored(classed.select("h", "first", F.coalesce("root", "h").alias("root")), "line-classes")
     heads = classed.groupBy("root").agg(F.min("first").alias("head"))
     info = classed.join(heads, "root").select("h", "root", "head")
-    return rows.drop("line").join(info, "h").filter(~place.eqNullSafe(F.col("head"))).select("key", "body", "no", "h", "root")
+    return rows.join(info, "h", "left").select(
+        "key", "body", "no", "h", "root", (F.col("root").isNotNull() & ~place.eqNullSafe(F.col("head"))).alias("repeats")
+    )
 
 
 def with_line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
@@ -196,14 +230,15 @@ def with_line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Null and empty texts have no lines; an empty table gives no rows. Rows that repeat id and text are one document and get
     the same answer each. Columns of ``docs`` with the new names are replaced.
     """
-    gone = repeated_lines(docs, doc_id, text, most).groupBy("key", "body").agg(F.array_sort(F.collect_set("no")).alias("found_dropped"))
-    gone = stored(gone, "dropped-lines").select(F.col("key").alias("found_key"), F.col("body").alias("found_body"), "found_dropped")
-    rows = docs.withColumns({"n_lines": F.size(lines_of(text)).cast("long"), "found_hash": F.xxhash64(text_or_empty(text))})
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("found_key")) & (F.col("found_hash") == F.col("found_body"))
-    none = F.array().cast("array<int>")
-    return rows.join(gone, same, "left").withColumn("dropped", F.coalesce("found_dropped", none)).drop(
-        "found_key", "found_body", "found_hash", "found_dropped"
+    found = marked_lines(docs, doc_id, text, most).groupBy("key", "body").agg(
+        F.count_distinct("no").alias("found_n"), F.array_sort(F.collect_set(F.when(F.col("repeats"), F.col("no")))).alias("found_dropped")
     )
+    found = stored(found, "line-report").withColumnsRenamed({"key": "found_key", "body": "found_body"})
+    rows = docs.withColumn("found_hash", F.xxhash64(text_or_empty(text)))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("found_key")) & (F.col("found_hash") == F.col("found_body"))
+    return rows.join(found, same, "left").withColumns({
+        "n_lines": F.coalesce("found_n", F.lit(0)).cast("long"), "dropped": F.coalesce("found_dropped", F.array().cast("array<int>")),
+    }).drop("found_key", "found_body", "found_hash", "found_dropped", "found_n")
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
