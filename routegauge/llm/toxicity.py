@@ -46,8 +46,8 @@ class Model:
         """Per word: log P(word | the word before, toxic) minus the same for ordinary."""
         get = self.words.get
         ids = np.array([get(w, 0) for w in _WORD.findall(text.lower())], dtype=np.int64)
-        if not len(ids):
-            return np.zeros(0)
+        if not len(ids) or not len(self.keys):
+            return np.zeros(len(ids))
         left = np.r_[0, ids[:-1]]
         key = left << 32 | ids
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
