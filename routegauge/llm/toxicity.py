@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,25 +83,30 @@ def _taken(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.maximum(_discounts(counts)[np.minimum(counts, 3)], 2 * np.sqrt(counts)), counts)
 
 
-def build(bigrams: list[tuple[str, str, int, int]], spread: dict[str, int], documents: int) -> Model:
-    """The model of (left, right, toxic, ordinary) document counts and the shared document counts of words.
+def build(bigrams: pa.Table, spread: pa.Table, documents: int) -> Model:
+    """The model of bigrams (l, r, toxic, ordinary: document counts) and of the shared document counts of words.
 
-    The left word of a text's first word is ''. Unknown words have a document count of one, spread over none.
+    The left word of a text's first word is ''. Unknown words have a document count of one, spread over none. The words
+    stay in Arrow arrays until the one dictionary that the model looks them up in.
     """
-    right = sorted({b[1] for b in bigrams})
-    words = {w: i + 1 for i, w in enumerate(right)}
-    n = len(words) + 1
+    known_words = pc.unique(bigrams["r"])
+    n = len(known_words) + 1
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        return pc.add(pc.fill_null(pc.index_in(column, value_set=known_words), -1), 1).to_numpy().astype(np.int64)
+
     shared = np.ones(n)
-    for w, i in words.items():
-        shared[i] = spread.get(w, 0) + 1
+    shared[numbers(spread["word"])] += spread["documents"].to_numpy()
+    shared[0] = 1.0
     shared /= shared.sum() + documents  # what is left belongs to unknown words
-    left = np.array([words.get(b[0], 0) for b in bigrams], dtype=np.int64)
-    key = left << 32 | np.array([words[b[1]] for b in bigrams], dtype=np.int64)
+    key = numbers(bigrams["l"]) << 32 | numbers(bigrams["r"])
     order = np.argsort(key)
     key = key[order]
+    counts = [bigrams[c].to_numpy().astype(np.int64)[order] for c in ("toxic", "ordinary")]
+    words = {w: i + 1 for i, w in enumerate(known_words.to_pylist())}
     single, direct, backoff = np.zeros((2, n)), np.zeros((2, len(key))), np.ones((2, n))
     for c in range(2):
-        count = np.array([b[2 + c] for b in bigrams], dtype=np.int64)[order]
+        count = counts[c]
         total = np.bincount(key & 0xFFFFFFFF, weights=count, minlength=n).astype(np.int64)
         taken = np.where(total > 0, _taken(total), 0)
         mass = max(total.sum(), 1)
@@ -111,7 +117,7 @@ def build(bigrams: list[tuple[str, str, int, int]], spread: dict[str, int], docu
         safe = np.where(known, after, 1)
         backoff[c] = np.where(known, np.bincount(key >> 32, weights=off, minlength=n) / safe, 1.0)
         direct[c] = (count - off) / safe[key >> 32]
-    both = np.array([b[2] + b[3] for b in bigrams], dtype=np.float64)[order]
+    both = (counts[0] + counts[1]).astype(np.float64)
     behind = np.bincount(key >> 32, weights=both, minlength=n)
     pooled, seen = both / behind[key >> 32], behind > 0
     backoff[:, 0], direct[:, key >> 32 == 0], seen[0] = 1.0, 0.0, False  # behind unknown words both classes back off
@@ -175,11 +181,11 @@ def score(
     sample = stored(keyed.join(F.broadcast(marked), keyed["doc_id"] == marked["label_id"]).select("text", "label", "fold").dropDuplicates(["text"]), "toxic-sample")
     pairs = stored(_bigrams(sample.filter("fold = 0")), "toxic-pairs")  # as many as the bounded sample holds
     vocabulary = pairs.select(F.col("r").alias("word")).distinct()
-    spread = _spread(keyed).join(vocabulary, "word").toArrow().to_pydict()
-    table = pairs.toArrow().to_pydict()
-    rows = list(zip(table["l"], table["r"], table["toxic"], table["ordinary"], strict=True))
-    model = build(rows, dict(zip(spread["word"], spread["documents"], strict=True)), max(spread["documents"], default=1))
+    spread = _spread(keyed).join(vocabulary, "word").toArrow()
+    model = build(pairs.toArrow(), spread, pc.max(spread["documents"]).as_py() or 1)
+    fitted = len(model.keys) > 0
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    del model, spread
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +198,7 @@ def score(
     schema = "doc_id long, ratio double, expression double"
     unseen = sample.filter("fold = 1").select(F.col("label").cast("long").alias("doc_id"), "text").mapInArrow(apply, schema).collect()
     theta = None
-    if len({r["doc_id"] for r in unseen}) == 2 and rows:
+    if len({r["doc_id"] for r in unseen}) == 2 and fitted:
         wanted = np.array([r["doc_id"] for r in unseen])
         share = wanted.mean()  # both labels weigh the same
         theta = logistic(np.array([[r["ratio"], r["expression"]] for r in unseen]), wanted, np.where(wanted == 1, 0.5 / share, 0.5 / (1 - share)))
