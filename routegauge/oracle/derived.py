@@ -14,11 +14,10 @@ SELECT request_id, item_id, rn, count(*) OVER (PARTITION BY request_id) AS n FRO
                               ORDER BY o_orderdate, l_orderkey, l_linenumber) AS nth
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
   WHERE nth = 1)
-WHERE rn <= 23
 """)
 
-cte("x_truth", "SELECT request_id, 3 - rn AS pos, item_id FROM x_bought WHERE n >= 5 AND rn <= 3")
-cte("x_history", "SELECT request_id, n - rn AS pos, item_id FROM x_bought WHERE n >= 5 AND rn > 3")
+cte("x_truth", "SELECT request_id, 3 - rn AS pos, item_id FROM x_bought WHERE n > 3 AND rn <= 3")
+cte("x_history", "SELECT request_id, n - rn AS pos, item_id FROM x_bought WHERE n > 3 AND rn > 3")
 cte("x_req", "SELECT DISTINCT request_id FROM x_truth")
 
 cte("x_cands", """

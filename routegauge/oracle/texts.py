@@ -193,7 +193,7 @@ TEXTS = {
     "chat_inputs": "SELECT conv_id AS request_id, turn::INT AS turn, role, text AS content FROM conversations",
     "prompt_fallback": """
         SELECT c.conv_id AS request_id, coalesce(any_value(d.text), arg_min(c.text, c.turn)) AS prompt
-        FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id AND d.lang = 'en' WHERE role = 'user' GROUP BY c.conv_id""",
+        FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE role = 'user' GROUP BY c.conv_id""",
     "system_prompt": "SELECT request_id, mode, system FROM x_system",
     "item_lines": "SELECT request_id, section, pos, item_id, line FROM x_lines",
     "rec_prompt": "SELECT request_id, prompt FROM x_prompt",

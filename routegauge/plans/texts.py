@@ -72,7 +72,7 @@ def chat_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def prompt_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = read_table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select(
+    meta = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("request_id"), F.col("text").alias("prompt")
     )
     return Q.user_fallback(D.chat_turns(spark, sf_dir), meta)

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Arrow functions find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_routegauge_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='routegauge-')}/routegauge", "zip", package.parent, package.name)
+    sc.addPyFile(archive)
+    sc._routegauge_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -15,7 +15,6 @@ from routegauge.functions import matrices as M
 from routegauge.functions.hashing import h32, unit
 from routegauge.session import read_table
 
-HISTORY = 20
 TRUTH = 3
 NEGATIVES = 17
 LETTERS = "ABCDEFGHIJ"
@@ -39,7 +38,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """request_id, history, truth, candidates: one sample per customer with at least five distinct items."""
+    """request_id, history, truth, candidates: one sample per customer, of all distinct items in the order first bought.
+
+    The last three items are the truth and all before them the history, so a customer needs at least four.
+    """
     line = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     first = (
@@ -47,13 +49,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("o_custkey").alias("request_id"), F.col("l_partkey").alias("item_id"))
         .agg(F.min(F.struct("o_orderdate", "l_orderkey", "l_linenumber")).alias("first_seen"))
     )
-    # The rank filter is applied before the shuffle too, so a hot customer ships 23 rows per task.
-    latest = Window.partitionBy("request_id").orderBy(F.desc("first_seen"), F.desc("item_id"))
-    recent = first.withColumn("rn", F.row_number().over(latest)).filter(F.col("rn") <= HISTORY + TRUTH)
     sample = (
-        recent.groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("rn")).alias("k"), "item_id"))).alias("seq"))
-        .filter(F.size("seq") >= 5)
+        first.groupBy("request_id")
+        .agg(F.array_sort(F.collect_list(F.struct("first_seen", "item_id"))).alias("seq"))
+        .filter(F.size("seq") > TRUTH)
         .select("request_id", F.col("seq.item_id").alias("seq"))
         .select(
             "request_id",
