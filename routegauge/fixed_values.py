@@ -52,7 +52,6 @@ IR_AGENT_LAYOUT = (
 MOVIE_ALIASES = ("ml-1m", "movielens", "movie")
 GAME_ALIASES = ("amazon-game", "steam", "game")
 IR_ALIASES = ("rank_ir", "retrieval", "ir")
-CHECKLIST_IR_ALIASES = ("rank_ir", "retrieval", "ir", "search")
 REC_KINDS = ("ml-1m", "amazon-game")
 IR_KINDS = ("rank_ir", "ir", "retrieval", "search")
 
@@ -85,7 +84,6 @@ PASSAGE_COUNT = r"(?i)I\s+will\s+provide\s+you\s+with\s+(\d+)\s+passages"
 
 NONE_VALUE = -1.0
 K_RUNS = 5
-RATE_STEPS = 100
 LAMBDA_COST = 0.1
 EPS_EQUAL = 3e-3
 ALPHA_VAR = 5.0
@@ -102,6 +100,77 @@ GENRE_COLUMNS = (
     "history_avg_popularity",
 )
 
+# --- Fixed values: required feature names, in output order ----------------------------------------
+
+REC_FEATURES = (
+    "hist_len",
+    "hist_embedding_variance",
+    "cand_embedding_dispersion",
+    "history_candidate_sim_max",
+    "history_candidate_sim_mean",
+    "history_candidate_sim_min",
+    "history_candidate_sim_var",
+    "history_candidate_sim_p50",
+    "history_candidate_sim_p75",
+    "history_candidate_sim_p90",
+    "history_candidate_sim_p95",
+    "history_candidate_sim_top1_top2_gap",
+    "top1_sim",
+    "top10_sim",
+    "top_k_sim_gap",
+    "cand_pairwise_cos_mean",
+    "cand_pairwise_cos_std",
+    "cand_pairwise_cos_min",
+    "cand_centroid_norm",
+    "cand_cov_trace",
+    "cand_pca_singular_top3_sum",
+    "hist_adj_cos_mean",
+    "hist_adj_cos_std",
+    "hist_drift_cos",
+    "hist_cov_trace",
+    "hist_pca_singular_top3_sum",
+    "cand_sim_>0.3_ratio",
+    "cand_sim_>0.5_ratio",
+    "cand_sim_>0.7_ratio",
+    "cand_cluster_size_entropy_k3",
+    "ambiguous_cluster_score",
+    "hist_cand_centroid_cos",
+    "hist_cand_centroid_dist",
+    "c2h_recentK_mean",
+    "c2h_recentK_max",
+    "cand_density_wrt_hist",
+)
+
+IR_FEATURES = (
+    "query_norm",
+    "cand_embedding_dispersion",
+    "cand_pairwise_cos_mean",
+    "cand_pairwise_cos_std",
+    "cand_pairwise_cos_min",
+    "cand_centroid_norm",
+    "cand_cov_trace",
+    "cand_pca_singular_top3_sum",
+    "query_candidate_sim_max",
+    "query_candidate_sim_mean",
+    "query_candidate_sim_min",
+    "query_candidate_sim_var",
+    "query_candidate_sim_p50",
+    "query_candidate_sim_p75",
+    "query_candidate_sim_p90",
+    "query_candidate_sim_p95",
+    "top1_sim",
+    "top10_sim",
+    "top_k_sim_gap",
+    "qc_centroid_cos",
+    "qc_centroid_dist",
+    "cand_sim_>0.3_ratio",
+    "cand_sim_>0.5_ratio",
+    "cand_sim_>0.7_ratio",
+    "cand_cluster_size_entropy_k3",
+    "ambiguous_cluster_score",
+    "cand_density_wrt_query",
+)
+
 # --- Fixed values: checklist verbalizers and question pairs ----------------------------------------
 
 VERBALIZERS = {

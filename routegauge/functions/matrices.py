@@ -17,7 +17,6 @@ _PRODUCTS = T.StructType([
     T.StructField("cnt", T.LongType()), T.StructField("total", _DOUBLE),
     T.StructField("squares", _DOUBLE), T.StructField("low", _DOUBLE),
 ])
-LLOYD_STEPS = 20
 _PARTS = T.ArrayType(T.StructType([
     T.StructField("part", T.StringType()), T.StructField("n", T.LongType()), T.StructField("squares", _DOUBLE),
     T.StructField("cells", _DOUBLE), T.StructField("vsum", _DOUBLES), T.StructField("usum", _DOUBLES),
@@ -28,6 +27,12 @@ _PARTS_ARROW = pa.list_(pa.struct([
     ("part", pa.string()), ("n", pa.int64()), ("squares", pa.float64()), ("cells", pa.float64()),
     ("vsum", _DOUBLES_ARROW), ("usum", _DOUBLES_ARROW),
 ]))
+_FARTHEST = T.StructType([T.StructField("gap", _DOUBLE), T.StructField("v", _DOUBLES)])
+_FARTHEST_ARROW = pa.struct([("gap", pa.float64()), ("v", _DOUBLES_ARROW)])
+_SUMS = T.ArrayType(T.StructType([
+    T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("total", _DOUBLES),
+]))
+_SUMS_ARROW = pa.list_(pa.struct([("label", pa.int32()), ("n", pa.int64()), ("total", _DOUBLES_ARROW)]))
 _NEAR_ARROW = pa.list_(pa.struct([(c, pa.float64()) for c in ("sim", "recent", "dist")]))
 
 
@@ -102,12 +107,15 @@ def block_parts(block: pa.Array, section: pa.Array, start: pa.Array, n: pa.Array
 def near_history(block: pa.Array, unit_mean: pa.Array, recent_mean: pa.Array, centroid: pa.Array) -> pa.Array:
     """Per row of a block its cosine to history and to recent history, and its distance to the centroid."""
     sides = zip(_blocks(block), _vectors(unit_mean), _vectors(recent_mean), _vectors(centroid))
-    out = []
+    ends, columns = [0], [[], [], []]
     for x, hu, ru, hc in sides:
         u = _unit(x)
-        rows = zip(u @ hu, u @ ru, np.linalg.norm(x - hc, axis=1))
-        out.append([{"sim": float(a), "recent": float(b), "dist": float(d)} for a, b, d in rows])
-    return pa.array(out, _NEAR_ARROW)
+        ends.append(ends[-1] + len(x))
+        for column, values in zip(columns, (u @ hu, u @ ru, np.linalg.norm(x - hc, axis=1))):
+            column.append(values)
+    flat = [pa.array(np.concatenate(c) if c else np.zeros(0), pa.float64()) for c in columns]
+    rows = pa.StructArray.from_arrays(flat, fields=list(_NEAR_ARROW.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
 
 @F.arrow_udf(_DOUBLES)
@@ -131,32 +139,34 @@ def pair_products(left: pa.Array, right: pa.Array, same: pa.Array) -> pa.Array:
     )
 
 
+def _top3(gram: np.ndarray) -> float:
+    return float(np.sqrt(np.clip(np.linalg.eigvalsh(gram)[-3:], 0.0, None)).sum())
+
+
 @F.arrow_udf(_DOUBLE)
-def top3_singular(block: pa.Array) -> pa.Array:
-    """Sum of the three largest singular values of the centred block."""
-    sums = [np.linalg.svd(x - x.mean(axis=0), compute_uv=False)[:3].sum() if len(x) else 0.0 for x in _blocks(block)]
-    return pa.array(sums, pa.float64())
+def top3_singular(block: pa.Array, mean: pa.Array) -> pa.Array:
+    """Sum of the three largest singular values of a block around the mean, from the smaller of its two Grams."""
+    centred = (x - m for x, m in zip(_blocks(block), _vectors(mean)))
+    return pa.array([_top3(c @ c.T if len(c) <= c.shape[1] else c.T @ c) for c in centred], pa.float64())
 
 
 @F.arrow_udf(_DOUBLES)
-def gram(block: pa.Array) -> pa.Array:
-    """Flattened X'X of a block; grams of the blocks of one group add up."""
-    return pa.array([(x.T @ x).ravel() for x in _blocks(block)], pa.list_(pa.float64()))
+def centred_gram(block: pa.Array, mean: pa.Array) -> pa.Array:
+    """Flattened Gram of the columns of a block around the mean; Grams of the blocks of one group add up."""
+    centred = (x - m for x, m in zip(_blocks(block), _vectors(mean)))
+    return pa.array([(c.T @ c).ravel() for c in centred], _DOUBLES_ARROW)
 
 
 @F.arrow_udf(_DOUBLE)
-def top3_from_gram(grams: pa.Array, means: pa.Array, counts: pa.Array) -> pa.Array:
-    """The same sum from the added grams: eigenvalues of X'X - n * mean mean'."""
-    out = []
-    for g, m, n in zip(grams.to_pylist(), means.to_pylist(), counts.to_pylist()):
-        m = np.asarray(m)
-        scatter = np.asarray(g).reshape(len(m), len(m)) - n * np.outer(m, m)
-        out.append(float(np.sqrt(np.clip(np.linalg.eigvalsh(scatter)[-3:], 0.0, None)).sum()))
-    return pa.array(out, pa.float64())
+def top3_from_gram(grams: pa.Array) -> pa.Array:
+    """The same sum from the added Grams."""
+    flat = _vectors(grams)
+    width = int(round(flat.shape[1] ** 0.5))
+    return pa.array([_top3(g.reshape(width, width)) for g in flat], pa.float64())
 
 
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.square(x[:, None, :] - centres[None, :, :]).sum(axis=2)
+    return np.stack([np.square(x - c).sum(axis=1) for c in centres], axis=1)
 
 
 def farthest_first(x: np.ndarray, k: int = CLUSTERS) -> np.ndarray:
@@ -167,19 +177,49 @@ def farthest_first(x: np.ndarray, k: int = CLUSTERS) -> np.ndarray:
     return x[seeds]
 
 
-def lloyd(x: np.ndarray, k: int = CLUSTERS, steps: int = LLOYD_STEPS) -> np.ndarray:
-    """Cluster labels; a cluster that runs empty keeps its centre."""
+def lloyd(x: np.ndarray, k: int = CLUSTERS) -> np.ndarray:
+    """Cluster labels once no label moves; a cluster that runs empty keeps its centre, ties go to the lower label."""
     centres = farthest_first(x, k).copy()
     labels = _squared(x, centres).argmin(axis=1)
-    for _ in range(steps):
+    while True:
         for j in range(k):
             if (labels == j).any():
                 centres[j] = x[labels == j].mean(axis=0)
         moved = _squared(x, centres).argmin(axis=1)
         if (moved == labels).all():
-            break
+            return labels
         labels = moved
-    return labels
+
+
+@F.arrow_udf(_FARTHEST)
+def farthest_row(block: pa.Array, centres: pa.Array) -> pa.Array:
+    """The row of a block farthest from its nearest centre (the first on ties), with its squared distance."""
+    out = []
+    for x, c in zip(_blocks(block), _blocks(centres)):
+        gaps = _squared(x, c).min(axis=1)
+        at = int(gaps.argmax())
+        out.append({"gap": float(gaps[at]), "v": x[at]})
+    return pa.array(out, _FARTHEST_ARROW)
+
+
+@F.arrow_udf(_INTS)
+def nearest_labels(block: pa.Array, centres: pa.Array) -> pa.Array:
+    """The nearest centre of every row of a block, the lower one on ties."""
+    labels = [_squared(x, c).argmin(axis=1) for x, c in zip(_blocks(block), _blocks(centres))]
+    return pa.array(labels, pa.list_(pa.int32()))
+
+
+@F.arrow_udf(_SUMS)
+def label_sums(block: pa.Array, labels: pa.Array) -> pa.Array:
+    """Rows and vector sum of each label that occurs in a block."""
+    out = []
+    for x, given in zip(_blocks(block), labels):
+        own = given.values.to_numpy()
+        out.append([
+            {"label": j, "n": int((own == j).sum()), "total": x[own == j].sum(axis=0)}
+            for j in range(CLUSTERS) if (own == j).any()
+        ])
+    return pa.array(out, _SUMS_ARROW)
 
 
 @F.arrow_udf(_INTS)
@@ -198,7 +238,7 @@ def label_distances(left: pa.Array, left_labels: pa.Array, right: pa.Array, righ
         sums = []
         for j in range(CLUSTERS):
             p, q = a[la == j] if len(la) else a[:0], b[lb == j] if len(lb) else b[:0]
-            total = np.sqrt(_squared(p, q)).sum() if len(p) and len(q) else 0.0
+            total = sum(np.linalg.norm(p - row, axis=1).sum() for row in q) if len(p) else 0.0
             sums.append(float(total) if one else 2.0 * float(total))
         out.append(sums)
     return pa.array(out, pa.list_(pa.float64()))

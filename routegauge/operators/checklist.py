@@ -17,7 +17,7 @@ def verbalizer_sets(tokens: DataFrame) -> DataFrame:
     sides = tokens.groupBy("set").agg(F.count_if(F.col("side") == "yes").alias("y"), F.count_if(F.col("side") == "no").alias("n"))
     whole = sides.filter((F.col("y") > 0) & (F.col("n") > 0)).select("set")
     some = whole.agg(F.count(F.lit(1))).scalar()
-    checked = F.when(some > 0, F.col("set")).otherwise(F.raise_error(F.lit("no valid verbalizer set")).cast("string"))
+    checked = F.when(some > 0, F.col("set")).otherwise(F.raise_error(F.lit("every verbalizer set lacks a side")).cast("string"))
     return tokens.groupBy("set", "side").agg(ids.alias("token_ids")).join(whole, "set", "left_semi").select(
         checked.alias("set"), "side", "token_ids"
     )
@@ -31,7 +31,7 @@ def margins(hidden: DataFrame, weights: DataFrame) -> tuple[DataFrame, list[str]
     rows = weights.collect()  # a few rows per set
     names = sorted({r["set"] for r in rows})
     if not names:
-        raise ValueError("no valid verbalizer set")
+        raise ValueError("every verbalizer set lacks a side")
     matrix = np.array([r["w"] for r in rows], dtype=np.float64)
     bias = np.array([r["b"] or 0.0 for r in rows], dtype=np.float64)
 

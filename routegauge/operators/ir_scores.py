@@ -36,22 +36,31 @@ def score_runs(runs: DataFrame, truth: DataFrame, ks=(5, 10)) -> DataFrame:
     )
 
 
-def request_metrics(scored: DataFrame, ks=(5, 10), n_runs: int | None = None) -> DataFrame:
+def request_metrics(
+    scored: DataFrame, ks=(5, 10), n_runs: int | None = None, wanted: DataFrame | None = None
+) -> DataFrame:
     """Wide table, run columns up to the largest run number anywhere, missing runs 0.
 
-    Without ``n_runs`` that number is looked up first, which runs a one-row aggregate.
+    Without ``n_runs`` that number is looked up first, which runs a one-row aggregate. Every (request_id, mode) of
+    ``wanted`` has a row, all 0 where it has no run.
     """
     if n_runs is None:
         n_runs = scored.agg(F.max("run")).first()[0] or 0
+    if wanted is not None:
+        scored = scored.unionByName(wanted.select(*KEYS), allowMissingColumns=True)
+
+    def mean(column: str, name: str):
+        return F.coalesce(F.avg(column), F.lit(0.0)).alias(name)
+
     cells = [
         F.coalesce(F.max(F.when(F.col("run") == i, F.col("ndcg10"))), F.lit(0.0)).alias(f"ndcg10_{i}")
         for i in range(1, n_runs + 1)
     ]
     return scored.groupBy(*KEYS).agg(
-        *[F.avg(f"ndcg{k}").alias(f"avg_ndcg@{k}") for k in ks],
-        F.avg("pairacc").alias("avg_pairacc"),
-        F.avg("top1").alias("avg_top1"),
-        F.avg("spearmanF").alias("avg_spearmanF"),
+        *[mean(f"ndcg{k}", f"avg_ndcg@{k}") for k in ks],
+        mean("pairacc", "avg_pairacc"),
+        mean("top1", "avg_top1"),
+        mean("spearmanF", "avg_spearmanF"),
         *cells,
     )
 

@@ -11,18 +11,19 @@ from routegauge import fixed_values as fv
 
 
 def find_run_columns(columns: list[str], base: str, k: int) -> list[str]:
-    """The k run columns of a metric, tolerant of case and of '_', '-', blank or nothing as separator."""
-    exact = [f"{base}_{i}" for i in range(1, k + 1)]
-    if all(c in columns for c in exact):
-        return exact
-    shape = re.compile(re.escape(base) + r"\s*[_\- ]?\s*([0-9]+)", re.IGNORECASE)
-    numbered = sorted(
-        (int(m.group(1)), n, c) for n, c in enumerate(columns) if (m := shape.fullmatch(c)) and 1 <= int(m.group(1)) <= k
-    )
-    found = [c for _, _, c in numbered]
-    if len(found) != k:
-        raise ValueError(f"cannot find complete {base}_1..{base}_{k} columns. found: {found}")
-    return found
+    """The k run columns of a metric; case, blanks, '_' and '-' in their names do not matter, and exact names go first."""
+
+    def plain(name: str) -> str:
+        return re.sub(r"[\s_-]", "", name).lower()
+
+    lookup: dict[str, str] = {}
+    for name in sorted(columns, key=lambda c: not c.startswith(f"{base}_")):
+        lookup.setdefault(plain(name), name)
+    keys = [plain(f"{base}{i}") for i in range(1, k + 1)]
+    lost = [i for i, key in enumerate(keys, 1) if key not in lookup]
+    if lost:
+        raise ValueError(f"metric {base} has no column for the runs {lost}")
+    return [lookup[key] for key in keys]
 
 
 def _zero_if_failed(col: str) -> Column:
@@ -58,7 +59,7 @@ def pair_modes(direct: DataFrame, cot: DataFrame, columns: list[str]) -> DataFra
     joined = d.join(c, F.col("d_id") == F.col("c_id"), "full")
     same = F.col("d_id").isNotNull() & F.col("c_id").isNotNull()
     checked = F.when(same, F.col("d_id")).otherwise(
-        F.raise_error(F.lit("Direct and CoT have different samples")).cast("bigint")
+        F.raise_error(F.lit("a request was answered in one mode only")).cast("bigint")
     )
     return joined.select(checked.alias("request_id"), *[f"direct_{x}" for x in columns], *[f"cot_{x}" for x in columns])
 
@@ -75,7 +76,7 @@ def pair_long(long: DataFrame, columns: list[str]) -> DataFrame:
     )
     one_each = (F.col("_d") == 1) & (F.col("_c") == 1)
     checked = F.when(one_each, F.col("request_id")).otherwise(
-        F.raise_error(F.lit("Direct and CoT have different samples")).cast("bigint")
+        F.raise_error(F.lit("a request was answered in one mode only")).cast("bigint")
     )
     return paired.select(checked.alias("request_id"), *[f"`{m}_{c}`" for m in ("direct", "cot") for c in columns])
 

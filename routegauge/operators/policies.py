@@ -74,7 +74,7 @@ def apply_policy(score: Column, policy: dict) -> Column:
         return threshold_policy(score, policy["tau"])
     if policy["name"] == "budget_density":
         return density_policy(score, policy["eta"])
-    raise ValueError("Unknown policy")
+    raise ValueError(f"no rule for policy {policy['name']!r}")
 
 
 def rate_cut(n: Column, rate: Column | float) -> Column:

@@ -23,7 +23,7 @@ def system_prompt(
         F.when(name.isin(*fv.MOVIE_ALIASES), F.lit(fv.MOVIE_SYSTEM))
         .when(name.isin(*fv.GAME_ALIASES), F.lit(fv.GAME_SYSTEM))
         .when(name.isin(*fv.IR_ALIASES), F.lit(fv.RANK_SYSTEM))
-        .otherwise(F.raise_error(F.concat(F.lit("Unsupported dataset: "), dataset)).cast("string"))
+        .otherwise(F.raise_error(F.concat(F.lit("dataset without a prompt: "), dataset)).cast("string"))
     )
     explicit = name.isin(*fv.REC_KINDS)
 

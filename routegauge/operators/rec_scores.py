@@ -33,8 +33,9 @@ def score_runs(runs: DataFrame, requests: DataFrame, ks=(5, 10)) -> DataFrame:
 
 
 def mean_tokens():
-    """Aggregate: mean token count over runs, a lost count being 0."""
-    return F.avg(F.coalesce(F.col("num_tokens"), F.lit(0))).alias("avg_tokens")
+    """Aggregate: mean token count over runs, a lost count being 0; without any run 0."""
+    counts = F.when(F.col("run").isNotNull(), F.coalesce(F.col("num_tokens"), F.lit(0)))
+    return F.coalesce(F.avg(counts), F.lit(0.0)).alias("avg_tokens")
 
 
 def average_tokens(runs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -45,11 +46,16 @@ def average_tokens(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def request_metrics(scored: DataFrame, k_runs: int = fv.K_RUNS, tokens: bool = False) -> DataFrame:
+def request_metrics(
+    scored: DataFrame, k_runs: int = fv.K_RUNS, tokens: bool = False, wanted: DataFrame | None = None
+) -> DataFrame:
     """Wide table: @10 from the first k runs (-1 marks no answer), @5 from all runs; means skip failures.
 
-    ``tokens`` adds avg_tokens to the same aggregate.
+    ``tokens`` adds avg_tokens to the same aggregate. Every (request_id, mode) of ``wanted`` has a row, also without
+    any run: -1 in every run column and 0 as averages.
     """
+    if wanted is not None:  # rows without a run, in the same aggregate
+        scored = scored.unionByName(wanted.select(*KEYS), allowMissingColumns=True)
 
     def cell(metric: str, i: int):
         value = F.max(F.when(F.col("run") == i, F.col(metric)))

@@ -54,18 +54,25 @@ def sections(lines: DataFrame) -> DataFrame:
     )
 
 
-def item_pattern(dataset: Column) -> dict[str, Column]:
-    """Which line pattern a dataset uses: the exact name, a part of the name, or the generic one."""
+def item_pattern(dataset: Column, strict: bool = False) -> dict[str, Column]:
+    """Which line pattern a dataset uses: by a part of its name or a name prompts are rendered under, else the generic one.
+
+    ``strict`` goes by the parts of the name alone.
+    """
     name = F.lower(F.coalesce(dataset, F.lit("")))
     game = name.contains("amazon-game")
-    movie = ~game & (name.contains("ml-1m") | name.contains("ml1m"))
+    movie = name.contains("ml-1m") | name.contains("ml1m")
+    if not strict:
+        game, movie = game | name.isin(*fv.GAME_ALIASES), movie | name.isin(*fv.MOVIE_ALIASES)
+    movie = ~game & movie
     return {fv.MOVIE_ITEM_LINE: movie, fv.GAME_ITEM_LINE: game, fv.GENERIC_ITEM_LINE: ~game & ~movie}
 
 
-def item_blocks(lines: DataFrame) -> DataFrame:
+def item_blocks(lines: DataFrame, strict: bool = False) -> DataFrame:
     """request_id, no, item_id, c_start, c_end of the item lines; needs the column dataset."""
+    patterns = item_pattern(F.col("dataset"), strict)
     item = F.coalesce(*[
-        F.when(applies & F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for p, applies in item_pattern(F.col("dataset")).items()
+        F.when(applies & F.col("line").rlike(p), F.regexp_extract("line", p, 1)) for p, applies in patterns.items()
     ])
     return lines.withColumn("item_id", item.try_cast("bigint")).filter(F.col("item_id").isNotNull()).select(
         "request_id", "no", "item_id", "c_start", "c_end"

@@ -12,14 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from routegauge import fixed_values as fv
 from routegauge.functions import matrices as M
 from routegauge.functions import vectors as V
 from routegauge.session import cut_lineage, materialise
 
 CHUNK = 4096  # rows of one request that one window task orders
 BLOCK = 256  # vectors of one request that one matrix product holds
-LISTED = 8192  # values of one request whose order statistics come from a list
-BUCKETS = 4096  # value buckets per unit of similarity beyond that
+BUCKETS = 4096  # value buckets per unit of similarity
 PROBS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
 
 
@@ -153,7 +153,7 @@ def _picks(n: Column) -> dict[str, Column]:
     return out
 
 
-def _order_statistics_large(rows: DataFrame) -> DataFrame:
+def _order_statistics(rows: DataFrame) -> DataFrame:
     """Order statistics without listing a group: counts per value, ordered within narrow value buckets."""
     values = rows.groupBy("request_id", "n", "sim").agg(F.count(F.lit(1)).alias("c"))
     values = values.withColumn("b", F.floor(F.col("sim") * BUCKETS))
@@ -165,7 +165,7 @@ def _order_statistics_large(rows: DataFrame) -> DataFrame:
     placed = values.withColumn("upto", F.sum("c").over(upto)).join(buckets, ["request_id", "b"])
     end = F.col("skip") + F.col("upto")
     hit = {k: (end - F.col("c") <= i) & (i < end) for k, i in _picks(F.col("n")).items()}
-    return placed.groupBy("request_id").agg(*[F.max(F.when(h, F.col("sim"))).alias(f"_{k}") for k, h in hit.items()])
+    return placed.groupBy("request_id").agg(*[F.max(F.when(h, F.col("sim"))).alias(k) for k, h in hit.items()])
 
 
 def _lerp(row: str, name: str) -> Column:
@@ -176,6 +176,7 @@ def _lerp(row: str, name: str) -> Column:
 
 def similarity_statistics(sims: DataFrame, prefix: str, extra: list[Column] = ()) -> DataFrame:
     """Statistics of the column ``sim`` per request; ``n`` is the number of rows of the request."""
+    sims = materialise(sims, "similarities")  # read by the aggregate and by the order statistics
     stats = sims.groupBy("request_id").agg(
         F.max("n").alias("n"),
         F.max("sim").alias(f"{prefix}_sim_max"),
@@ -183,15 +184,10 @@ def similarity_statistics(sims: DataFrame, prefix: str, extra: list[Column] = ()
         F.min("sim").alias(f"{prefix}_sim_min"),
         F.var_pop("sim").alias(f"{prefix}_sim_var"),
         *[F.avg((F.col("sim") > t).cast("double")).alias(f"cand_sim_>{t}_ratio") for t in (0.3, 0.5, 0.7)],
-        F.sort_array(F.collect_list(F.when(F.col("n") <= LISTED, F.col("sim")))).alias("listed"),
         *extra,
     )
-    large = _order_statistics_large(sims.filter(F.col("n") > LISTED).select("request_id", "n", "sim"))
-    joined = stats.join(large, "request_id", "left")
-    picked = joined.withColumns({
-        k: F.coalesce(F.get("listed", i.cast("int")), F.col(f"_{k}")) for k, i in _picks(F.col("n")).items()
-    })
-    keep = [c for c in stats.columns if c not in ("n", "listed")]
+    picked = stats.join(_order_statistics(sims.select("request_id", "n", "sim")), "request_id")
+    keep = [c for c in stats.columns if c != "n"]
     return picked.select(
         *[F.col(f"`{c}`") for c in keep],
         *[_lerp("", p).alias(f"{prefix}_sim_{p}") for p in PROBS],
@@ -271,71 +267,84 @@ def pairwise(table: DataFrame) -> DataFrame:
 
 
 def singular_sum(table: DataFrame, prof: DataFrame, section: str, part: str, name: str) -> DataFrame:
-    """Sum of the top three singular values of the centred matrix of a section."""
-    own = table.filter(F.col("section") == section)
-    small = own.filter(F.col("blocks") == 1).select("request_id", M.top3_singular("m").alias(name))
-    merged = own.filter(F.col("blocks") > 1).select("request_id", M.gram("m").alias("g")).groupBy("request_id").agg(
-        V.sum_vector(F.col("g")).alias("g")
-    )
-    centre = prof.select("request_id", F.col(f"{part}.centroid").alias("mean"), F.col(f"{part}.n").alias("cnt"))
-    large = merged.join(centre, "request_id").select("request_id", M.top3_from_gram("g", "mean", "cnt").alias(name))
-    return small.unionByName(large)
-
+    """Sum of the top three singular values of the centred matrix of a section.
 
-def _large_labels(rows: DataFrame) -> DataFrame:
-    """Lloyd's steps for requests of several blocks: request_id, dpos, label. Centres are one row per request."""
-    key = ["request_id"]
+    They are the roots of the eigenvalues of the Gram matrix of the centred rows; Grams of several blocks add up.
+    """
+    centre = prof.select("request_id", F.col(f"{part}.centroid").alias("mean"))
+    own = table.filter(F.col("section") == section).select("request_id", "blocks", "m").join(centre, "request_id")
+    small = own.filter(F.col("blocks") == 1).select("request_id", M.top3_singular("m", "mean").alias(name))
+    merged = own.filter(F.col("blocks") > 1).select("request_id", M.centred_gram("m", "mean").alias("g")).groupBy(
+        "request_id"
+    ).agg(V.sum_vector(F.col("g")).alias("g"))
+    return small.unionByName(merged.select("request_id", M.top3_from_gram("g").alias(name)))
+
+
+def _at_blocks(many: DataFrame, centres: DataFrame) -> DataFrame:
+    """Blocks with their request's centres, joined per block so that a large request stays on many tasks."""
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+    return many.join(centres.select("request_id", "centres", each), ["request_id", "block"])
+
+
+def _farthest(many: DataFrame, centres: DataFrame) -> DataFrame:
+    """One more centre per request: the row farthest from its nearest centre, the first one on ties."""
+    found = _at_blocks(many, centres).select("request_id", "block", M.farthest_row("m", "centres").alias("f"))
+    best = found.groupBy("request_id").agg(F.max_by("f.v", F.struct(F.col("f.gap"), -F.col("block"))).alias("v"))
+    return centres.join(best, "request_id").select("request_id", "blocks", F.concat("centres", F.array("v")).alias("centres"))
+
+
+def _means(many: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """The centres moved to the means of their rows: sums per block, then per request; an empty cluster stays."""
+    sums = many.join(labels, ["request_id", "block"]).select("request_id", F.explode(M.label_sums("m", "labels")).alias("s"))
+    added = sums.groupBy("request_id", "s.label").agg(F.sum("s.n").alias("n"), V.sum_vector(F.col("s.total")).alias("total"))
+    mean = added.select("request_id", "label", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+    wide = mean.groupBy("request_id").agg(
+        *[F.first(F.when(F.col("label") == j, F.col("mean")), True).alias(f"m{j}") for j in range(M.CLUSTERS)]
+    )
+    moved = F.array(*[F.coalesce(f"m{j}", F.get("centres", F.lit(j))) for j in range(M.CLUSTERS)])
+    return centres.join(wide, "request_id").select("request_id", "blocks", moved.alias("centres"))
 
-    def gap(c: Column) -> Column:
-        return F.aggregate(F.zip_with("v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
-    def nearest(cs: list[Column]) -> Column:
-        d = [gap(c) for c in cs]
-        best = F.least(*d)
-        return F.when(d[0] == best, 0).when(d[1] == best, 1).otherwise(2)
+def _labels_of_many(many: DataFrame) -> DataFrame:
+    """Lloyd's steps of ``matrices.lloyd`` for requests of several blocks: request_id, block, labels.
 
-    def farthest(seeds: DataFrame, names: list[str]) -> DataFrame:
-        d = [gap(F.col(s)) for s in names]
-        nearest_seed = F.least(*d) if len(d) > 1 else d[0]
-        return rows.join(seeds, key).groupBy(*key).agg(
-            F.max_by("v", F.struct(nearest_seed, -F.col("dpos"))).alias(f"c{len(names)}")
-        )
+    A request is done when none of its labels moves; only the others go on. Every step reads blocks and writes labels
+    and three centres a request.
+    """
+    def labelled(blocks_left: DataFrame, centres: DataFrame) -> DataFrame:
+        at = _at_blocks(blocks_left, centres)
+        return at.select("request_id", "block", M.nearest_labels("m", "centres").alias("labels"))
 
-    centres = rows.groupBy(*key).agg(F.min_by("v", "dpos").alias("c0"))
-    for i in range(1, M.CLUSTERS):
-        centres = centres.join(farthest(centres, [f"c{j}" for j in range(i)]), key)
+    centres = many.filter(F.col("block") == 0).select("request_id", "blocks", F.slice("m", 1, 1).alias("centres"))
+    for _ in range(1, M.CLUSTERS):
+        centres = _farthest(many, centres)
     centres = cut_lineage(centres)
-    names = [f"c{j}" for j in range(M.CLUSTERS)]
-    moved = None
-    for _ in range(M.LLOYD_STEPS):
-        labelled = rows.join(centres, key).withColumn("label", nearest([F.col(c) for c in names]))
-        means = labelled.groupBy(*key, "label").agg(V.mean_vector(F.col("v")).alias("mean"))
-        wide = means.groupBy(*key).agg(
-            *[F.first(F.when(F.col("label") == j, F.col("mean")), True).alias(f"m{j}") for j in range(M.CLUSTERS)]
-        )
-        moved = cut_lineage(centres.join(wide, key).select(
-            *key, *[F.coalesce(f"m{j}", f"c{j}").alias(f"c{j}") for j in range(M.CLUSTERS)]
-        ))
-        still = moved.unionByName(centres).distinct().count() == centres.count()
-        centres = moved
-        if still:
-            break
-    return rows.join(centres, key).select("request_id", "dpos", nearest([F.col(c) for c in names]).alias("label"))
-
-
-def clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
+    many = many.drop("blocks")
+    labels = materialise(labelled(many, centres), "labels")
+    left, done = many, []
+    while True:
+        centres = cut_lineage(_means(left, labels, centres))
+        after = materialise(labelled(left, centres), "labels")
+        changed = after.join(labels.withColumnRenamed("labels", "old"), ["request_id", "block"])
+        moving = cut_lineage(changed.filter(F.col("labels") != F.col("old")).select("request_id").distinct())
+        done.append(after.join(moving, "request_id", "left_anti"))
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        left = many.join(moving, "request_id", "left_semi")
+        labels = after.join(moving, "request_id", "left_semi")
+        centres = centres.join(moving, "request_id", "left_semi")
+
+
+def clusters(table: DataFrame) -> DataFrame:
     """Entropy of the sizes of three clusters, and the deviation between clusters of their mean distance."""
     table = table.filter(F.col("section") == "candidate").drop("section", "n")
     small = table.filter(F.col("blocks") == 1).withColumn("labels", M.cluster_labels("m")).filter(F.size("labels") > 0)
-    large_rows = rows.filter((F.col("section") == "candidate") & (F.col("n") > BLOCK))
-    if table.filter(F.col("blocks") > 1).isEmpty():
-        labelled = small
-    else:
-        labels = _large_labels(large_rows.select("request_id", "dpos", V.as_double("v").alias("v"))).groupBy(
-            "request_id", F.floor(F.col("dpos") / BLOCK).alias("block")
-        ).agg(F.transform(F.array_sort(F.collect_list(F.struct("dpos", "label"))), lambda s: s["label"]).alias("labels"))
-        large = table.filter(F.col("blocks") > 1).join(labels, ["request_id", "block"])
-        labelled = small.unionByName(large)
+    many = table.filter(F.col("blocks") > 1)
+    labelled = small
+    if not many.isEmpty():  # nothing to iterate otherwise
+        doubles = F.transform("m", lambda v: v.cast("array<double>"))
+        labels = _labels_of_many(many.select("request_id", "block", "blocks", doubles.alias("m")))
+        labelled = small.unionByName(many.join(labels, ["request_id", "block"]))
 
     def holds(j: int) -> Column:
         return F.size(F.filter("labels", lambda label: label == j))
@@ -362,26 +371,7 @@ def clusters(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 # --- wide tables ------------------------------------------------------------------------------------
 
-REC_FEATURES = (
-    ["hist_len", "hist_embedding_variance", "cand_embedding_dispersion"]
-    + [f"history_candidate_sim_{s}" for s in ("max", "mean", "min", "var", "p50", "p75", "p90", "p95", "top1_top2_gap")]
-    + ["top1_sim", "top10_sim", "top_k_sim_gap"]
-    + ["cand_pairwise_cos_mean", "cand_pairwise_cos_std", "cand_pairwise_cos_min"]
-    + ["cand_centroid_norm", "cand_cov_trace", "cand_pca_singular_top3_sum"]
-    + ["hist_adj_cos_mean", "hist_adj_cos_std", "hist_drift_cos", "hist_cov_trace", "hist_pca_singular_top3_sum"]
-    + ["cand_sim_>0.3_ratio", "cand_sim_>0.5_ratio", "cand_sim_>0.7_ratio"]
-    + ["cand_cluster_size_entropy_k3", "ambiguous_cluster_score"]
-    + ["hist_cand_centroid_cos", "hist_cand_centroid_dist", "c2h_recentK_mean", "c2h_recentK_max", "cand_density_wrt_hist"]
-)
-
-IR_FEATURES = (
-    ["query_norm", "cand_embedding_dispersion", "cand_pairwise_cos_mean", "cand_pairwise_cos_std", "cand_pairwise_cos_min"]
-    + ["cand_centroid_norm", "cand_cov_trace", "cand_pca_singular_top3_sum"]
-    + [f"query_candidate_sim_{s}" for s in ("max", "mean", "min", "var", "p50", "p75", "p90", "p95")]
-    + ["top1_sim", "top10_sim", "top_k_sim_gap", "qc_centroid_cos", "qc_centroid_dist"]
-    + ["cand_sim_>0.3_ratio", "cand_sim_>0.5_ratio", "cand_sim_>0.7_ratio"]
-    + ["cand_cluster_size_entropy_k3", "ambiguous_cluster_score", "cand_density_wrt_query"]
-)
+REC_FEATURES, IR_FEATURES = list(fv.REC_FEATURES), list(fv.IR_FEATURES)
 UNSET_FOR_IR = ("cand_sim_>0.3_ratio", "cand_sim_>0.5_ratio", "cand_sim_>0.7_ratio")
 
 
@@ -397,8 +387,7 @@ def _only(features: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def rec_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """The 36 recommendation features."""
-    rows = usable(entries)
-    table = materialise(blocks(rows), "vector-blocks", "section")
+    table = materialise(blocks(usable(entries)), "vector-blocks", "section")
     prof = materialise(profile(table), "vector-profile")
     sided = prof.filter(_both_sides()).select("request_id")
     parts = [
@@ -409,7 +398,7 @@ def rec_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
             adjacent(table), pairwise(table),
             singular_sum(table, prof, "history", "hist", "hist_pca_singular_top3_sum"),
             singular_sum(table, prof, "candidate", "cand", "cand_pca_singular_top3_sum"),
-            clusters(rows, table),
+            clusters(table),
         )
     ]
     joined = reduce(lambda a, b: a.join(b, "request_id", "left"), parts)
@@ -431,8 +420,7 @@ def ir_sides(prof: DataFrame) -> DataFrame:
 
 def ir_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """The 27 retrieval features; the threshold shares exist but stay 0 for retrieval."""
-    rows = usable(entries)
-    table = materialise(blocks(rows), "vector-blocks", "section")
+    table = materialise(blocks(usable(entries)), "vector-blocks", "section")
     prof = materialise(profile(table), "vector-profile")
     sides = ir_sides(prof)
     sided = sides.select("request_id")
@@ -440,7 +428,7 @@ def ir_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
         _only(t, sided)
         for t in (
             pairwise(table), singular_sum(table, prof, "candidate", "cand", "cand_pca_singular_top3_sum"),
-            clusters(rows, table),
+            clusters(table),
         )
     ]
     joined = reduce(lambda a, b: a.join(b, "request_id", "left"), parts)

@@ -41,7 +41,7 @@ _KEY = "r.request_id || ':' || mode || ':' || run"
 cte("x_runs", f"""
 WITH grid AS (
   SELECT request_id, mode, run FROM x_req, (VALUES ('direct'), ('cot')) m(mode), range(1, 7) g(run)
-  WHERE run <= CASE request_id % 10 WHEN 9 THEN 3 WHEN 4 THEN 6 ELSE 5 END),
+  WHERE request_id % 40 <> 27 AND run <= CASE request_id % 10 WHEN 9 THEN 3 WHEN 4 THEN 6 ELSE 5 END),
 ranked AS (
   SELECT r.request_id, mode, run, c.item_id,
          row_number() OVER (PARTITION BY r.request_id, mode, run ORDER BY
@@ -111,7 +111,7 @@ FROM x_sims GROUP BY request_id
 cte("x_irruns", f"""
 WITH grid AS (
   SELECT DISTINCT request_id, mode, run FROM x_sims, (VALUES ('direct'), ('cot')) m(mode), range(1, 6) g(run)
-  WHERE run <= CASE WHEN request_id % 3 = 0 THEN 5 ELSE 4 END),
+  WHERE request_id % 40 <> 27 AND run <= CASE WHEN request_id % 3 = 0 THEN 5 ELSE 4 END),
 ranked AS (
   SELECT r.request_id, mode, run, s.id, {h(_KEY)} AS h,
          row_number() OVER (PARTITION BY r.request_id, mode, run ORDER BY

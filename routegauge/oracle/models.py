@@ -3,8 +3,18 @@
 from routegauge import fixed_values as fv
 from routegauge.oracle.builder import cte, h, r6
 
-_SETS = ("01", "ab", "tf", "yn")
-
+_VARIANTS = ", ".join(
+    f"('{name}', '{side}', {i}, '{variant.strip()}')"
+    for name, sides in fv.VERBALIZERS.items() for side, variants in sides.items() for i, variant in enumerate(variants)
+)
+cte("x_known", f"""
+SELECT vs, side, min(no) AS no, {h('word')} % (SELECT n FROM x_nemb) AS token_id FROM (VALUES {_VARIANTS}) t(vs, side, no, word)
+WHERE word IN (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) FROM documents) GROUP BY vs, side, word
+""")
+cte("x_vset", """
+SELECT vs, side, token_id, min(no) AS no FROM x_known k
+WHERE (SELECT count(DISTINCT side) FROM x_known o WHERE o.vs = k.vs) = 2 GROUP BY vs, side, token_id
+""")
 cte("x_hidden", """
 SELECT r.request_id, q::INT AS q, side, e.v FROM (
   SELECT request_id, q, side, request_id * 20 + q * 2 + s AS k FROM x_req, range(1, 11) g(q), (VALUES ('dir', 0), ('cot', 1)) t(side, s)
@@ -12,8 +22,8 @@ SELECT r.request_id, q::INT AS q, side, e.v FROM (
 JOIN x_emb e ON e.vec_id = r.k % (SELECT n FROM x_nemb)
 """)
 cte("x_weights", """
-SELECT vec_id, ['01', 'ab', 'tf', 'yn'][vec_id // 4 + 1] AS vs, vec_id % 4 < 2 AS yes, v AS w, vec_id / 100.0::DOUBLE AS b
-FROM x_emb WHERE vec_id < 16
+SELECT s.vs, s.side = 'yes' AS yes, e.v AS w, e.vec_id % 16 / 100.0::DOUBLE AS b
+FROM x_vset s JOIN x_emb e ON e.vec_id = s.token_id
 """)
 cte("x_margin", """
 SELECT request_id, q, side, vs, ln(sum(exp(z)) FILTER (WHERE yes)) - ln(sum(exp(z)) FILTER (WHERE NOT yes)) AS m FROM (
@@ -86,9 +96,7 @@ FROM x_sums j JOIN x_sums k ON k.i >= j.i LEFT JOIN x_sums b ON b.i = j.i - 1
 """)
 
 MODELS = {
-    "checklist_margin": "SELECT request_id, q, side, " + ", ".join(
-        f"{r6(f'''max(m) FILTER (WHERE vs = '{s}')''')} AS margin_{s}" for s in _SETS
-    ) + " FROM x_margin GROUP BY request_id, q, side",
+    "checklist_margin": f'SELECT request_id, q, side, vs AS "set", {r6("m")} AS margin FROM x_margin',
     "checklist_probs": f"""SELECT request_id, q, {r6('p_dir')} AS p_dir, {r6('p_cot')} AS p_cot, {r6('margin_raw')} AS margin_raw,
         {r6('p_dir - p_cot')} AS margin FROM x_question""",
     "checklist_agg": f"""SELECT request_id, {r6('dir_mean')} AS dir_mean, {r6('cot_mean')} AS cot_mean, {r6('dir_mean - cot_mean')} AS gap_mean,
@@ -121,15 +129,5 @@ MODELS = {
         GROUP BY section""",
 }
 
-_VARIANTS = ", ".join(
-    f"('{name}', '{side}', {i}, '{variant.strip()}')"
-    for name, sides in fv.VERBALIZERS.items() for side, variants in sides.items() for i, variant in enumerate(variants)
-)
-cte("x_known", f"""
-SELECT vs, side, min(no) AS no, {h('word')} % (SELECT n FROM x_nemb) AS token_id FROM (VALUES {_VARIANTS}) t(vs, side, no, word)
-WHERE word IN (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) FROM documents) GROUP BY vs, side, word
-""")
 MODELS["verbalizer_sets"] = """
-    SELECT vs AS "set", side, (row_number() OVER (PARTITION BY vs, side ORDER BY no) - 1)::INT AS pos, token_id FROM (
-      SELECT vs, side, token_id, min(no) AS no FROM x_known GROUP BY vs, side, token_id) k
-    WHERE (SELECT count(DISTINCT side) FROM x_known o WHERE o.vs = k.vs) = 2"""
+    SELECT vs AS "set", side, (row_number() OVER (PARTITION BY vs, side ORDER BY no) - 1)::INT AS pos, token_id FROM x_vset"""

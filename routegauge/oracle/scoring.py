@@ -42,14 +42,18 @@ _CELLS = ",\n".join(
     for m in ("recall10", "ndcg10")
     for i in range(1, 6)
 )
+cte("x_asked", "SELECT request_id, mode FROM x_req, (VALUES ('direct'), ('cot')) m(mode)")
 cte("x_wide", f"""
-SELECT request_id, mode, {_CELLS},
+SELECT q.request_id, q.mode, {_CELLS},
   coalesce(avg(recall5), 0) AS "avg_recall@5", coalesce(avg(ndcg5), 0) AS "avg_ndcg@5",
   coalesce(avg(recall10) FILTER (WHERE run <= 5), 0) AS "avg_recall@10",
   coalesce(avg(ndcg10) FILTER (WHERE run <= 5), 0) AS "avg_ndcg@10"
-FROM x_runscore GROUP BY request_id, mode
+FROM x_asked q LEFT JOIN x_runscore s ON s.request_id = q.request_id AND s.mode = q.mode GROUP BY q.request_id, q.mode
+""")
+cte("x_tokens", """
+SELECT q.request_id, q.mode, coalesce(avg(coalesce(num_tokens, 0)) FILTER (WHERE run IS NOT NULL), 0) AS avg_tokens
+FROM x_asked q LEFT JOIN x_runs r ON r.request_id = q.request_id AND r.mode = q.mode GROUP BY q.request_id, q.mode
 """)
-cte("x_tokens", "SELECT request_id, mode, avg(coalesce(num_tokens, 0)) AS avg_tokens FROM x_runs GROUP BY ALL")
 
 _WIDE_COLS = [f"{m}_{i}" for m in ("recall10", "ndcg10") for i in range(1, 6)] + [
     "avg_recall@5", "avg_ndcg@5", "avg_recall@10", "avg_ndcg@10"
@@ -144,13 +148,14 @@ cte("x_irn5", _ir_ndcg("5", "({}::DOUBLE)"))
 cte("x_irn10", _ir_ndcg("10", "({}::DOUBLE)"))
 cte("x_irnexp", _ir_ndcg("l.n", "(pow(2, {}) - 1)"))
 
-_IRCELLS = ", ".join(f"coalesce(max(b.v) FILTER (WHERE run = {i}), 0) AS ndcg10_{i}" for i in range(1, 6))
+_IRCELLS = ", ".join(f"coalesce(max(n10) FILTER (WHERE run = {i}), 0) AS ndcg10_{i}" for i in range(1, 6))
 cte("x_irwide", f"""
-SELECT request_id, mode, avg(a.v) AS "avg_ndcg@5", avg(b.v) AS "avg_ndcg@10", avg(c.v) AS avg_pairacc,
-       avg(d.v) AS avg_top1, avg(e.v) AS "avg_spearmanF", {_IRCELLS}
-FROM x_irn5 a JOIN x_irn10 b USING (request_id, mode, run) JOIN x_irpair c USING (request_id, mode, run)
-JOIN x_irtop1 d USING (request_id, mode, run) JOIN x_irfoot e USING (request_id, mode, run)
-GROUP BY request_id, mode
+SELECT q.request_id, q.mode, coalesce(avg(n5), 0) AS "avg_ndcg@5", coalesce(avg(n10), 0) AS "avg_ndcg@10",
+       coalesce(avg(pa), 0) AS avg_pairacc, coalesce(avg(t1), 0) AS avg_top1, coalesce(avg(fr), 0) AS "avg_spearmanF", {_IRCELLS}
+FROM (SELECT request_id, mode FROM x_irtruth, (VALUES ('direct'), ('cot')) m(mode)) q LEFT JOIN (
+SELECT request_id, mode, run, a.v AS n5, b.v AS n10, c.v AS pa, d.v AS t1, e.v AS fr FROM x_irn5 a JOIN x_irn10 b USING (request_id, mode, run) JOIN x_irpair c USING (request_id, mode, run)
+JOIN x_irtop1 d USING (request_id, mode, run) JOIN x_irfoot e USING (request_id, mode, run)) s
+ON s.request_id = q.request_id AND s.mode = q.mode GROUP BY q.request_id, q.mode
 """)
 _IRCOLS = ["avg_ndcg@5", "avg_ndcg@10", "avg_pairacc", "avg_top1", "avg_spearmanF"] + [f"ndcg10_{i}" for i in range(1, 6)]
 
@@ -201,7 +206,7 @@ SCORING = {
     "ir_ndcg_exp": f"SELECT request_id, mode, run, {r6('v')} AS ndcg FROM x_irnexp",
     "ir_metrics_wide": f"SELECT request_id, mode, {_rounded(_IRCOLS)} FROM x_irwide",
     "ir_summary": f"""
-        SELECT mode, {_rounded(_IRCOLS, 'avg({})')}, {r6('avg(avg_tokens)')} AS avg_tokens
-        FROM x_irwide JOIN (SELECT request_id, mode, avg(coalesce(num_tokens, 0)) AS avg_tokens FROM x_irruns GROUP BY ALL)
+        SELECT mode, {_rounded(_IRCOLS, 'avg({})')}, {r6('avg(coalesce(avg_tokens, 0))')} AS avg_tokens
+        FROM x_irwide LEFT JOIN (SELECT request_id, mode, avg(coalesce(num_tokens, 0)) AS avg_tokens FROM x_irruns GROUP BY ALL)
         USING (request_id, mode) GROUP BY mode""",
 }

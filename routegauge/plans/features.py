@@ -105,10 +105,9 @@ def centroid_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def cand_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = D.requests(spark, sf_dir)
-    rows = E.usable(D.rec_vectors(spark, sf_dir, req))
-    table = _blocks(rows)
+    table = _blocks(E.usable(D.rec_vectors(spark, sf_dir, req)))
     names = ["cand_cluster_size_entropy_k3", "ambiguous_cluster_score"]
-    return _filled(req, _sided(E.profile(table), E.clusters(rows, table)), names)
+    return _filled(req, _sided(E.profile(table), E.clusters(table)), names)
 
 
 @plan

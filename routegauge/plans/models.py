@@ -25,7 +25,8 @@ from routegauge.sources import sinks
 
 def _probed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     hidden = D.probe_vectors(spark, sf_dir, D.requests(spark, sf_dir))
-    return C.margins(hidden, D.verbalizer_weights(spark, sf_dir))
+    sets = C.verbalizer_sets(D.verbalizer_tokens(spark, sf_dir))
+    return C.margins(hidden, D.verbalizer_weights(spark, sf_dir, sets))
 
 
 def question_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +41,10 @@ def verbalizer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def checklist_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One margin per verbalizer set that the vocabulary knows on both sides."""
     probed, names = _probed(spark, sf_dir)
-    columns = [F.get("margins", F.lit(i)).alias(f"margin_{n}") for i, n in enumerate(names)]
-    return rounded(probed.select("request_id", "q", "side", *columns))
+    named = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("set"), F.col("margins").alias("margin"))
+    return rounded(probed.select("request_id", "q", "side", F.explode(named).alias("x")).select("request_id", "q", "side", "x.*"))
 
 
 @plan

@@ -14,22 +14,27 @@ from routegauge.sources import derived as D
 from routegauge.sources import readers
 
 
+def _in_both_modes(req: DataFrame) -> DataFrame:
+    return req.select("request_id", F.explode(F.array(*[F.lit(m) for m in D.MODES])).alias("mode"))
+
+
 def _rec_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = D.requests(spark, sf_dir)
     return rec_scores.score_runs(D.rec_runs(req), req)
 
 
 def _rec_tokens(req: DataFrame) -> DataFrame:
-    wanted = req.select("request_id", F.explode(F.array(*[F.lit(m) for m in D.MODES])).alias("mode"))
-    return rec_scores.average_tokens(D.rec_runs(req), wanted)
+    return rec_scores.average_tokens(D.rec_runs(req), _in_both_modes(req))
 
 
-def rec_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec_scores.request_metrics(_rec_scored(spark, sf_dir))
+def rec_wide(spark: SparkSession, sf_dir: str, tokens: bool = False) -> DataFrame:
+    req = D.requests(spark, sf_dir)
+    scored = rec_scores.score_runs(D.rec_runs(req), req)
+    return rec_scores.request_metrics(scored, tokens=tokens, wanted=_in_both_modes(req))
 
 
 def rec_wide_with_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rec_scores.request_metrics(_rec_scored(spark, sf_dir), tokens=True)
+    return rec_wide(spark, sf_dir, tokens=True)
 
 
 def rec_pairs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
@@ -181,8 +186,7 @@ def ir_ndcg_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ir_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs, truth = _ir_inputs(spark, sf_dir)
-    n_runs = runs.agg(F.max("run")).first()[0] or 0
-    return ir_scores.request_metrics(ir_scores.score_runs(runs, truth), n_runs=n_runs)
+    return ir_scores.request_metrics(ir_scores.score_runs(runs, truth), n_runs=D.IR_RUNS, wanted=_in_both_modes(truth))
 
 
 @plan

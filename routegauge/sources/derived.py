@@ -1,8 +1,8 @@
 """Request, answer and vector tables derived from the raw tables.
 
 Everything is decided by integer arithmetic and md5, so any SQL engine derives the same rows.
-Each table is a lazy plan. Lists are bounded by construction: a sample is the last 23 distinct
-purchases of a customer (20 of history, 3 of truth) and at most 20 candidates.
+Each table is a lazy plan. A sample holds all distinct purchases of a customer (the last three are the
+truth, all before them the history) and at most 20 candidates. Some requests have no answers at all.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ TRUTH = 3
 NEGATIVES = 17
 LETTERS = "ABCDEFGHIJ"
 MODES = ("direct", "cot")
+IR_RUNS = 5  # most answers of a retrieval request in one mode
 
 
 def row_count(df: DataFrame) -> Column:
@@ -104,9 +105,14 @@ def mode_and_run(most: int) -> Column:
     ]))
 
 
+def _unanswered() -> Column:
+    """Requests that no model run answered."""
+    return F.col("request_id") % 40 == 27
+
+
 def rec_runs(req: DataFrame) -> DataFrame:
     """Model answers: request_id, mode, run, text, num_tokens (NULL when the count was lost)."""
-    n_runs = F.when(F.col("request_id") % 10 == 9, 3).when(F.col("request_id") % 10 == 4, 6).otherwise(5)
+    n_runs = F.when(_unanswered(), 0).when(F.col("request_id") % 10 == 9, 3).when(F.col("request_id") % 10 == 4, 6).otherwise(5)
     grid = req.select(
         "request_id",
         "truth",
@@ -231,11 +237,12 @@ def ir_truth(sims: DataFrame) -> DataFrame:
 
 
 def ir_runs(sims: DataFrame) -> DataFrame:
+    n_runs = F.when(_unanswered(), 0).when(F.col("request_id") % 3 == 0, IR_RUNS).otherwise(4)
     grid = sims.select(
         "request_id",
         "sims",
-        mode_and_run(5).alias("g"),
-    ).select("*", "g.mode", "g.run").filter(F.col("run") <= F.when(F.col("request_id") % 3 == 0, 5).otherwise(4))
+        mode_and_run(IR_RUNS).alias("g"),
+    ).select("*", "g.mode", "g.run").filter(F.col("run") <= n_runs)
     noise = F.when(F.col("mode") == "direct", F.lit(0.6)).otherwise(F.lit(0.3))
 
     def scored(s):
@@ -377,15 +384,12 @@ def verbalizer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VERBALIZER_SETS = ("01", "ab", "tf", "yn")
-
-
-def verbalizer_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """set, side, w, b: two output rows per side of each set, taken from the first sixteen vectors."""
-    first = embeddings(spark, sf_dir).filter(F.col("vec_id") < 16)
-    name = F.element_at(F.array(*[F.lit(n) for n in VERBALIZER_SETS]), (F.floor(F.col("vec_id") / 4) + 1).cast("int"))
-    side = F.when(F.col("vec_id") % 4 < 2, "yes").otherwise("no")
-    return first.select(name.alias("set"), side.alias("side"), F.col("vec").alias("w"), (F.col("vec_id") / 100.0).alias("b"))
+def verbalizer_weights(spark: SparkSession, sf_dir: str, sets: DataFrame) -> DataFrame:
+    """set, side, w, b: the output row of every token id of the verbalizer sets."""
+    tokens = sets.select("set", "side", F.explode("token_ids").alias("vec_id"))
+    return tokens.join(embeddings(spark, sf_dir), "vec_id").select(
+        "set", "side", F.col("vec").alias("w"), (F.col("vec_id") % 16 / 100.0).alias("b")
+    )
 
 
 def context_features(spark: SparkSession, sf_dir: str, req: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,21 +50,26 @@ def request_number(request_id: Column) -> Column:
     return F.regexp_extract(request_id, r"(\d+)\s*$", 1).cast("bigint")
 
 
-def explode_outputs(generated: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """One row per run, numbered from 1."""
+def explode_outputs(generated: DataFrame, keep: list[str] = (), keep_empty: bool = False) -> DataFrame:
+    """One row per run, numbered from 1. With ``keep_empty`` a record without outputs has one row, whose run is NULL."""
+    each = F.posexplode_outer if keep_empty else F.posexplode
     return generated.select(
-        request_number(F.col("request_id")).alias("request_id"), *keep, "prompt", F.posexplode("outputs").alias("p", "o")
+        request_number(F.col("request_id")).alias("request_id"), *keep, "prompt", each("outputs").alias("p", "o")
     ).select("request_id", *keep, "prompt", (F.col("p") + 1).alias("run"), "o.text", "o.num_tokens")
 
 
 def read_chats(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of chats, each an array of messages, to request_id, turn, role, content."""
-    whole = spark.read.text(path, wholetext=True)
-    chats = whole.select(F.from_json("value", f"array<{MESSAGES}>").alias("chats"))
-    bad_shape = F.raise_error(F.lit("chat file must be List[List[{'role','content'}]]")).cast(f"array<{MESSAGES}>")
-    checked = chats.select(F.posexplode(F.when(F.col("chats").isNull(), bad_shape).otherwise(F.col("chats"))))
-    return checked.select(F.col("pos").cast("bigint").alias("request_id"), F.posexplode("col").alias("turn", "m")).select(
-        "request_id", "turn", "m.role", "m.content"
+    """A JSON array of chats per file, each an array of messages, to file, request_id, turn, role, content.
+
+    request_id counts the chats of one file, so file and request_id together name a chat. A file is one array and
+    hence one task; large collections should come as JSON lines.
+    """
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    chats = whole.select("file", F.from_json("value", f"array<{MESSAGES}>").alias("chats"))
+    bad_shape = F.raise_error(F.lit("a chat file holds an array of arrays of messages")).cast(f"array<{MESSAGES}>")
+    checked = chats.select("file", F.posexplode(F.when(F.col("chats").isNull(), bad_shape).otherwise(F.col("chats"))))
+    return checked.select("file", F.col("pos").cast("bigint").alias("request_id"), F.posexplode("col").alias("turn", "m")).select(
+        "file", "request_id", "turn", "m.role", "m.content"
     )
 
 
@@ -104,8 +110,8 @@ def read_selected_columns(spark: SparkSession, path: str) -> list[str]:
     """Feature names listed under ``selected_cols``; a missing file gives an empty list."""
     try:
         row = spark.read.schema("selected_cols array<string>").json(path, multiLine=True).first()
-    except Exception as e:  # only a missing path means "no list"
-        if "PATH_NOT_FOUND" in str(e):
+    except AnalysisException as e:  # only a missing path means "no list"
+        if e.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
     return list(row[0] or []) if row else []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from routegauge.functions import answers as A
 from routegauge.functions import list_metrics as LM
-from routegauge.operators import mode_compare, rec_scores
+from routegauge.operators import ir_scores, mode_compare, rec_scores
 
 
 def evaluate(spark, value, **columns):
@@ -108,5 +108,21 @@ def test_failed_runs_count_as_zero_when_loaded(spark):
 def test_modes_must_hold_the_same_requests(spark):
     d = spark.createDataFrame([(1, 0.1), (2, 0.2)], "request_id bigint, m double")
     c = spark.createDataFrame([(1, 0.3)], "request_id bigint, m double")
-    with pytest.raises(Exception, match="different samples"):
+    with pytest.raises(Exception, match="one mode only"):
         mode_compare.pair_modes(d, c, ["m"]).collect()
+
+
+def test_requests_without_runs_have_rows(spark):
+    schema = "request_id bigint, mode string, run int, text string, num_tokens int"
+    runs = spark.createDataFrame([(1, "direct", 1, "[5, 6]", 8)], schema)
+    requests = spark.createDataFrame([(1, [5]), (2, [6])], "request_id bigint, truth array<bigint>")
+    wanted = requests.select("request_id", F.lit("direct").alias("mode"))
+    wide = rec_scores.request_metrics(rec_scores.score_runs(runs, requests), tokens=True, wanted=wanted)
+    rows = {r["request_id"]: r for r in wide.collect()}
+    assert rows[1]["ndcg10_1"] == 1.0 and rows[1]["avg_tokens"] == 8.0
+    assert rows[2]["ndcg10_1"] == -1.0 and rows[2]["avg_ndcg@10"] == 0.0 and rows[2]["avg_tokens"] == 0.0
+    truth = spark.createDataFrame([(1, "[A] > [B]"), (2, "[A]")], "request_id bigint, ground_truth string")
+    answers = runs.withColumn("text", F.lit("[A] > [B]"))
+    scored = ir_scores.score_runs(answers, truth)
+    rows = {r["request_id"]: r for r in ir_scores.request_metrics(scored, wanted=wanted).collect()}
+    assert rows[1]["avg_top1"] == 1.0 and rows[2]["avg_top1"] == 0.0 and rows[2]["ndcg10_1"] == 0.0

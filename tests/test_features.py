@@ -1,4 +1,4 @@
-"""Vector features against NumPy, on one block and with blocks, chunks and lists made tiny."""
+"""Vector features against NumPy, on one block and with blocks, and chunks made tiny."""
 
 import numpy as np
 import pytest
@@ -85,7 +85,6 @@ def test_rec_features_match_numpy(spark, monkeypatch, tiny):
     if tiny:  # several blocks, chunks and value buckets per request
         monkeypatch.setattr(E, "BLOCK", 8)
         monkeypatch.setattr(E, "CHUNK", 5)
-        monkeypatch.setattr(E, "LISTED", 4)
     df, truth = entries(spark, SIZES)
     req = spark.createDataFrame([(r,) for r in SIZES], "request_id bigint")
     got = {r["request_id"]: r.asDict() for r in E.rec_features(req, df).collect()}

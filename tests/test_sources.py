@@ -20,6 +20,8 @@ def test_generation_output_as_array_or_lines(spark, tmp_path, as_array):
     path.write_text(json.dumps(RECORDS, indent=1) if as_array else "\n".join(["", *map(json.dumps, RECORDS), ""]))
     rows = readers.explode_outputs(readers.read_outputs(spark, str(path))).orderBy("run").collect()
     assert [(r["request_id"], r["run"], r["text"], r["num_tokens"]) for r in rows] == [(0, 1, "[1]", 4), (0, 2, "[2]", None)]
+    empty = readers.explode_outputs(readers.read_outputs(spark, str(path)), keep_empty=True).filter("run IS NULL").collect()
+    assert [r["request_id"] for r in empty] == [12]
 
 
 def test_catalogues(spark, tmp_path):
@@ -37,7 +39,7 @@ def test_chats_and_their_shape(spark, tmp_path):
     good.write_text(json.dumps([[{"role": "system", "content": "s"}, {"role": "user", "content": "u"}], [{"role": "user", "content": "v"}]]))
     bad.write_text("not json")
     assert readers.read_chats(spark, str(good)).count() == 3
-    with pytest.raises(Exception, match="List"):
+    with pytest.raises(Exception, match="array of arrays"):
         readers.read_chats(spark, str(bad)).collect()
 
 

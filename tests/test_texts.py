@@ -130,7 +130,7 @@ def test_system_prompt_rules(spark):
     df = spark.createDataFrame([("ml-1m", "direct"), ("MovieLens", "direct"), ("steam", "CoT"), ("IR", "agent")], "d string, m string")
     got = [r[0] for r in df.select(Q.system_prompt(F.col("d"), F.col("m"), "D", "C")).collect()]
     assert got == ["D", fv.MOVIE_SYSTEM, fv.GAME_SYSTEM, fv.RANK_SYSTEM]
-    with pytest.raises(Exception, match="Unsupported dataset"):
+    with pytest.raises(Exception, match="dataset without a prompt"):
         spark.createDataFrame([("books", "agent")], "d string, m string").select(Q.system_prompt(F.col("d"), F.col("m"))).collect()
 
 
