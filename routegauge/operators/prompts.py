@@ -133,6 +133,16 @@ def checklist_block(domain: str) -> str:
     return "\n".join([*lines, fv.CHECKLIST_OUTRO])
 
 
+def with_system(turns: DataFrame, text: str) -> DataFrame:
+    """Chats without a system turn get one with the text, and their other turns move up by one."""
+    chats = turns.groupBy("request_id", "dataset").agg(F.max((F.col("role") == "system").cast("int")).alias("_has"))
+    moved = turns.join(chats.select("request_id", "_has"), "request_id").withColumn("turn", F.col("turn") + 1 - F.col("_has"))
+    added = chats.filter(F.col("_has") == 0).select(
+        "request_id", "dataset", F.lit(0).alias("turn"), F.lit("system").alias("role"), F.lit(text).alias("content")
+    )
+    return moved.drop("_has").unionByName(added)
+
+
 def checklist_chat(turns: DataFrame) -> DataFrame:
     """Every assistant turn becomes the checklist; a chat without one gets it as last turn.
 

@@ -1,4 +1,4 @@
-"""Advantage models, grading models and calibration with MLlib.
+"""Advantage models and grading models with MLlib, calibrated on the scores they give.
 
 MLlib has no listwise ranking loss and no monotone constraint, so the ranker is a boosted regression on
 the gain of each grade, with early stopping on the dev rows.
@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegauge.functions.hashing import h32
-
-RESOLUTION = 4  # digits of a score that calibration tells apart, which bounds the fitted steps
+from routegauge.operators.calibration import fit_isotonic
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -46,26 +45,9 @@ def train_ranker(train: DataFrame, dev: DataFrame, weight: str = "weight", **par
     return _booster("_gain", weight, **settings).fit(both.withColumn("_gain", gain))
 
 
-def isotonic_steps(df: DataFrame, score: str, label: str, weight: Column | None = None, digits: int = RESOLUTION) -> DataFrame:
-    """Scores at the calibration's resolution with total weight and weighted mean label."""
-    w = F.lit(1.0) if weight is None else weight
-    steps = df.select(F.round(score, digits).alias("score"), F.col(label).alias("label"), w.alias("w"))
-    return steps.groupBy("score").agg(F.sum("w").alias("weight"), (F.sum(F.col("label") * F.col("w")) / F.sum("w")).alias("label"))
-
-
-def fit_isotonic(df: DataFrame, score: str, label: str, weight: Column | None = None, digits: int = RESOLUTION) -> IsotonicRegressionModel:
-    """Non-decreasing calibration; interpolates between steps and clips outside."""
-    steps = isotonic_steps(df, score, label, weight, digits)
-    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(steps)
-
-
-def calibrate(model: IsotonicRegressionModel, df: DataFrame, score: str) -> DataFrame:
-    return model.setFeaturesCol(score).setPredictionCol("calibrated").transform(df)
-
-
 def fit_isotonic_cv(
     train: DataFrame, label: str = "advantage", folds: int = 5, seed: int = 0, **params
-) -> tuple[GBTRegressionModel, IsotonicRegressionModel]:
+) -> tuple[GBTRegressionModel, DataFrame]:
     """Calibrate on out-of-fold predictions, then refit the base model on everything."""
     folded = train.withColumn("_fold", h32("request_id", F.lit(seed)) % folds)
     held_out = None
@@ -73,5 +55,4 @@ def fit_isotonic_cv(
         model, _ = train_advantage(folded.filter(F.col("_fold") != k), label, None, **params)
         part = model.transform(folded.filter(F.col("_fold") == k)).select("prediction", label)
         held_out = part if held_out is None else held_out.unionByName(part)
-    iso = fit_isotonic(held_out, "prediction", label)
-    return train_advantage(train, label, None, **params)[0], iso
+    return train_advantage(train, label, None, **params)[0], fit_isotonic(held_out, "prediction", label)

@@ -177,8 +177,10 @@ _QUESTIONS = ", ".join(
     for k, d in _DOMAINS.items() for i, pair in enumerate(fv.CHECKLIST[d], 1) for side, text in zip(("dir", "cot"), pair)
 )
 cte("x_chat", """
-SELECT conv_id AS request_id, turn::INT AS turn, role, text AS content FROM conversations
-WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')
+SELECT conv_id AS request_id, (turn + CASE WHEN conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system') THEN 0 ELSE 1 END)::INT AS turn,
+  role, text AS content FROM conversations
+UNION ALL SELECT conv_id, 0::INT, 'system', 'Answer at once.' FROM conversations
+GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'system') = 0
 """)
 
 cte("x_loaded", """

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routegauge import fixed_values as fv
+from routegauge.operators import calibration as K
 from routegauge.operators import checklist as C
 from routegauge.operators import labels as L
 from routegauge.operators import policies as P
@@ -148,16 +149,16 @@ def train_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = R.core(spark, sf_dir)
-    model = T.fit_isotonic(scored, "score", "advantage", digits=3)
-    steps = T.isotonic_steps(scored, "score", "advantage", digits=3)
-    return rounded(T.calibrate(model, steps, "score").select("score", "weight", "calibrated"))
+    steps = K.fit_isotonic(scored, "score", "advantage")
+    counts = scored.groupBy("score").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return rounded(K.calibrate(steps, counts, "score").select("score", "weight", "calibrated"))
 
 
 @plan
 def isotonic_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = training_table(spark, sf_dir)
     model, iso = T.fit_isotonic_cv(_of(table, "train"), maxIter=3, maxDepth=3)
-    return T.calibrate(iso, model.transform(table), "prediction").select("request_id", "split", "prediction", "calibrated")
+    return K.calibrate(iso, model.transform(table), "prediction").select("request_id", "split", "prediction", "calibrated")
 
 
 @plan
@@ -166,8 +167,8 @@ def trained_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _graded(spark, sf_dir)
     train = _of(table, "train")
     model = T.train_ranker(train, _of(table, "dev"), maxIter=10, maxDepth=4)
-    iso = T.fit_isotonic(model.transform(train), "prediction", "advantage")
-    scored = T.calibrate(iso, model.transform(table), "prediction").select(
+    iso = K.fit_isotonic(model.transform(train), "prediction", "advantage")
+    scored = K.calibrate(iso, model.transform(table), "prediction").select(
         "request_id", "split", "mu_d", "mu_c", "tok_d", "tok_c", F.col("calibrated").alias("score")
     )
     ranked, mode = R.signed_ranks(scored)

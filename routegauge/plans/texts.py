@@ -124,8 +124,7 @@ def checklist_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def checklist_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = D.chat_turns(spark, sf_dir).withColumn("dataset", _chat_datasets())
-    with_system = turns.filter(F.col("role") == "system").select("request_id").distinct()
-    return Q.checklist_chat(turns.join(with_system, "request_id", "left_semi"))
+    return Q.checklist_chat(Q.with_system(turns, DIRECT_SYSTEM))
 
 
 @plan
