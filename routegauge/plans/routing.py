@@ -15,6 +15,7 @@ from routegauge.operators.mode_compare import pair_long
 from routegauge.operators.ranking import with_rank
 from routegauge.plans.registry import plan, rounded
 from routegauge.plans.scoring import rec_wide, rec_wide_with_tokens
+from routegauge.session import cut_lineage
 from routegauge.sources import derived as D
 
 BUDGETS = 11
@@ -215,20 +216,20 @@ def min_rate_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = split_core(spark, sf_dir)
+    scored = cut_lineage(core(spark, sf_dir))  # targets and selection both read it
     middle = budget_targets(scored)[BUDGETS // 2]
     return rounded(P.budget_curve(scored, [middle]))
 
 
 @plan
 def budget_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = split_core(spark, sf_dir)
+    scored = cut_lineage(core(spark, sf_dir))  # targets and selection both read it
     return rounded(P.budget_curve(scored, budget_targets(scored)))
 
 
 @plan
 def eta_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = split_core(spark, sf_dir)
+    scored = cut_lineage(core(spark, sf_dir))  # targets and selection both read it
     rows = [
         P.eta_for_budget(scored, t).withColumn("target", F.lit(t)) for t in budget_targets(scored)[1::4]
     ]

@@ -96,9 +96,12 @@ def test_item_lines_of_each_dataset(spark):
     text = "§ID:1 Title:A; Genres:x\n§ID:2 Title:B\n§ID:3\nID:4"
     df = spark.createDataFrame([(1, text, d) for d in ["ml-1m"]] + [(2, text, "my-amazon-game-2"), (3, text, "steam")], "request_id bigint, prompt string, dataset string")
     got = {}
-    for r in S.item_blocks(S.line_table(df)).collect():
-        got.setdefault(r["request_id"], []).append(r["item_id"])
-    assert {k: sorted(v) for k, v in got.items()} == {1: [1, 2], 2: [1, 2], 3: [3]}
+    for strict in (True, False):
+        got = {}
+        for r in S.item_blocks(S.line_table(df), strict).collect():
+            got.setdefault(r["request_id"], []).append(r["item_id"])
+        third = [3] if strict else [1, 2]  # prompts under this name are printed with titles
+        assert {k: sorted(v) for k, v in got.items()} == {1: [1, 2], 2: [1, 2], 3: third}
 
 
 def test_token_spans_and_pooling(spark):
