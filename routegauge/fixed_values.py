@@ -53,7 +53,6 @@ MOVIE_ALIASES = ("ml-1m", "movielens", "movie")
 GAME_ALIASES = ("amazon-game", "steam", "game")
 IR_ALIASES = ("rank_ir", "retrieval", "ir")
 REC_KINDS = ("ml-1m", "amazon-game")
-IR_KINDS = ("rank_ir", "ir", "retrieval", "search")
 
 # --- Fixed values: answer patterns (Java regular expressions) --------------------------------------
 
