@@ -91,6 +91,10 @@ DEV_RATIO = 0.25
 SPLIT_SEED = 2025
 RANK_QUANTILES = (0.5, 0.8, 0.95)
 MIN_POSITIVES = 50
+ADVANTAGE_ROUNDS = 100
+ADVANTAGE_PATIENCE = 10
+RANKER_ROUNDS = 2000
+RANKER_PATIENCE = 200
 
 GENRE_COLUMNS = (
     "history_genre_entropy",

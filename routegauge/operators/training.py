@@ -1,20 +1,26 @@
 """Advantage models and grading models with MLlib, calibrated on the scores they give.
 
-MLlib has no listwise ranking loss and no monotone constraint, so the ranker is a boosted regression on
-the gain of each grade, with early stopping on the dev rows.
+MLlib has no listwise ranking loss, so the ranker is a boosted regression on the gain of each grade. It has no monotone
+constraint either: a column that the score must fall in enters as a falling step function of its own, and the trees,
+which do not see that column, fit what the steps leave.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routegauge import fixed_values as fv
 from routegauge.functions.hashing import h32
-from routegauge.operators.calibration import fit_isotonic
+from routegauge.operators.calibration import calibrate, fit_isotonic
+from routegauge.session import cut_lineage
+
+VALIDATION_FOLDS = 10  # one of so many hash folds stops the advantage model
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -24,25 +30,94 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _booster(label: str, weight: str | None, **params) -> GBTRegressor:
-    settings = {"stepSize": 0.05, "maxBins": 255, "maxIter": 20, "maxDepth": 5, "seed": 0} | params
+    settings = {"stepSize": 0.05, "maxBins": 255, "seed": 0} | params
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **settings)
     return gbt.setWeightCol(weight) if weight else gbt
 
 
-def train_advantage(train: DataFrame, label: str = "advantage", weight: str | None = "weight", **params) -> tuple[GBTRegressionModel, float]:
-    """Boosted regression of the advantage, and its (weighted) training error."""
-    model = _booster(label, weight, **params).fit(train)
+def boost_with_patience(gbt: GBTRegressor, train: DataFrame, valid: DataFrame, most: int, patience: int) -> GBTRegressionModel:
+    """Trees up to the round with the least squared error on ``valid``, sought until ``patience`` rounds bring nothing better.
+
+    MLlib's own early stopping ends at the first round without a gain. Fits of one seed share their first trees, so the
+    rounds are doubled until the best one lies far enough back (or ``most`` is reached), and the best prefix is fitted
+    again. Without validation rows all ``most`` rounds are kept. Both tables should be stored: every tree reads ``train``.
+    """
+    if valid.isEmpty():
+        return gbt.setMaxIter(most).fit(train)
+    rounds = min(most, patience + max(patience // 4, 1))
+    while True:
+        model = gbt.setMaxIter(rounds).fit(train)
+        errors = model.evaluateEachIteration(valid, "squared")
+        best = min(range(rounds), key=errors.__getitem__) + 1
+        if best == rounds == most:
+            return model
+        if best + patience <= rounds or rounds == most:
+            return gbt.setMaxIter(best).fit(train)
+        rounds = min(most, 2 * rounds)
+
+
+def train_advantage(
+    train: DataFrame, label: str = "advantage", weight: str | None = "weight", most: int = fv.ADVANTAGE_ROUNDS,
+    patience: int = fv.ADVANTAGE_PATIENCE, seed: int = 0, **params,
+) -> tuple[GBTRegressionModel, float]:
+    """Boosted regression of the advantage, stopped on a tenth of ``train``, and its (weighted) error on all of ``train``."""
+    settings = {"maxDepth": 5, "minInstancesPerNode": 20} | params
+    held = h32("request_id", F.lit(f"stop-{seed}")) % VALIDATION_FOLDS == 0
+    wanted = ["features", label] + ([weight] if weight else [])
+    fitted = cut_lineage(train.filter(~held).select(*wanted))
+    model = boost_with_patience(_booster(label, weight, **settings), fitted, train.filter(held), most, patience)
     scored = model.transform(train)
     evaluator = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mse")
     return model, (evaluator.setWeightCol(weight) if weight else evaluator).evaluate(scored)
 
 
-def train_ranker(train: DataFrame, dev: DataFrame, weight: str = "weight", **params) -> GBTRegressionModel:
-    """Boosted regression of the gain of ``grade``; dev rows decide when to stop."""
-    both = train.withColumn("_valid", F.lit(False)).unionByName(dev.withColumn("_valid", F.lit(True)))
+class Ranker(NamedTuple):
+    """Boosted trees plus, where a column is named, a step function that never rises in it."""
+
+    model: GBTRegressionModel
+    falling: str | None = None
+    steps: DataFrame | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction``."""
+        scored = self.model.transform(df)
+        if self.falling is None:
+            return scored
+        return _with_falling(scored, self.falling, self.steps).withColumn(
+            "prediction", F.col("prediction") + F.col("_falling")
+        ).drop("_falling")
+
+
+def _against(column: str):
+    """The negated column, a missing value counting as 0; steps that rise in it fall in the column."""
+    return -F.coalesce(F.col(f"`{column}`"), F.lit(0.0)).cast("double")
+
+
+def _with_falling(df: DataFrame, column: str, steps: DataFrame) -> DataFrame:
+    asked = calibrate(steps, df.withColumn("_against", _against(column)), "_against", "_falling")
+    return asked.withColumn("_falling", F.coalesce("_falling", F.lit(0.0))).drop("_against")
+
+
+def train_ranker(
+    train: DataFrame, dev: DataFrame, weight: str = "weight", falling: str | None = None, most: int = fv.RANKER_ROUNDS,
+    patience: int = fv.RANKER_PATIENCE, **params,
+) -> Ranker:
+    """Boosted regression of the gain of ``grade``; dev rows decide when to stop.
+
+    With ``falling``, a column that ``features`` should leave out, the score never rises in that column.
+    """
+    settings = {"maxDepth": 6, "minInstancesPerNode": 100} | params
     gain = F.when(F.col("grade") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.col("grade") - 1.0))
-    settings = {"validationIndicatorCol": "_valid"} | params
-    return _booster("_gain", weight, **settings).fit(both.withColumn("_gain", gain))
+    train, dev = train.withColumn("_gain", gain), dev.withColumn("_gain", gain)
+    steps = None
+    if falling is not None:
+        steps = fit_isotonic(train.withColumn("_against", _against(falling)), "_against", "_gain", F.col(weight))
+        train, dev = [
+            _with_falling(df, falling, steps).withColumn("_gain", F.col("_gain") - F.col("_falling")) for df in (train, dev)
+        ]
+    train, dev = [cut_lineage(df.select("features", "_gain", weight)) for df in (train, dev)]
+    model = boost_with_patience(_booster("_gain", weight, **settings), train, dev, most, patience)
+    return Ranker(model, falling, steps)
 
 
 def fit_isotonic_cv(

@@ -117,10 +117,15 @@ def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models -----------------------------------------------------------------------------------------
 
 
-def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Split core joined with the features, materialised because boosting reads it many times."""
+#: More tokens for reasoning never raise the ranker's score.
+FALLING = "delta_tokens_mean"
+
+
+def training_table(spark: SparkSession, sf_dir: str, without: str | None = None) -> DataFrame:
+    """Split core joined with the features (but one, if named), materialised because boosting reads it many times."""
     scored = R.split_core(spark, sf_dir).withColumn("delta_tokens_mean", F.col("tok_c") - F.col("tok_d"))
-    return cut_lineage(T.assemble(scored.join(feature_table(spark, sf_dir), "request_id", "left"), FEATURES))
+    names = [c for c in FEATURES if c != without]
+    return cut_lineage(T.assemble(scored.join(feature_table(spark, sf_dir), "request_id", "left"), names))
 
 
 def _of(df: DataFrame, split: str) -> DataFrame:
@@ -130,19 +135,19 @@ def _of(df: DataFrame, split: str) -> DataFrame:
 @plan
 def train_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = training_table(spark, sf_dir)
-    model, mse = T.train_advantage(_of(table, "train"), maxIter=10, maxDepth=4)
+    model, mse = T.train_advantage(_of(table, "train"))
     return model.transform(table).select("request_id", "split", "advantage", "prediction", F.lit(mse).alias("train_mse"))
 
 
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = training_table(spark, sf_dir)
+    table = training_table(spark, sf_dir, without=FALLING)
     return L.rank_labels(table, L.rank_thresholds(_of(table, "train")))
 
 
 @plan
 def train_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _graded(spark, sf_dir)
-    model = T.train_ranker(_of(table, "train"), _of(table, "dev"), maxIter=10, maxDepth=4)
+    model = T.train_ranker(_of(table, "train"), _of(table, "dev"), falling=FALLING)
     return model.transform(table).select("request_id", "split", "grade", "prediction")
 
 
@@ -157,7 +162,7 @@ def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def isotonic_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = training_table(spark, sf_dir)
-    model, iso = T.fit_isotonic_cv(_of(table, "train"), maxIter=3, maxDepth=3)
+    model, iso = T.fit_isotonic_cv(_of(table, "train"))
     return K.calibrate(iso, model.transform(table), "prediction").select("request_id", "split", "prediction", "calibrated")
 
 
@@ -166,7 +171,7 @@ def trained_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, ranker, calibration on train, policies from dev, reports on dev and test."""
     table = _graded(spark, sf_dir)
     train = _of(table, "train")
-    model = T.train_ranker(train, _of(table, "dev"), maxIter=10, maxDepth=4)
+    model = T.train_ranker(train, _of(table, "dev"), falling=FALLING)
     iso = K.fit_isotonic(model.transform(train), "prediction", "advantage")
     scored = K.calibrate(iso, model.transform(table), "prediction").select(
         "request_id", "split", "mu_d", "mu_c", "tok_d", "tok_c", F.col("calibrated").alias("score")
