@@ -75,6 +75,11 @@ SELECT c.request_id, c.dpos, {cos('c', 'q')} AS sim, list_distance(c.v, q.v) AS
 FROM x_irc c JOIN x_irq q ON q.request_id = c.request_id
 """)
 cte("x_irstat", simstats("x_irsim"))
+cte("x_irpairs", f"""
+SELECT a.request_id, avg({cos('a', 'b')}) AS m, stddev_pop({cos('a', 'b')}) AS s, min({cos('a', 'b')}) AS lo
+FROM x_irc a JOIN x_irc b ON b.request_id = a.request_id AND a.dpos < b.dpos
+WHERE a.request_id IN (SELECT request_id FROM x_irq) GROUP BY a.request_id
+""")
 cte("x_irdens", "SELECT request_id, avg(d) AS d FROM x_irsim GROUP BY 1")
 cte("x_irvar", """
 SELECT request_id, sum(s) / greatest(any_value(n) - 1, 1) AS tr, any_value(cells) AS cells FROM (
@@ -137,3 +142,16 @@ FEATURES = {
         LEFT JOIN x_irq q ON q.request_id = r.request_id LEFT JOIN x_ircent c ON c.request_id = r.request_id
         LEFT JOIN x_irvar w ON w.request_id = r.request_id LEFT JOIN x_irdens d ON d.request_id = r.request_id""",
 }
+
+_REC_PARTS = ["hist_adjacent", "hist_drift", "cand_pairwise", "hist_cand_sim", "sim_topk", "recent_sim", "centroid_feats"]
+FEATURES["rec_features_stated"] = f"SELECT * FROM ({FEATURES['vec_spread']}) " + " ".join(
+    f"JOIN ({FEATURES[name]}) USING (request_id)" for name in _REC_PARTS
+)
+_IR_PAIRS = cols({"cand_pairwise_cos_mean": "p.m", "cand_pairwise_cos_std": "p.s", "cand_pairwise_cos_min": "p.lo"})
+FEATURES["ir_features_stated"] = f"""
+    SELECT *, {cols({f'cand_sim_>{t}_ratio': '0' for t in ('0.3', '0.5', '0.7')})} FROM ({FEATURES['query_cand_sim']})
+    JOIN (SELECT r.request_id, {_IR_PAIRS} FROM x_irall r LEFT JOIN x_irpairs p ON p.request_id = r.request_id) USING (request_id)"""
+FEATURES["entry_file_features"] = FEATURES["ir_features_stated"]
+FEATURES["catalogue_files"] = """
+    SELECT 'lines' AS file, item_id::BIGINT AS item_id, title, genres FROM x_items
+    UNION ALL SELECT 'csv', item_id::BIGINT, title, NULL FROM x_items"""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routegauge import fixed_values as fv
 from routegauge.operators import vector_features as E
 from routegauge.plans.registry import plan, rounded
-from routegauge.session import materialise
+from routegauge.session import materialise, scratch_path
 from routegauge.sources import derived as D
+from routegauge.sources import readers, sinks
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -136,3 +138,58 @@ def rec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ir_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = D.embeddings(spark, sf_dir).select(F.col("vec_id").alias("request_id"))
     return rounded(E.ir_features(req, D.ir_vectors(spark, sf_dir)))
+
+
+def _without_iterated(features: DataFrame) -> DataFrame:
+    """All but the singular values and clusters, which plain SQL cannot state."""
+    return features.drop(*[c for c in features.columns if "singular" in c or "cluster" in c])
+
+
+@plan
+def rec_features_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide recommendation table without its iterated columns, so that one statement checks the whole row."""
+    return _without_iterated(rec_features(spark, sf_dir))
+
+
+@plan
+def ir_features_stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide retrieval table without its iterated columns."""
+    return _without_iterated(ir_features(spark, sf_dir))
+
+
+def features_of_entries(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One feature row per record of an entry file; any kind that is not a retrieval kind counts as recommendation."""
+    entries = materialise(readers.read_entries(spark, path), "entries")  # ids given to records without one must stay
+    vectors = readers.entry_vectors(entries)
+    compute = E.ir_features if kind in fv.IR_KINDS else E.rec_features
+    return compute(readers.entry_numbers(entries), vectors)
+
+
+@plan
+def entry_file_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval features by way of an entry file: ten candidates and a query a record."""
+    vectors = D.ir_vectors(spark, sf_dir)
+    listed = F.array_sort(F.collect_list(F.when(F.col("section") == "candidate", F.struct("pos", "item_id", "vec"))))
+    asked = F.first(F.when(F.col("section") == "query", F.col("vec")), True)
+    entries = D.embeddings(spark, sf_dir).select(F.col("vec_id").alias("request_id")).join(
+        vectors.groupBy("request_id").agg(listed.alias("c"), asked.alias("q")), "request_id", "left"
+    ).select(
+        F.col("request_id").cast("string").alias("entry_id"),
+        F.transform("c", lambda x: F.struct(x["item_id"].alias("item_id"), x["vec"].alias("embedding"))).alias("candidates"),
+        F.struct(F.col("q").alias("embedding")).alias("query"),
+    )
+    path = scratch_path(spark, "entry-lines")
+    sinks.write_entries(entries, path, shard_size=5000, fmt="json")
+    return _without_iterated(rounded(features_of_entries(spark, path, "rank_ir")))
+
+
+@plan
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue written as ``::`` lines and as CSV, and read back from both."""
+    items = D.items(spark, sf_dir)
+    dat, csv = scratch_path(spark, "catalogue-dat"), scratch_path(spark, "catalogue-csv")
+    items.select(F.concat_ws("::", "item_id", "title", "genres")).write.option("encoding", "ISO-8859-1").text(dat)
+    sinks.write_table(items.select("item_id", "title"), csv, "csv")
+    lines = readers.read_items(spark, dat).withColumn("file", F.lit("lines"))
+    table = readers.read_items_csv(spark, csv).withColumn("genres", F.lit(None).cast("string")).withColumn("file", F.lit("csv"))
+    return lines.unionByName(table)

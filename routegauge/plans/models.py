@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from routegauge.operators.mode_compare import load_metrics, pair_long
 from routegauge.plans import routing as R
 from routegauge.plans.registry import plan, rounded
 from routegauge.plans.scoring import rec_wide_with_tokens
-from routegauge.session import cut_lineage, ensure_checkpoint_dir
+from routegauge.session import cut_lineage, scratch_path
 from routegauge.sources import derived as D
 from routegauge.sources import sinks
 
@@ -185,8 +183,7 @@ def trained_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def write_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the entry vectors in bounded files, read them back, and count."""
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/entries-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "entries")
     sinks.write_entries(D.rec_vectors(spark, sf_dir, D.requests(spark, sf_dir)), path, shard_size=5000)
     return spark.read.parquet(path).groupBy("section").agg(
         F.count(F.lit(1)).alias("rows"), F.count("vec").alias("with_vector")

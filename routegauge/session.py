@@ -46,13 +46,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write once as Parquet in the checkpoint folder and read back, for a table many branches use.
 
     Unlike a checkpoint, readers of the copy prune columns and partitions.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +30,21 @@ def read_items_csv(spark: SparkSession, path: str, schema: str = "item_id bigint
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, multiLine=True, escape='"')
 
 
-def _starts_with_bracket(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
-    return first is not None and first[0].lstrip().startswith("[")
+def _array_files(spark: SparkSession, path: str) -> list[str]:
+    """Files that hold one JSON array: a record on a line of its own never starts with a bracket."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    found = lines.filter(F.ltrim("value").startswith("[")).select("file").distinct()
+    return [r["file"] for r in found.collect()]  # one row per array file
 
 
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """Generation output, as one JSON array or as JSON lines; the first character tells which."""
-    return spark.read.json(path, schema=GENERATION, multiLine=_starts_with_bracket(spark, path))
+    """Generation output, every file either one JSON array (read by one task) or JSON lines."""
+    arrays = _array_files(spark, path)
+    lines = spark.read.json(path, schema=GENERATION)
+    if not arrays:
+        return lines
+    listed = spark.read.json([unquote(f) for f in arrays], schema=GENERATION, multiLine=True)
+    return lines.filter(~F.col("_metadata.file_path").isin(arrays)).unionByName(listed)
 
 
 def parse_outputs(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -81,8 +90,18 @@ def parse_messages(lines: DataFrame, keep: list[str] = ()) -> tuple[DataFrame, D
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entry lists in JSON lines; blank lines are skipped."""
-    return spark.read.schema(ENTRY).json(path).filter(F.col("entry_id").isNotNull())
+    """Entry lists in JSON lines; blank lines are skipped, a broken line is an error.
+
+    A record without ``entry_id`` gets a negative number from its place in the files, so that every record counts.
+    """
+    number = -1 - F.monotonically_increasing_id()
+    records = spark.read.schema(ENTRY).json(path, mode="FAILFAST")
+    return records.withColumn("entry_id", F.coalesce("entry_id", number.cast("string")))
+
+
+def entry_numbers(entries: DataFrame) -> DataFrame:
+    """request_id of every record of an entry list."""
+    return entries.select(F.col("entry_id").cast("bigint").alias("request_id"))
 
 
 def entry_vectors(entries: DataFrame) -> DataFrame:

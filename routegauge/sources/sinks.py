@@ -18,4 +18,4 @@ def write_chats(chats: DataFrame, path: str) -> None:
 def write_table(table: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Metrics, curves and summaries; CSV gets a header line."""
     writer = table.write.mode("errorifexists").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    (writer.options(header=True, escape='"') if fmt == "csv" else writer).save(path)

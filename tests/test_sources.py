@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from routegauge.plans.features import features_of_entries
 from routegauge.session import ensure_checkpoint_dir
 from routegauge.sources import readers, sinks
 
@@ -24,6 +25,16 @@ def test_generation_output_as_array_or_lines(spark, tmp_path, as_array):
     assert [r["request_id"] for r in empty] == [12]
 
 
+def test_files_of_both_formats_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "two parts"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(RECORDS, indent=1))
+    (folder / "b.jsonl").write_text("\n".join(json.dumps(r | {"request_id": "req_5"}) for r in RECORDS))
+    rows = readers.read_outputs(spark, str(folder)).collect()
+    assert sorted(r["request_id"] for r in rows) == ["req_0", "req_12", "req_5", "req_5"]
+    assert all(r["prompt"] in "pq" for r in rows)
+
+
 def test_catalogues(spark, tmp_path):
     path = tmp_path / "movies.dat"
     path.write_bytes("1::Amélie (2001)::Comedy|Romance\n2::\"X\"::Drama\n".encode("latin-1"))
@@ -57,6 +68,24 @@ def test_entries_with_missing_vectors(spark, tmp_path):
     assert [(r["request_id"], r["section"], r["item_id"], r["vec"]) for r in rows] == [(3, "history", 1, [1.0, 2.0]), (3, "candidate", 2, None)]
 
 
+def test_features_of_entry_files(spark, tmp_path):
+    vec = lambda *v: {"item_id": 1, "embedding": list(v)}
+    rec = tmp_path / "rec.jsonl"
+    records = [{"history": [vec(1.0, 0.0)], "candidates": [vec(1.0, 0.0), vec(0.0, 1.0)]}, {"history": [], "candidates": []}]
+    rec.write_text("\n\n".join(map(json.dumps, records + [records[0] | {"entry_id": "8"}])))
+    rows = {r["request_id"]: r for r in features_of_entries(spark, str(rec), "anything").collect()}
+    assert len(rows) == 3 and rows[8]["history_candidate_sim_max"] == pytest.approx(1.0)
+    assert sorted(r["history_candidate_sim_max"] for r in rows.values()) == pytest.approx([0.0, 1.0, 1.0])
+    ir = tmp_path / "ir.jsonl"
+    ir.write_text(json.dumps({"entry_id": 4, "query": {"embedding": [3.0, 4.0]}, "candidates": [vec(3.0, 4.0)]}))
+    row, = features_of_entries(spark, str(ir), "retrieval").collect()
+    assert row["query_norm"] == pytest.approx(5.0) and row["query_candidate_sim_max"] == pytest.approx(1.0)
+    broken = tmp_path / "broken.jsonl"
+    broken.write_text("{oops")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_entries(spark, str(broken)).collect()
+
+
 def test_selected_columns(spark, tmp_path):
     path = tmp_path / "cols.json"
     path.write_text('{"selected_cols": ["a", "b"]}')
