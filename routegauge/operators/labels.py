@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routegauge import fixed_values as fv
 from routegauge.functions.hashing import key
-from routegauge.operators.ranking import quantiles, with_rank
+from routegauge.operators.ranking import quantiles
 
 
 def merge_features(base: DataFrame, extra: DataFrame | None, only: tuple[str, ...] | None = None) -> DataFrame:
@@ -31,13 +31,29 @@ def select_features(df: DataFrame, wanted: list[str], all_columns: list[str], in
 def split_train_dev(bundle: DataFrame, dev_ratio: float = fv.DEV_RATIO, seed: int = fv.SPLIT_SEED) -> DataFrame:
     """Relabel part of the rows of split 'train' as 'dev'; other splits stay untouched.
 
-    Rows are shuffled by a seeded hash; the first round(n * (1 - ratio)) of them stay in train.
+    Rows are shuffled by a seeded hash; the first round(n * (1 - ratio)) of them stay in train. The border is selected,
+    not sorted for: counts per hash prefix name the prefix it lies in, and only that prefix's rows, one in 65,536, are
+    put in order. ``bundle`` is read three times and should be stored.
     """
     keyed = bundle.withColumn("_shuffle", F.md5(key("request_id", F.lit(seed))))
-    ranked = with_rank(keyed, [F.col("_shuffle"), F.col("request_id")], by=("split",), rank="_rn", size="_n")
-    late = F.col("_rn") > F.bround(F.col("_n") * F.lit(1.0 - dev_ratio))
+    train = keyed.filter(F.col("split") == "train").select("_shuffle", "request_id", F.substring("_shuffle", 1, 4).alias("prefix"))
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)  # at most 65,536 rows
+    counted = train.groupBy("prefix").agg(F.count(F.lit(1)).alias("c")).select(
+        "prefix", "c", F.sum("c").over(upto).alias("end"),
+        F.bround(F.sum("c").over(everything) * F.lit(1.0 - dev_ratio)).cast("bigint").alias("kept"),
+    )
+    at = counted.filter((F.col("end") >= F.col("kept")) & (F.col("end") - F.col("c") < F.col("kept"))).first()
+    if at is None:  # no train rows, or none of them stays
+        late = F.lit(True)
+    else:
+        place = F.row_number().over(Window.orderBy("_shuffle", "request_id"))
+        inside = train.filter(F.col("prefix") == at["prefix"]).withColumn("place", place)
+        last = inside.filter(F.col("place") == at["kept"] - at["end"] + at["c"]).first()
+        border = F.struct(F.lit(last["_shuffle"]).alias("_shuffle"), F.lit(last["request_id"]).alias("request_id"))
+        late = F.struct("_shuffle", "request_id") > border
     split = F.when((F.col("split") == "train") & late, F.lit("dev")).otherwise(F.col("split"))
-    return ranked.withColumn("split", split).drop("_shuffle", "_rn", "_n")
+    return keyed.withColumn("split", split).drop("_shuffle")
 
 
 def array_mean(values: Column) -> Column:

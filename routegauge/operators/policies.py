@@ -51,12 +51,11 @@ def baselines(df: DataFrame, by: list[str] = (), lambda_cost: float = fv.LAMBDA_
     return evaluate(both, ["policy", *by], lambda_cost)
 
 
-def tau_for_rate(ranked: DataFrame, rate: float, score: str = "score") -> DataFrame:
-    """One row ``tau``: the (1 - rate) quantile of a table ranked by descending score."""
+def tau_for_rate(ranked: DataFrame, rate: float, score: str = "score", *beside: Column) -> DataFrame:
+    """One row ``tau``, the (1 - rate) quantile of a table ranked by descending score, and the aggregates ``beside`` it."""
     lo, hi, t = interpolated(ranked, score, 1.0 - rate, ascending=False)
-    return ranked.agg(lo.alias("lo"), hi.alias("hi"), t.alias("t")).select(
-        lerp(F.col("lo"), F.col("hi"), F.col("t")).alias("tau")
-    )
+    found = ranked.agg(lo.alias("lo"), hi.alias("hi"), t.alias("t"), *beside)
+    return found.withColumn("tau", lerp(F.col("lo"), F.col("hi"), F.col("t"))).drop("lo", "hi", "t")
 
 
 def threshold_policy(score: Column, tau: float) -> Column:
@@ -301,10 +300,11 @@ def budget_curve(df: DataFrame, targets: list[float], lambda_cost: float = fv.LA
     return df.sparkSession.createDataFrame([tuple(r[c] for c in columns) for r in reports], BUDGET_SCHEMA)
 
 
-def eta_for_budget(df: DataFrame, target: float) -> DataFrame:
-    """One row ``eta``: density of the last item before the first one that does not fit; +inf if none fits.
+def eta_for_budgets(df: DataFrame, targets: list[float]) -> DataFrame:
+    """One row (target, eta) per target: density of the last item before the first one that does not fit; +inf if none fits.
 
-    Unlike the greedy selection, items with a saving are not credited and the scan stops at a misfit.
+    Unlike the greedy selection, items with a saving are not credited and the scan stops at a misfit. One scan in order of
+    density answers all targets.
     """
     delta = F.col("tok_c") - F.col("tok_d")
     infinite = F.lit(float("inf"))
@@ -315,10 +315,20 @@ def eta_for_budget(df: DataFrame, target: float) -> DataFrame:
     )
     scanned = with_rank(rows, [F.desc("density"), F.asc("request_id")], sums={"used": "need", "spent": "tok_d"})
     base = F.max(F.when(F.col("rn") == F.col("n"), F.col("spent")))
-    room = scanned.agg((F.lit(float(target)) * F.max("n") + SLACK - base).alias("room")).scalar()
-    return scanned.withColumn("room", room).agg(
-        F.coalesce(F.min(F.when(F.col("used") <= F.col("room"), F.col("density"))), infinite).alias("eta")
-    )
+    size = scanned.agg(F.struct(F.max("n").alias("n"), base.alias("base")).alias("size")).scalar()
+
+    def last_fit(target: float) -> Column:
+        room = F.lit(float(target)) * F.col("_size.n") + SLACK - F.col("_size.base")
+        eta = F.min(F.when(F.col("used") <= room, F.col("density")))
+        return F.struct(F.lit(float(target)).alias("target"), F.coalesce(eta, infinite).alias("eta"))
+
+    found = scanned.withColumn("_size", size).agg(F.array(*[last_fit(t) for t in targets]).alias("x"))
+    return found.select(F.explode("x").alias("x")).select("x.*")
+
+
+def eta_for_budget(df: DataFrame, target: float) -> DataFrame:
+    """One row ``eta`` for one target."""
+    return eta_for_budgets(df, [target]).select("eta")
 
 
 def rebuild_budget_policy(policy: dict | None, test: DataFrame) -> dict | None:

@@ -15,7 +15,7 @@ from routegauge.operators.mode_compare import pair_long
 from routegauge.operators.ranking import with_rank
 from routegauge.plans.registry import plan, rounded
 from routegauge.plans.scoring import rec_wide, rec_wide_with_tokens
-from routegauge.session import cut_lineage
+from routegauge.session import materialise
 from routegauge.sources import derived as D
 
 BUDGETS = 11
@@ -39,7 +39,10 @@ def mode_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """request_id, split, mu_d, mu_c, var_d, var_c, tok_d, tok_c, advantage, weight, score (ties included)."""
+    """request_id, split, mu_d, mu_c, var_d, var_c, tok_d, tok_c, advantage, weight, score (ties included).
+
+    Stored, because ranges are sampled before they are sorted, and sampling would score every answer again.
+    """
     paired = pair_long(mode_statistics(spark, sf_dir), ["mu", "var", "tok"])
     renamed = paired.select(
         "request_id",
@@ -48,7 +51,7 @@ def core(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     labelled = L.advantage(renamed).withColumn("advantage", F.round("advantage", 9))
     noisy = F.col("advantage") + F.lit(0.3) * (unit("request_id", F.lit("score")) - F.lit(0.5))
-    return labelled.withColumn("score", F.round(noisy, 3))
+    return materialise(labelled.withColumn("score", F.round(noisy, 3)), "scored-requests")
 
 
 def split_core(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +86,12 @@ def choose_policies(ranked: DataFrame, mode: str, epsilon_delta: float = 0.0) ->
     dev = ranked.filter(_is("dev"))
     points = dev_curve(ranked, mode).collect()
     curve = spark.createDataFrame(points)
-    base = dev.agg(F.avg("mu_c").alias("c"), F.avg("mu_d").alias("d")).first()
-    target = round(max(base["c"], base["d"]), P.STABLE) + epsilon_delta
     best = min(points, key=lambda p: (-p["mean_ndcg"], p["point"]))
-    tau = P.tau_for_rate(dev, best["rate"], "signed").first()["tau"]
+    base = P.tau_for_rate(dev, best["rate"], "signed", F.avg("mu_c").alias("c"), F.avg("mu_d").alias("d")).first()
+    target = round(max(base["c"], base["d"]), P.STABLE) + epsilon_delta
     front = P.pareto_front(curve)
     picks = P.select_knee(front).unionByName(P.select_utopia(front)).unionByName(P.select_epsilon(front, target))
-    out = {"Top-r": {"name": "top_r_tau", "r": best["rate"], "tau": tau, "positive_mode": mode}}
+    out = {"Top-r": {"name": "top_r_tau", "r": best["rate"], "tau": base["tau"], "positive_mode": mode}}
     for row in picks.collect():  # at most three rows
         out[row["selector"].capitalize()] = {
             "name": "budget_topr_point", "rate": row["rate"], "target_mean_tokens": row["mean_tokens"],
@@ -128,7 +130,7 @@ def trimmed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def split_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req = D.requests(spark, sf_dir).select("request_id", D.split_of().alias("split"))
+    req = materialise(D.requests(spark, sf_dir).select("request_id", D.split_of().alias("split")), "splits")
     return L.split_train_dev(req).select("request_id", "split")
 
 
@@ -216,24 +218,21 @@ def min_rate_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cut_lineage(core(spark, sf_dir))  # targets and selection both read it
+    scored = core(spark, sf_dir)
     middle = budget_targets(scored)[BUDGETS // 2]
     return rounded(P.budget_curve(scored, [middle]))
 
 
 @plan
 def budget_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cut_lineage(core(spark, sf_dir))  # targets and selection both read it
+    scored = core(spark, sf_dir)
     return rounded(P.budget_curve(scored, budget_targets(scored)))
 
 
 @plan
 def eta_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cut_lineage(core(spark, sf_dir))  # targets and selection both read it
-    rows = [
-        P.eta_for_budget(scored, t).withColumn("target", F.lit(t)) for t in budget_targets(scored)[1::4]
-    ]
-    return rounded(reduce(DataFrame.unionByName, rows), 9)
+    scored = core(spark, sf_dir)
+    return rounded(P.eta_for_budgets(scored, budget_targets(scored)[1::4]).select("eta", "target"), 9)
 
 
 @plan
