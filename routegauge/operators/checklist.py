@@ -13,7 +13,7 @@ TOP = 3
 
 def verbalizer_sets(tokens: DataFrame) -> DataFrame:
     """set, side, token_ids: distinct first tokens in variant order; a set needs both sides, and one set must remain."""
-    ids = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("variant_no", "token_id"))), lambda s: s["token_id"]))
+    ids = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("variant_no", "token_id"))), lambda s: s["token_id"]))
     sides = tokens.groupBy("set").agg(F.count_if(F.col("side") == "yes").alias("y"), F.count_if(F.col("side") == "no").alias("n"))
     whole = sides.filter((F.col("y") > 0) & (F.col("n") > 0)).select("set")
     some = whole.agg(F.count(F.lit(1))).scalar()
@@ -90,7 +90,7 @@ def select_margins(questions: DataFrame, given: DataFrame, prefix: str = "mraw",
     """
     questions = questions.filter(F.col("margin_raw").isNotNull())
     seen = [r["q"] for r in questions.select("q").distinct().orderBy("q").collect()]  # question numbers
-    lowest = F.slice(F.array_sort(F.collect_list("margin_raw")), 1, max(1, topk))
+    lowest = F.slice(F.sort_array(F.collect_list("margin_raw")), 1, max(1, topk))
     table = questions.groupBy("request_id").agg(
         *[F.max(F.when(F.col("q") == q, F.col("margin_raw"))).alias(f"{prefix}_q{q}") for q in seen],
         F.avg("margin_raw").alias("_mean"),

@@ -60,7 +60,7 @@ def rec_prompt(requests: DataFrame, lines: DataFrame) -> DataFrame:
     """request_id, prompt: history section, then candidate section."""
 
     def joined(section: str) -> Column:
-        rows = F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("pos", "line"))))
+        rows = F.sort_array(F.collect_list(F.when(F.col("section") == section, F.struct("pos", "line"))))
         return F.array_join(F.transform(rows, lambda r: r["line"]), "\n")
 
     texts = lines.groupBy("request_id").agg(joined("history").alias("h"), joined("candidate").alias("c"))

@@ -184,7 +184,7 @@ def candidate_lines(prompts: DataFrame, strict: bool = False) -> DataFrame:
 
 def candidate_block(prompts: DataFrame) -> DataFrame:
     """request_id, block: the stripped text between the headers."""
-    joined = candidate_lines(prompts).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("no", "line"))).alias("l"))
+    joined = candidate_lines(prompts).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("l"))
     return joined.select("request_id", _strip(F.array_join(F.col("l.line"), "\n")).alias("block"))
 
 
@@ -200,7 +200,7 @@ def passages(prompts: DataFrame, strict: bool = False) -> DataFrame:
     lead = F.col("c_end") - F.length(F.regexp_replace(body, r"\A\s+", ""))
     blank = ~body.rlike(r"\S")
     texts = numbered.filter(F.col("no_start") > 0).groupBy("request_id", "no_start").agg(
-        F.array_sort(F.collect_list(F.struct("no", "line", body.alias("body")))).alias("l"),
+        F.sort_array(F.collect_list(F.struct("no", "line", body.alias("body")))).alias("l"),
         F.min(F.when(~blank, lead)).alias("first"),
         F.min(F.when(starts, F.col("c_start"))).alias("line_start"),
         F.max(F.when(F.col("line").rlike(r"\S"), F.col("c_start") + F.length(F.regexp_replace("line", r"\s+\z", "")))).alias("last"),

@@ -47,7 +47,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("request_id", "section", F.floor(F.col("dpos") / BLOCK).alias("block")).agg(
         F.max("n").alias("n"),
         F.max(F.ceil(F.col("n") / BLOCK)).alias("blocks"),
-        F.transform(F.array_sort(F.collect_list(F.struct("dpos", "v"))), lambda s: s["v"]).alias("m"),
+        F.transform(F.sort_array(F.collect_list(F.struct("dpos", "v"))), lambda s: s["v"]).alias("m"),
     )
 
 

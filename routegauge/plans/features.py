@@ -169,7 +169,7 @@ def features_of_entries(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def entry_file_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval features by way of an entry file: ten candidates and a query a record."""
     vectors = D.ir_vectors(spark, sf_dir)
-    listed = F.array_sort(F.collect_list(F.when(F.col("section") == "candidate", F.struct("pos", "item_id", "vec"))))
+    listed = F.sort_array(F.collect_list(F.when(F.col("section") == "candidate", F.struct("pos", "item_id", "vec"))))
     asked = F.first(F.when(F.col("section") == "query", F.col("vec")), True)
     entries = D.embeddings(spark, sf_dir).select(F.col("vec_id").alias("request_id")).join(
         vectors.groupBy("request_id").agg(listed.alias("c"), asked.alias("q")), "request_id", "left"

@@ -84,8 +84,9 @@ def choose_policies(ranked: DataFrame, mode: str, epsilon_delta: float = 0.0) ->
     """Top-r, Knee, Utopia and, where reachable, Epsilon from the dev curve (at most 101 rows reach the driver)."""
     spark = ranked.sparkSession
     dev = ranked.filter(_is("dev"))
-    points = dev_curve(ranked, mode).collect()
-    curve = spark.createDataFrame(points)
+    measured = dev_curve(ranked, mode)
+    points = measured.collect()
+    curve = spark.createDataFrame(points, measured.schema).coalesce(1)  # a few windows over at most 101 rows
     best = min(points, key=lambda p: (-p["mean_ndcg"], p["point"]))
     base = P.tau_for_rate(dev, best["rate"], "signed", F.avg("mu_c").alias("c"), F.avg("mu_d").alias("d")).first()
     target = round(max(base["c"], base["d"]), P.STABLE) + epsilon_delta

@@ -46,7 +46,7 @@ def rec_pairs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame
 def explode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = D.rec_runs(D.requests(spark, sf_dir))
     lines = runs.groupBy("request_id", "mode").agg(
-        F.array_sort(F.collect_list(F.struct("run", "text", "num_tokens"))).alias("outputs")
+        F.sort_array(F.collect_list(F.struct("run", "text", "num_tokens"))).alias("outputs")
     ).select(
         "mode",
         F.to_json(F.struct(

@@ -52,7 +52,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sample = (
         first.groupBy("request_id")
-        .agg(F.array_sort(F.collect_list(F.struct("first_seen", "item_id"))).alias("seq"))
+        .agg(F.sort_array(F.collect_list(F.struct("first_seen", "item_id"))).alias("seq"))
         .filter(F.size("seq") > TRUTH)
         .select("request_id", F.col("seq.item_id").alias("seq"))
         .select(
@@ -68,7 +68,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda j: (F.col("request_id") * 31 + j * 97) % F.col("n_part"),
     )
     pool = F.array_distinct(F.concat("truth", drawn))
-    shuffled = F.array_sort(
+    shuffled = F.sort_array(
         F.transform(pool, lambda i: F.struct(F.md5(F.concat_ws(":", F.col("request_id"), i)).alias("k"), i.alias("id")))
     )
     return numbered.withColumn("candidates", F.transform(shuffled, lambda s: s["id"])).drop("n_part")
@@ -128,7 +128,7 @@ def rec_runs(req: DataFrame) -> DataFrame:
         lift = F.when(F.array_contains("truth", i), bonus).otherwise(F.lit(0.0))
         return F.struct((-(u + lift)).alias("k"), i.alias("id"))
 
-    ranked = F.slice(F.transform(F.array_sort(F.transform("candidates", scored)), lambda s: s["id"]), 1, 10)
+    ranked = F.slice(F.transform(F.sort_array(F.transform("candidates", scored)), lambda s: s["id"]), 1, 10)
     base = grid.select("request_id", "mode", "run", ranked.alias("ids"), h32("request_id", "mode", "run").alias("h"))
     ids = F.when(F.col("h") % 7 == 0, F.concat("ids", F.slice("ids", 1, 1))).otherwise(F.col("ids"))
     plain = F.array_join(ids.cast("array<string>"), ", ")
@@ -223,13 +223,13 @@ def ir_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     sims = wanted.join(emb, "vec_id").select(
         "request_id", "id", F.round(M.cosine("q", "vec"), 9).alias("cos")
     )
-    return sims.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("id", "cos"))).alias("sims"))
+    return sims.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("id", "cos"))).alias("sims"))
 
 
 def ir_truth(sims: DataFrame) -> DataFrame:
     """request_id, ground_truth: '[B] > [D] > ...', with a repeated first id on every 40th request."""
     order = F.transform(
-        F.array_sort(F.transform("sims", lambda s: F.struct((-s["cos"]).alias("k"), s["id"].alias("id")))),
+        F.sort_array(F.transform("sims", lambda s: F.struct((-s["cos"]).alias("k"), s["id"].alias("id")))),
         lambda s: F.concat(F.lit("["), s["id"], F.lit("]")),
     )
     full = F.when(F.col("request_id") % 40 == 0, F.concat(order, F.slice(order, 1, 1))).otherwise(order)
@@ -249,7 +249,7 @@ def ir_runs(sims: DataFrame) -> DataFrame:
         u = unit("request_id", "mode", "run", s["id"])
         return F.struct((-F.round(s["cos"] + noise * u, 9)).alias("k"), s["id"].alias("id"))
 
-    order = F.transform(F.array_sort(F.transform("sims", scored)), lambda s: s["id"])
+    order = F.transform(F.sort_array(F.transform("sims", scored)), lambda s: s["id"])
     base = grid.select("request_id", "mode", "run", order.alias("ids"), h32("request_id", "mode", "run").alias("h"))
     kind = F.col("h") % 11
     ids = (
@@ -288,7 +288,7 @@ def ir_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     blank = (request % 30 == 0) & (F.col("doc_id") % 10 == 2)
     line = F.concat(F.lit("["), letter, F.lit("] "), F.when(blank, F.lit("")).otherwise(F.col("text")))
     grouped = docs.groupBy(request.alias("request_id")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("passages")
+        F.sort_array(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("passages")
     )
     announced = F.size("passages") + F.when(F.col("request_id") % 25 == 0, 1).otherwise(0)
     records = grouped.withColumn("item_id", F.col("request_id") % n_bench).join(bench, "item_id")
