@@ -5,7 +5,8 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from routegauge.llm import covering, exact_dedup, line_dedup, simhash
+import corpus_pipeline
+from routegauge.llm import covering, exact_dedup, line_dedup, near_dedup, simhash
 from routegauge.llm.components import components
 from routegauge.llm.edit_distance import probes, segments, within
 
@@ -87,6 +88,51 @@ def test_hot_anchors_are_dealt_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in simhash.with_components(marks).collect()} == {0}
 
 
+def brute_components(rows, width=5):
+    """The smallest id of every row's component, linking at a Jaccard similarity of 0.8."""
+    sets = []
+    for _, text in rows:
+        words = re.split(rb"[ \t\n\r\x0b\x0c]+", (text or "").encode().lower().strip(b" \t\n\r\x0b\x0c"))
+        words = [w for w in words if w]
+        sets.append({tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, 1))} if words else set())
+    label, pairs = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                pairs += 1
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    ids = [min((r[0] for r, d in zip(rows, label, strict=True) if d == c and r[0] is not None), default=None) for c in label]
+    return [(r[0], c) for r, c in zip(rows, ids, strict=True)], pairs
+
+
+def test_near_stage_reaches_similarity(spark, odd, empty, monkeypatch):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(40):
+        base = list(rng.choice(words, int(rng.integers(20, 400))))
+        texts.append(" ".join(base))
+        for changes in (1, 2, 4, 8, 12):  # similarities from 0.2 to 0.98
+            copy = list(base)
+            for at in rng.integers(0, len(copy), changes * len(base) // 200 + i % 2):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    want, pairs = brute_components(rows)
+    assert pairs > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for residents in (near_dedup.RESIDENTS, 2):  # in one block and dealt out
+        monkeypatch.setattr(near_dedup, "RESIDENTS", residents)
+        assert sorted(tuple(r) for r in near_dedup.similar_documents(docs).collect()) == want
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == {c for _, c in want}
+    want, _ = brute_components([(r.doc_id, r.text) for r in odd.collect()])
+    got = [tuple(r) for r in near_dedup.similar_documents(odd).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert near_dedup.drop_similar(odd).columns == odd.columns and near_dedup.drop_similar(empty).count() == 0
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)], "x long, y long")
     got = {r.node: r.root for r in components(edges).collect()}
