@@ -4,7 +4,8 @@ A page is a sequence of words, which score positive, and tags, which score negat
 pages, those that mark their article with an ``article`` or ``main`` element: a word scores by how often words in its
 kind of block lie inside the marked region, a tag by how often it lies outside. One linear scan finds the contiguous
 region with the highest score. Inside that region the elements that are never text (scripts, forms, menus, adverts,
-comments) are left out, and what remains is put into blocks.
+comments) are left out, and what remains is put into blocks. Names and forms are only a sign: if the elements of one sign
+hold most words of the marked region, or of the region that scores best without them, they are wrappers and stay.
 """
 
 from __future__ import annotations
@@ -29,39 +30,42 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp",
            "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
-_DROPPED = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video"}
+_DROPPED = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video"}
 _DROPPED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|menu|modal|nav|"
     r"navbar|navigation|newsletter|notice|popup|promo|promoted|recommended|related|respond|share|sharing|sidebar|social|sponsor|sponsored|"
     r"subscribe|toolbar|widget|complementary|contentinfo)(?=$|[\s_-])"
 )
 _REGION = {"article", "main"}
+_DIGITS = re.compile(r"\d+")  # numbered names are one sign
 
-# A page is read as events: (kind, block or tag, text, dropped, inside a marked region)
+# A page is read as events: (kind, block or tag, text, signs of the elements it lies in, inside a marked region)
 _WORD, _TAG = 0, 1
+_NEVER = "never text"  # the sign that always drops
 
 
-def events(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
+def events(page: str) -> Iterator[tuple[int, str, str, frozenset[str], bool]]:
     """Words (one event per run of text) and tags of a page in order; broken markup is read as far as it goes."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, marked, is a block
+    stack: list[tuple[str, frozenset[str], bool, bool]] = []  # tag, signs, marked, is a block
     at, n = 0, len(page)
-    block, dropped, marked = "", False, False
+    none: frozenset[str] = frozenset()
+    block, signs, marked = "", none, False
 
-    def settle() -> tuple[str, bool, bool]:
+    def settle() -> tuple[str, frozenset[str], bool]:
         block = next((t for t, _, _, b in reversed(stack) if b), "")
-        return block, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]
+        return block, stack[-1][1] if stack else none, bool(stack) and stack[-1][2]
 
     while at < n:
         start = page.find("<", at)
         if start < 0:
             start = n
         if start > at:
-            yield _WORD, block, page[at:start], dropped, marked
+            yield _WORD, block, page[at:start], signs, marked
         if start == n:
             return
         m = _TOKEN.match(page, start)
         if m is None:  # a lone sign
-            yield _WORD, block, "<", dropped, marked
+            yield _WORD, block, "<", signs, marked
             at = start + 1
             continue
         at = max(m.end(), start + 1)
@@ -73,12 +77,18 @@ def events(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            block, dropped, marked = settle()
-            yield _TAG, tag, "/", dropped, marked
+            block, signs, marked = settle()
+            yield _TAG, tag, "/", signs, marked
             continue
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if "=" in m[3] else ""
-        odd = tag in _DROPPED or (tag == "header" and not marked) or bool(names and tag not in ("html", "body") and tag not in _REGION and _DROPPED_NAMES.search(names))
-        yield _TAG, tag, names, dropped or odd, marked or tag in _REGION
+        more = none
+        if tag in _DROPPED or (tag == "header" and not marked):
+            more = frozenset([_NEVER])
+        elif tag == "form":
+            more = frozenset(["form"])
+        elif names and tag not in ("html", "body") and tag not in _REGION and _DROPPED_NAMES.search(names):
+            more = frozenset(_DIGITS.sub("", x) for x in names.split() if _DROPPED_NAMES.search(x))
+        yield _TAG, tag, names, signs | more, marked or tag in _REGION
         if tag in _RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
@@ -90,9 +100,9 @@ def events(page: str) -> Iterator[tuple[int, str, str, bool, bool]]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-        block, dropped, marked = settle()
-        dropped, marked = dropped or odd, marked or tag in _REGION
-        stack.append((tag, dropped, marked, tag not in _INLINE))
+        block, signs, marked = settle()
+        signs, marked = signs | more, marked or tag in _REGION
+        stack.append((tag, signs, marked, tag not in _INLINE))
         if tag not in _INLINE:
             block = tag
 
@@ -101,6 +111,33 @@ def _kind(kind: int, name: str, dropped: bool) -> str:
     return f"{'word' if kind == _WORD else 'tag'}:{name}{':odd' if dropped else ''}"
 
 
+def _wrappers(found: list[tuple[int, str, str, frozenset[str], bool]]) -> frozenset[str]:
+    """Signs whose elements hold more than half of the words that are not dropped in any case."""
+    total, under = 0, {}
+    for kind, _, words, signs, _ in found:
+        if kind == _WORD and _NEVER not in signs:
+            n = len(words.split())
+            total += n
+            for sign in signs:
+                under[sign] = under.get(sign, 0) + n
+    return frozenset(sign for sign, n in under.items() if 2 * n > total)
+
+
+def settled(page: str, weights: dict[str, float]) -> list[tuple[int, str, str, bool, bool]]:
+    """The events of a page with (dropped) in place of the signs: whether one of them is not that of a wrapper."""
+    found = list(events(page))
+    if any(signs for _, _, _, signs, _ in found):
+        region = [e for e in found if e[4]]
+        if not any(e[0] == _WORD and _NEVER not in e[3] and e[2].strip() for e in region):
+            plain = [(kind, name, words, _NEVER in signs, marked) for kind, name, words, signs, marked in found]
+            start, end = _best(plain, weights)
+            region = found[start:end]
+        stay = _wrappers(region)
+    else:
+        stay = frozenset()
+    return [(kind, name, words, bool(signs - stay), marked) for kind, name, words, signs, marked in found]
+
+
 def learn(pages: DataFrame, text: str, labelled: int) -> dict[str, float]:
     """Score of every kind of event: words from 0 to 1, tags from -1 to 0, by the share inside the marked regions."""
 
@@ -108,7 +145,7 @@ def learn(pages: DataFrame, text: str, labelled: int) -> dict[str, float]:
         counts: dict[tuple[str, bool], int] = {}
         for batch in batches:
             for body in batch.column(0):
-                for kind, name, words, dropped, marked in events(body.as_py()):
+                for kind, name, words, dropped, marked in settled(body.as_py(), {}):
                     n = len(words.split()) if kind == _WORD else 1
                     if n:
                         key = _kind(kind, name, dropped), marked
@@ -143,9 +180,8 @@ def _score(weights: dict[str, float], kind: int, name: str, dropped: bool) -> fl
     return -0.8 if dropped else (-0.1 if name in _INLINE or name == "p" else -0.5)
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The main text: blocks joined by an empty line; empty if the page has no text."""
-    found = list(events(page))
+def _best(found: list[tuple[int, str, str, bool, bool]], weights: dict[str, float]) -> tuple[int, int]:
+    """Start and end of the events with the highest score."""
     best, best_from, best_to = 0.0, 0, 0
     total, start = 0.0, 0
     for i, (kind, name, words, dropped, _) in enumerate(found):
@@ -155,6 +191,13 @@ def extract(page: str, weights: dict[str, float]) -> str:
             best, best_from, best_to = total, start, i + 1
         if total <= 0:
             total, start = 0.0, i + 1
+    return best_from, best_to
+
+
+def extract(page: str, weights: dict[str, float]) -> str:
+    """The main text: blocks joined by an empty line; empty if the page has no text."""
+    found = settled(page, weights)
+    best_from, best_to = _best(found, weights)
     blocks, parts = [], []
     for kind, name, words, dropped, _ in found[best_from:best_to]:
         if kind == _TAG:

@@ -151,6 +151,23 @@ def test_main_text(spark):
     assert html_text.with_main_text(pages.limit(0)).count() == 0
 
 
+def test_wrappers_stay(spark):
+    body = "".join(f"<p>Sentence number {i} of the article and more words in it.</p>" for i in range(8))
+    rest = ('<nav><a href="/">Menu</a></nav>', '<div class="sidebar"><p>Side words</p></div><div id="comments"><p>first!</p></div><footer>me</footer>')
+    want = "\n\n".join(f"Sentence number {i} of the article and more words in it." for i in range(8))
+    wraps = ["<form action='/'>{}</form>", '<div class="has-sidebar">{}</div>', '<div class="content-with-comments">{}</div>',
+             '<div class="elementor-widget">{}</div>', '<div id="page-banner-share">{}</div>', "<div>{}</div>"]
+    rows = []
+    for wrap in wraps:
+        for inner in (f"<article>{body}</article>", f"<div>{body}</div>"):
+            rows.append((len(rows), "u", f"<html><body>{wrap.format(rest[0] + inner + rest[1])}</body></html>"))
+    widgets = body.replace("<p>", '<div class="widget"><p>').replace("</p>", "</p></div>")
+    rows.append((len(rows), "u", f"<html><body>{rest[0]}<main>{widgets}</main>{rest[1]}</body></html>"))
+    rows.append((len(rows), "u", f"<html><body><main><form>{body}</form></main>{rest[1]}</body></html>"))
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    assert {r.text for r in html_text.with_main_text(pages).collect()} == {want}
+
+
 def test_models_on_labelled_text(spark, odd, empty):
     rng = np.random.default_rng(6)
     vocabulary = [f"word{i}" for i in range(300)]
