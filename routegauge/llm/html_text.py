@@ -89,6 +89,8 @@ def events(page: str) -> Iterator[tuple[int, str, str, frozenset[str], bool]]:
         elif names and tag not in ("html", "body") and tag not in _REGION and _DROPPED_NAMES.search(names):
             more = frozenset(_DIGITS.sub("", x) for x in names.split() if _DROPPED_NAMES.search(x))
         yield _TAG, tag, names, signs | more, marked or tag in _REGION
+        if tag == "svg" and m[3].endswith("/"):  # the slash counts in foreign elements only
+            continue
         if tag in _RAW:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n

@@ -168,6 +168,11 @@ def test_wrappers_stay(spark):
     assert {r.text for r in html_text.with_main_text(pages).collect()} == {want}
 
 
+def test_closed_svg_is_empty():
+    for page in ('<p>one</p><svg class="x"/><p>two</p>', "<p>one</p><svg/><p>two</p><svg><text>no</text></svg>"):
+        assert html_text.extract(page, {"tag:svg": -0.1, "tag:p": -0.1}) == "one\n\ntwo"
+
+
 def test_models_on_labelled_text(spark, odd, empty):
     rng = np.random.default_rng(6)
     vocabulary = [f"word{i}" for i in range(300)]
