@@ -173,6 +173,15 @@ def test_closed_svg_is_empty():
         assert html_text.extract(page, {"tag:svg": -0.1, "tag:p": -0.1}) == "one\n\ntwo"
 
 
+def test_learnt_kinds_and_distinct_pages(spark):
+    page = "<body><x-{0}>out out</x-{0}><article><p>in in in</p></article></body>"
+    rows = [(page.format("same"),)] * 300 + [(page.format(f"n{i}"),) for i in range(2100)]
+    weights = html_text.learn(spark.createDataFrame(rows, "html string"), "html", 5000)
+    assert {k for k in weights if "x-" in k} == set() and weights["word:other"] < 0.01 + 1e-9
+    half = html_text.learn(spark.createDataFrame(rows[:301], "html string"), "html", 2)
+    assert half["word:p"] == html_text.learn(spark.createDataFrame(rows[299:301], "html string"), "html", 2)["word:p"]
+
+
 def test_models_on_labelled_text(spark, odd, empty):
     rng = np.random.default_rng(6)
     vocabulary = [f"word{i}" for i in range(300)]
