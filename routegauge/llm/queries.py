@@ -10,6 +10,7 @@ from routegauge.llm.queries_decontamination import LEAKS_SQL, op7_decontaminatio
 from routegauge.llm.queries_exact_dedup import EXACT_SQL, op10_exact_dedup
 from routegauge.llm.queries_html_text import op5_html_extraction
 from routegauge.llm.queries_line_dedup import op6_line_dedup
+from routegauge.llm.queries_merkle import MERKLE_SQL, op12_merkle_manifest
 from routegauge.llm.queries_packing import op3_best_fit_packing
 from routegauge.llm.queries_quality import op8_quality_classifier
 from routegauge.llm.queries_simhash import op9_simhash_near_dedup
@@ -19,7 +20,10 @@ from routegauge.llm.queries_url_filter import URL_SQL, op2_url_filters
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plans = (op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_line_dedup, op7_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup)
+    plans = (
+        op1_token_counts, op2_url_filters, op3_best_fit_packing, op4_toxicity, op5_html_extraction, op6_line_dedup,
+        op7_decontamination, op8_quality_classifier, op9_simhash_near_dedup, op10_exact_dedup, op12_merkle_manifest,
+    )
     return {p.__name__: p for p in plans}
 
 
@@ -28,4 +32,5 @@ def llm_statements() -> dict[str, str]:
         "op2_url_filters": URL_SQL,
         "op7_decontamination": LEAKS_SQL,
         "op10_exact_dedup": EXACT_SQL,
+        "op12_merkle_manifest": MERKLE_SQL,
     }
