@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from routegauge.llm.common import read_table, stored
 from routegauge.llm.decontamination import drop_leaks
 from routegauge.llm.exact_dedup import drop_copies
-from routegauge.llm.near_dedup import drop_similar
 from routegauge.llm.quality import keep_good
 from routegauge.llm.queries_packing import packed
+from routegauge.llm.simhash import drop_near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of documents whose five-word shingles have a Jaccard similarity of 0.8, the smallest id."""
-    return drop_similar(docs, width=5, least=0.8)
+    """Of every component of documents whose fingerprints are linked at three bits or fewer, the smallest id."""
+    return drop_near_duplicates(docs, width=3, bits=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
