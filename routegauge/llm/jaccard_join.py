@@ -2,10 +2,11 @@
 
 Texts are known by the set of their ``width``-word shingles (64-bit hashes); documents of equal sets are one node. Two
 linked sets share a part of their smallest hashes: of the first ``n - ceil(least * n) + slack`` ones at least ``slack``
-(``slack`` being a twentieth of the smaller set). Only these are dealt out. Nodes with too few keys that another node has
-too are left out, twice over; of the keys that remain the rarest are enough to bring linked nodes together. What meets is
-a group, and within groups the whole sets are searched by DivideSkip (``occurrences``): short inverted lists are merged on
-a heap, long ones probed, and what reaches the overlap is compared exactly.
+(``slack`` being a twentieth of the smaller set). Only these are dealt out at first, and nodes with too few keys that another
+node has too are left out. Of the others the whole sets are counted, nodes with too few shared shingles left out again, and
+of the shared ones the rarest are enough to bring linked nodes together. What meets is a group, and within groups the whole
+sets are searched by DivideSkip (``occurrences``): short inverted lists are merged on a heap, long ones probed, and what
+reaches the overlap is compared exactly.
 
 Keys that very many nodes share cost no pairs: a key joins its nodes to the smallest of them. Groups beyond one block first
 compare every member with one of them; only members not linked to it are then dealt out as residents of blocks, which all
@@ -122,32 +123,52 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _needed(n: Column, least: Fraction) -> Column:
-    """Keys that a set of ``n`` shares at least with any set it is linked to: the slack of the smallest such set."""
-    smallest = F.ceil(n * least.numerator / F.lit(least.denominator).cast("decimal(20,0)")).cast("long")
-    return F.greatest(F.lit(1).cast("long"), F.floor(smallest / SLACK))
+def _bound(n: Column, least: Fraction) -> Column:
+    return F.ceil(n * least.numerator / F.lit(least.denominator).cast("decimal(20,0)")).cast("long")
 
 
-def _shared(rows: DataFrame, least: Fraction) -> DataFrame:
+def _shared(rows: DataFrame, needed: Column) -> DataFrame:
     """Of (node, n, k), the rows of keys that several nodes have, with their number ``users``, and of nodes with enough of them."""
     live = stored(rows.groupBy("k").agg(F.count("*").alias("users")).filter("users > 1"), "shared-keys")
     met = rows.join(_few(live), "k")
-    enough = met.withColumn("shared", F.count("*").over(Window.partitionBy("node"))).filter(F.col("shared") >= _needed(F.col("n"), least))
+    enough = met.withColumn("shared", F.count("*").over(Window.partitionBy("node"))).filter(F.col("shared") >= needed)
     return stored(enough.select("node", "n", "k", "users", "shared"), "shared-rows")
 
 
-def candidate_groups(values: DataFrame, least: float = LEAST) -> DataFrame:
-    """(node, root) of the sets (node, n, keys) that may be linked to another one: every link lies inside one group."""
+def _whole(width: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in slices(batches, 64):
+            sets = [shingles(t.as_py(), width, known) for t in batch.column(1)]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            nodes = np.repeat(batch.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["node", "n", "k"]
+            )
+
+    return apply
+
+
+def survivors(values: DataFrame, least: float = LEAST) -> DataFrame:
+    """The nodes (node, n, keys) that share enough of their keys with others to be linked to one of them."""
     share = Fraction(str(least))
+    smallest = F.floor(_bound(F.col("n"), share) / SLACK)  # the slack of the smallest set that the node may be linked to
     rows = values.select("node", "n", F.explode("keys").alias("k"))
+    return _shared(rows, F.greatest(F.lit(1), smallest)).select("node").distinct()
+
+
+def candidate_groups(texts: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(node, root) of the sets (node, text) that may be linked to another one: every link lies inside one group.
+
+    Whole sets are counted here. A node goes where fewer of its shingles than the overlap are shared; the rarest of the
+    shared ones, as many as an overlap cannot all miss, bring linked nodes together.
+    """
+    needed = _bound(F.col("n"), Fraction(str(least)))
+    rows = texts.mapInArrow(_whole(width), "node long, n long, k long")
     for _ in range(2):  # without the nodes left out, further keys belong to one node only
-        rows = _shared(rows.select("node", "n", "k"), share)
-    again = rows.select("node", "n", "k").join(rows.groupBy("k").agg(F.count("*").alias("users")).filter("users > 1"), "k")
-    of_node = Window.partitionBy("node")
-    ranked = again.withColumns({
-        "shared": F.count("*").over(of_node), "at": F.row_number().over(of_node.orderBy("users", "k"))
-    }).filter(F.col("at") <= F.col("shared") - _needed(F.col("n"), share) + 1)
-    ranked = stored(ranked.select("node", "k"), "rarest-keys")
+        rows = _shared(rows.select("node", "n", "k"), needed)
+    rarest = F.row_number().over(Window.partitionBy("node").orderBy("users", "k"))
+    ranked = stored(rows.withColumn("at", rarest).filter(F.col("at") <= F.col("shared") - needed + 1).select("node", "k"), "rarest-keys")
     low = ranked.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("k", "low")
     return components(ranked.join(low, "k").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
 
@@ -158,12 +179,13 @@ def _block(*parts) -> Column:
 
 def set_links(docs: DataFrame, values: DataFrame, text: str, width: int, least: float) -> DataFrame:
     """(a, b): a spanning forest, per task, of the links between distinct sets."""
-    groups = candidate_groups(values, least).withColumnRenamed("root", "of")
-    members = stored(groups.join(values.select("node", "n", "body"), "node"), "link-members")
     body = text_or_empty(text)
+    left = stored(survivors(values, least).join(values.select("node", "n", "body"), "node"), "link-survivors")
     texts = docs.select(F.xxhash64(body).alias("body"), body.cast("binary").alias("text"))
-    texts = texts.join(_few(members.select("body", "node")), "body").dropDuplicates(["node"]).select("node", "text")
+    texts = texts.join(_few(left.select("body", "node")), "body").dropDuplicates(["node"]).select("node", "text")
     texts = stored(texts, "link-texts")
+    groups = candidate_groups(texts, width, least).withColumnRenamed("root", "of")
+    members = stored(groups.join(left.select("node", "n"), "node"), "link-members")
 
     def confirmed(dealt: DataFrame, label: str) -> DataFrame:
         met = dealt.join(texts, "node").select("k", "node", "home", "text")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
 from math import log2
@@ -25,8 +25,8 @@ class Occurrences:
             elif found[-1] != number:
                 found.append(number)
 
-    def search(self, values, least: int) -> Iterator[tuple[int, int]]:
-        """(number, occurrences) of every number in at least ``least`` lists of these values.
+    def search(self, values, least: int, skip: Callable[[int], bool] = lambda number: False) -> Iterator[tuple[int, int]]:
+        """(number, occurrences) of every number in at least ``least`` lists of these values, but those to ``skip``.
 
         The longest lists are set aside. The short ones are merged on a heap; whatever cannot occur often enough there is
         jumped over, and what does is looked up in the long ones by binary search.
@@ -45,7 +45,7 @@ class Occurrences:
             while heap and heap[0][0] == top:
                 popped.append(heappop(heap))
             if len(popped) >= wanted:
-                count, left = len(popped), aside
+                count, left = (0, 0) if skip(top) else (len(popped), aside)
                 for found in far:
                     if count + left < least:
                         break
@@ -129,11 +129,13 @@ class Linker:
     def visit(self, node: int, values: set[int], stays: bool) -> list[tuple[int, int]]:
         """Links of a set to residents, one for every component that it joins; with ``stays`` it becomes a resident."""
         least = -(-len(values) * self.least.numerator // self.least.denominator)
-        links, home = [], None
-        for number, count in self.over.search(values, least):
+        links, home, root = [], None, self.forest.root
+
+        def joined(number: int) -> bool:
+            return root(self.cells[number].nodes[0]) == root(node)
+
+        for number, count in self.over.search(values, least, joined):
             cell = self.cells[number]
-            if links and self.forest.root(cell.nodes[0]) == self.forest.root(node):
-                continue
             if (place := self._reached(cell, count, values, least)) is not None:
                 links.append((node, cell.nodes[place]))
                 self.forest.join(node, cell.nodes[place])

@@ -84,4 +84,5 @@ def build(words: Iterable[bytes]) -> Transducer:
         path[-1][0] = True
         last = word
     shrink(0)
-    return Transducer(arcs, frozenset(final), close(path[0]))
+    start = close(path[0])
+    return Transducer(arcs, frozenset(final), start)
