@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from routegauge.llm.common import fresh, stored, text_or_empty
 from routegauge.llm.components import components
 from routegauge.llm.covering import ANCHOR_BITS, anchors, forest
+from routegauge.session import ship_package
 
 SEED = 42
 BITS = 3
@@ -47,15 +48,20 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fingerprint) of every row; null counts as an empty text, whose fingerprint is zero."""
+    """(doc_id, body, fingerprint) of every row, body being a hash of its text.
+
+    Null counts as an empty text, whose fingerprint is zero. Texts are read whole, however long.
+    """
+    ship_package(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["doc_id", "fingerprint"])
+            marks = [fingerprint(t.as_py(), width) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(marks, pa.int64())], names=["doc_id", "body", "fingerprint"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_or_empty(text).cast("binary").alias("text"))
-    return rows.mapInArrow(apply, "doc_id long, fingerprint long")
+    body = text_or_empty(text)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(body).alias("body"), body.cast("binary").alias("text"))
+    return rows.mapInArrow(apply, "doc_id long, body long, fingerprint long")
 
 
 def _halves(values: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -125,18 +131,23 @@ def links(values: DataFrame, bits: int = BITS) -> DataFrame:
     return ordered.mapInArrow(_compare(bits), "a long, b long").distinct()
 
 
+def _rooted(marks: DataFrame, bits: int) -> DataFrame:
+    """(fingerprint, low, root): the smallest id of every fingerprint, and its component."""
+    values = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "simhash-values")
+    roots = components(links(values.select(F.col("fingerprint").alias("value")), bits))
+    rooted = values.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", "low", F.coalesce("root", "fingerprint").alias("root")
+    )
+    return stored(rooted, "simhash-roots")
+
+
 def with_components(marks: DataFrame, bits: int = BITS) -> DataFrame:
     """Every row of ``marks`` (doc_id, fingerprint) with component_id: the smallest doc_id reachable over links.
 
     Equal fingerprints are linked. Null ids are passed over when the smallest is taken; a component without any id has a
     null component_id. An empty table gives an empty result; repeated rows get the same answer each.
     """
-    values = stored(marks.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "simhash-values")
-    roots = components(links(values.select(F.col("fingerprint").alias("value")), bits))
-    rooted = values.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "low", F.coalesce("root", "fingerprint").alias("root")
-    )
-    rooted = stored(rooted, "simhash-roots")
+    rooted = _rooted(marks, bits)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return marks.join(rooted.join(lowest, "root").select("fingerprint", "component_id"), "fingerprint").select(
         "doc_id", "fingerprint", "component_id"
@@ -149,9 +160,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay. Columns as they were."""
-    key, = fresh(docs, "dropped_id")
-    found = near_duplicates(docs, doc_id, text, width, bits)
-    gone = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct(), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(key), "left_anti")
+    """One row of every component: that of the smallest id, null ids last. Columns as they were.
+
+    Rows are told apart by id and text: of different texts with the smallest id the one with the smallest hash stays, and a
+    row of another component stays whatever its id. Of rows that repeat both, one stays. Empty and null texts are one
+    component. An empty table gives an empty result.
+    """
+    marks = stored(fingerprints(docs, doc_id, text, width), "simhash-marks")
+    rooted = marks.join(_rooted(marks, bits).select("fingerprint", "root"), "fingerprint")
+    rows = rooted.groupBy("root", "doc_id", "body").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("body"), F.col("rows")))
+    kept = stored(rows.groupBy("root").agg(first.alias("x")).select("root", "x.doc_id", "x.body", "x.rows"), "near-kept")
+    gone = rooted.select("root", "doc_id", "body").distinct().join(
+        kept.select("root", F.col("doc_id").alias("kept_id"), F.col("body").alias("kept_body")), "root"
+    ).filter(~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("body") == F.col("kept_body"))))
+    key, hashed, own = fresh(docs, "dropped_id", "dropped_body", "body_")
+
+    def few(found: DataFrame) -> DataFrame:
+        found = found.select(F.col("doc_id").alias(key), F.col("body").alias(hashed))
+        return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(hashed))
+    left = docs.withColumn(own, F.xxhash64(text_or_empty(text))).join(few(stored(gone, "near-copies")), same, "left_anti")
+    repeated = kept.filter("rows > 1")
+    if not repeated.isEmpty():
+        again = few(repeated)
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id, own]))
+    return left.drop(own)
