@@ -169,16 +169,16 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     Null and empty texts have no words and no hits; an empty table or benchmark gives no hits. Rows that repeat get
     the same answer each. Columns of ``docs`` with the new names are replaced.
     """
-    body, key, other = fresh(docs, "body_", "key_", "other_")
+    body, key, other, n_hit, spans, items = fresh(docs, "body_", "key_", "other_", "n_hit_", "spans_", "items_")
     found = stored(leaks(docs, benchmark, doc_id=doc_id, text=text, **options), "leaks").select(
-        F.col("key").alias(key), F.col("body").alias(other), *[F.col(c).alias(f"found_{c}") for c in ("n_hit", "spans", "items")]
+        F.col("key").alias(key), F.col("body").alias(other), F.col("n_hit").alias(n_hit), F.col("spans").alias(spans), F.col("items").alias(items)
     )
     rows = docs.withColumns({body: F.xxhash64(text_or_empty(text)), "n_words": F.size(words(text)).cast("long")})
     joined = rows.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(key)) & (F.col(body) == F.col(other)), "left")
     return joined.withColumns({
-        "n_hit": F.coalesce("found_n_hit", F.lit(0)).cast("long"), "spans": F.col("found_spans"),
-        "items": F.coalesce("found_items", F.array().cast("array<string>")), "contaminated": F.col(key).isNotNull() | F.col("found_n_hit").isNotNull(),
-    }).drop(body, key, other, "found_n_hit", "found_spans", "found_items")
+        "n_hit": F.coalesce(n_hit, F.lit(0)).cast("long"), "spans": F.col(spans),
+        "items": F.coalesce(items, F.array().cast("array<string>")), "contaminated": F.col(n_hit).isNotNull(),
+    }).drop(body, key, other, n_hit, spans, items)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -57,15 +57,15 @@ def with_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
         F.concat("host", "path").alias("rule"), "action", digest.alias("digest"), F.substring(digest, 1, PREFIX_DIGITS).alias("short")
     )
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    key, = fresh(pages, "url_key")
+    key, best_of = fresh(pages, "url_key", "best_rule_")
     urls = pages.select(F.col(f"`{url}`").alias(key)).distinct()
     found = urls.select(key, F.explode(expressions(host_of(key), path_of(key), lengths) if lengths else F.array()
                                        .cast("array<struct<host:string,path:string>>")).alias("e"))
     found = found.select(key, _digest(F.col("e.host"), F.col("e.path")).alias("full"))
     met = found.withColumn("short", F.substring("full", 1, PREFIX_DIGITS)).join(known, "short").filter("full = digest")
     first = F.struct((-F.char_length("rule")).alias("n"), (F.col("action") != "block").alias("a"), F.col("rule"), F.col("action"))
-    best = met.groupBy(key).agg(F.min(first).alias("best_rule_")).select(F.col(key), "best_rule_")
+    best = met.groupBy(key).agg(F.min(first).alias(best_of))
     joined = pages.withColumns({"host": host_of(url), "path": path_of(url)}).join(best, F.col(f"`{url}`") == F.col(key), "left")
     return joined.withColumns({
-        "rule": F.col("best_rule_.rule"), "verdict": F.coalesce(F.col("best_rule_.action"), F.lit(default)),
-    }).drop(key, "best_rule_")
+        "rule": F.col(best_of)["rule"], "verdict": F.coalesce(F.col(best_of)["action"], F.lit(default)),
+    }).drop(key, best_of)
