@@ -2,16 +2,19 @@
 
 Two lines within ``most`` edits share one of ``most + 1`` segments, at nearly the same place. Every line is indexed under
 its segments and looks up its own substrings among lines up to ``most`` characters shorter (``edit_distance.probes``). Only
-hashes of segments are dealt out at first; lines that met another one there are fetched and compared. Buckets of a common
+hashes of segments are dealt out at first: an index of one row per segment tells which look-ups meet another line, in a
+join that can be split where a segment is common. Lines that met another one are fetched and compared. Buckets of a common
 segment are dealt out in blocks of residents. A task returns a spanning forest of the links it has verified, and pairs that
 are linked already are not compared again, so thousands of variants of one line cost no square.
 
-Lines are known by 64-bit hashes of their normalised text.
+Texts are split into lines once; the table of lines holds every line's text at least once, and mostly once per task. Lines
+are known by 64-bit hashes of their normalised text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegauge.llm.common import slices, stored, text_or_empty
+from routegauge.llm.common import fresh, slices, stored, text_or_empty
 from routegauge.llm.components import components
 from routegauge.llm.edit_distance import probes, segments, within
+from routegauge.session import ship_package
 
 MOST = 2
 SHARE = 0.2  # edits a line may have per character
@@ -29,6 +33,9 @@ RESIDENTS = 2048
 BROADCAST_ROWS = 1_000_000
 SEED = 42
 _SIGNS = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def lines_of(text: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -44,75 +51,74 @@ def allowed(shorter: int, most: int = MOST, share: float = SHARE) -> int:
     return min(most, int(share * shorter))
 
 
-def _keys(most: int):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, tuple[list, list]] = {}
-        seen: set[int] = set()
-        for batch in slices(batches):
-            keys, ids, homes = [], [], []
-            for _, h, raw in (found for t in batch.column(0) for found in lines_of(t.as_py())):
-                if h in seen:
-                    continue
-                seen.add(h)
-                data = raw.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass")  # slices need no care
-                n = len(data) // 4
-                if allowed(n + most, most) == 0 or n <= most:
-                    continue
-                if n not in plans:
-                    if len(plans) > 5000:
-                        plans.clear()
-                    plans[n] = [(i, at, at + size) for i, (at, size) in enumerate(segments(n, most))], [
-                        (other * 8 + i, start, start + size) for other, i, start, size in probes(n, most)
-                    ]
-                own, visits = plans[n]
-                got = [xxhash.xxh64_intdigest(data[4 * a : 4 * b], n * 8 + i) for i, a, b in own]
-                keys += got
-                homes += [True] * len(got)
-                more = list({xxhash.xxh64_intdigest(data[4 * a : 4 * b], seed) for seed, a, b in visits} - set(got))
-                keys += more
-                homes += [False] * len(more)
-                ids += [h] * (len(got) + len(more))
-            if len(seen) > 200_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(ids, pa.int64()), pa.array(homes, pa.bool_())],
-                names=["k", "h", "home"],
-            )
-
-    return apply
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of the rolling hash, and of its inverse."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) for x in (_BASE, _INVERSE)]
+    return _POWERS[0], _POWERS[1]
 
 
-def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted buckets, the rows of those where a resident has another line beside it."""
-    held: list[np.ndarray] | None = None
-    for batch in _ended(batches):
-        if batch is not None:
-            parts = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            held = parts if held is None else [np.r_[a, b] for a, b in zip(held, parts, strict=True)]
-        if held is None or not len(held[0]):
-            continue
-        key, line, home = held
-        cut = _last_group(key, batch is None)
-        k, v, r = key[:cut], line[:cut], home[:cut]
-        held = [key[cut:], line[cut:], home[cut:]]
-        if not len(k):
-            continue
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(k)]))
-        mixed = np.maximum.reduceat(v, first) != np.minimum.reduceat(v, first)
-        settled = np.maximum.reduceat(r, first)
-        keep = (mixed & settled)[group]
-        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(v[keep]), pa.array(r[keep])], names=["k", "h", "home"])
+@lru_cache(5000)
+def _plan(length: int, most: int, home: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, start, end) of the segments of a line of this length, or of its look-ups among other lines."""
+    own = [(length * 8 + i, at, at + size) for i, (at, size) in enumerate(segments(length, most))]
+    if not home:
+        own = [x for x in ((other * 8 + i, at, at + size) for other, i, at, size in probes(length, most)) if x not in own]
+    seeds, starts, ends = (np.array(x, np.int64) for x in zip(*own, strict=True)) if own else [np.zeros(0, np.int64)] * 3
+    return seeds.astype(np.uint64) * _SIGNS, starts, ends
 
 
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def substring_keys(lines: list[str], most: int, home: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of the line) of the segments of lines (``home``), or of the substrings to look up.
 
+    All substrings of a batch come from the prefix sums of one rolling hash. It only proposes: lines are compared later.
+    """
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    up, down = _powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes + np.uint64(1)) * up[: len(codes)], out=sums[1:])
+    starts, order = np.cumsum(lengths) - lengths, np.argsort(lengths, kind="stable")
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+        n = int(lengths[rows[0]]) if len(rows) else 0
+        if n <= most or allowed(n + most, most) == 0:
+            continue
+        seeds, a, b = _plan(n, most, home)
+        left, right = starts[rows][:, None] + a, starts[rows][:, None] + b
+        hashes = (sums[right] - sums[left]) * down[left] ^ seeds
+        hashes = (hashes ^ hashes >> np.uint64(32)) * _SIGNS
+        keys.append((hashes ^ hashes >> np.uint64(29)).ravel())
+        owners.append(np.repeat(rows, len(a)))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _parts(batch: pa.RecordBatch, chars: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
+    """(hashes, lines) of a batch, about ``chars`` characters at a time."""
+    ids, lines, held = [], [], 0
+    for h, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        ids.append(h)
+        lines.append(line)
+        held += len(line)
+        if held >= chars:
+            yield ids, lines
+            ids, lines, held = [], [], 0
+    if lines:
+        yield ids, lines
+
+
+def _keys(most: int, home: bool):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, lines in _parts(batch):
+                keys, owners = substring_keys(lines, most, home)
+                for at in range(0, len(keys), 1 << 18):
+                    some = slice(at, at + (1 << 18))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[some].view(np.int64)), pa.array(np.array(ids, np.int64)[owners[some]])], names=["k", "h"]
+                    )
 
-def _last_group(key: np.ndarray, done: bool) -> int:
-    """Rows before the last key, which may go on in the next batch."""
-    return len(key) if done else int(np.flatnonzero(key == key[-1])[0])
+    return apply
 
 
 def _sign(line: str) -> int:
@@ -158,38 +164,50 @@ def _verify(most: int):
     return apply
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in slices(batches):
-        keys, bodies, numbers, hashes = [], [], [], []
+        keys, bodies, numbers, hashes, lines = [], [], [], [], []
         for key, body, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            for no, h, _ in lines_of(text.as_py()):
+            for no, h, line in lines_of(text.as_py()):
                 keys.append(key)
                 bodies.append(body)
                 numbers.append(no)
                 hashes.append(h)
+                lines.append(None if h in seen else line.decode("utf-8", "replace"))
+                seen.add(h)
+        if len(seen) > 200_000:
+            seen.clear()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(bodies, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())],
-            names=["key", "body", "no", "h"],
-        )
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = {h: line for t in batch.column(0) for _, h, line in lines_of(t.as_py())}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found.keys(), pa.int64()), pa.array([x.decode("utf-8", "replace") for x in found.values()], pa.string())],
-            names=["h", "line"],
+            [pa.array(keys, pa.int64()), pa.array(bodies, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()),
+             pa.array(lines, pa.string())],
+            names=["key", "body", "no", "h", "line"],
         )
 
 
-def line_links(docs: DataFrame, text: str = "text", most: int = MOST) -> DataFrame:
-    """(a, b): a spanning forest, per task, of the links between distinct lines, known by their hashes."""
-    bodies = docs.select(text_or_empty(text).cast("binary").alias("text"))
-    keyed = bodies.mapInArrow(_keys(most), "k long, h long, home boolean")
-    live = stored(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_live, "k long, h long, home boolean").distinct(), "live-segments")
+def split_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, body, no, h, line) of every non-empty line; line is null where the same task has given the text before."""
+    ship_package(docs.sparkSession)
+    body = text_or_empty(text)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("key"), F.xxhash64(body).alias("body"), body.cast("binary").alias("text"))
+    return stored(rows.mapInArrow(_split, "key long, body long, no int, h long, line string"), "lines")
+
+
+def line_links(lines: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b): a spanning forest, per task, of the links between distinct lines (h, line), known by their hashes."""
+    homes = lines.mapInArrow(_keys(most, True), "k long, h long")
+    visits = lines.mapInArrow(_keys(most, False), "k long, h long")
+    index = homes.groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))  # one row per segment
+    met = visits.join(index, "k").filter("low <> h OR high <> h").select("k", "h")
+    met = stored(met, "met-segments")
+    busy = index.filter("low <> high").select("k").union(met.select("k")).distinct()
+    live = homes.join(busy, "k", "left_semi").distinct().withColumn("home", F.lit(True)).unionByName(
+        met.distinct().withColumn("home", F.lit(False))
+    )
+    live = stored(live, "live-segments")
     wanted = live.select("h").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = bodies.mapInArrow(_texts, "h long, line string").join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    texts = lines.join(wanted, "h", "left_semi").dropDuplicates(["h"])
     hot = live.filter("home").groupBy("k").count().filter(F.col("count") > RESIDENTS)
     hot = hot.select("k", F.ceil(F.col("count") / RESIDENTS).cast("int").alias("blocks"))
     dealt = live.join(hot, "k", "left")
@@ -203,46 +221,55 @@ def line_links(docs: DataFrame, text: str = "text", most: int = MOST) -> DataFra
 
 
 def marked_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """(key, body, no, h, root, repeats) of every non-empty line; repeats tells whether an earlier line is linked to it.
+    """(key, body, no, h, root, head, variants, repeats) of every non-empty line; repeats: an earlier line is linked to it.
 
-    Lines come in the order of (doc_id, line number), null ids first; the first of every class stays. key is the id of
-    the document, body a hash of its text, root the class (null for a line that nothing repeats). Lines are linked if
-    equal, or within ``most`` edits and a fifth of the shorter length.
+    Lines come in the order of (doc_id, line number), null ids first; the first of every class stays and is its head (key,
+    no, body). key is the id of the document, body a hash of its text, root the class, variants the number of different
+    lines in it (root, head and variants are null for a line that nothing repeats). Lines are linked if equal, or within
+    ``most`` edits and a fifth of the shorter length.
     """
-    body = text_or_empty(text)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("key"), F.xxhash64(body).alias("body"), body.cast("binary").alias("text"))
-    rows = stored(rows.mapInArrow(_occurrences, "key long, body long, no int, h long"), "line-places")
-    roots = stored(components(line_links(docs, text, most)), "line-roots")
+    rows = split_lines(docs, doc_id, text)
+    roots = stored(components(line_links(rows.filter("line IS NOT NULL").select("h", "line"), most)), "line-roots")
     place = F.struct("key", "no", "body")
     distinct = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classed = distinct.join(roots.withColumnRenamed("node", "h"), "h", "left").filter("n > 1 OR root IS NOT NULL")
     classed = stored(classed.select("h", "first", F.coalesce("root", "h").alias("root")), "line-classes")
-    heads = classed.groupBy("root").agg(F.min("first").alias("head"))
-    info = classed.join(heads, "root").select("h", "root", "head")
-    return rows.join(info, "h", "left").select(
-        "key", "body", "no", "h", "root", (F.col("root").isNotNull() & ~place.eqNullSafe(F.col("head"))).alias("repeats")
+    heads = classed.groupBy("root").agg(F.min("first").alias("head"), F.count("*").alias("variants"))
+    info = classed.join(heads, "root").select("h", "root", "head", "variants")
+    return rows.drop("line").join(info, "h", "left").select(
+        "key", "body", "no", "h", "root", "head", "variants", (F.col("root").isNotNull() & ~place.eqNullSafe(F.col("head"))).alias("repeats")
     )
 
 
 def with_line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """Every row of ``docs`` with n_lines (non-empty lines) and dropped (sorted numbers of lines that repeat an earlier one).
+    """Every row of ``docs`` with n_lines (non-empty lines), dropped (sorted numbers of lines that repeat an earlier one) and
+    repeats: for each of these its number, its class, the document and number of the line that stays, and the variants.
 
-    Null and empty texts have no lines; an empty table gives no rows. Rows that repeat id and text are one document and get
-    the same answer each. Columns of ``docs`` with the new names are replaced.
+    Null and empty texts have no lines; an empty table gives no rows. Texts and lines are read whole, however long. Rows that
+    repeat id and text are one document and get the same answer each. Columns of ``docs`` with the new names are replaced.
     """
+    key, body, own, n, found_repeats = fresh(docs, "line_key_", "line_body_", "own_body_", "n_lines_", "repeats_")
+    repeat = F.struct("no", F.col("root").alias("class"), F.col("head.key").alias("head_id"), F.col("head.no").alias("head_no"), "variants")
     found = marked_lines(docs, doc_id, text, most).groupBy("key", "body").agg(
-        F.count_distinct("no").alias("found_n"), F.array_sort(F.collect_set(F.when(F.col("repeats"), F.col("no")))).alias("found_dropped")
+        F.count_distinct("no").alias(n), F.array_sort(F.collect_set(F.when(F.col("repeats"), repeat))).alias(found_repeats)
     )
-    found = stored(found, "line-report").withColumnsRenamed({"key": "found_key", "body": "found_body"})
-    rows = docs.withColumn("found_hash", F.xxhash64(text_or_empty(text)))
-    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("found_key")) & (F.col("found_hash") == F.col("found_body"))
-    return rows.join(found, same, "left").withColumns({
-        "n_lines": F.coalesce("found_n", F.lit(0)).cast("long"), "dropped": F.coalesce("found_dropped", F.array().cast("array<int>")),
-    }).drop("found_key", "found_body", "found_hash", "found_dropped", "found_n")
+    found = stored(found, "line-report").withColumnsRenamed({"key": key, "body": body})
+    rows = docs.withColumn(own, F.xxhash64(text_or_empty(text)))
+    same = F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(body))
+    none = F.array().cast(dict(found.dtypes)[found_repeats])
+    joined = rows.join(found, same, "left").withColumns({"n_lines": F.coalesce(n, F.lit(0)).cast("long"), "repeats": F.coalesce(found_repeats, none)})
+    return joined.withColumn("dropped", F.transform("repeats", lambda x: x["no"])).drop(key, body, own, n, found_repeats)
 
 
 def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """``docs`` with the repeated lines taken out of their texts; other lines stay as they were. Columns as they were."""
-    found = with_line_report(docs, doc_id, text, most)
-    kept = F.filter(F.split(text_or_empty(text), "\n"), lambda x, i: ~F.array_contains("dropped", i))
-    return found.withColumn(text, F.when(F.size("dropped") > 0, F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))).select(*docs.columns)
+    own, gone = fresh(docs, "text_", "gone_")
+    plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    found = with_line_report(plain, "id", "text", most).filter(F.size("dropped") > 0)
+    found = found.select(F.col("id").alias(own), F.xxhash64(text_or_empty("text")).alias(gone), "dropped").dropDuplicates([own, gone])
+    hashed, dropped = fresh(docs.withColumns({own: F.lit(0), gone: F.lit(0)}), "hash_", "dropped_")
+    rows = docs.withColumn(hashed, F.xxhash64(text_or_empty(text))).join(
+        found.withColumnRenamed("dropped", dropped), F.col(f"`{doc_id}`").eqNullSafe(F.col(own)) & (F.col(hashed) == F.col(gone)), "left"
+    )
+    kept = F.filter(F.split(text_or_empty(text), "\n"), lambda x, i: ~F.array_contains(dropped, i))
+    return rows.withColumn(text, F.when(F.col(dropped).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(f"`{text}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
