@@ -130,7 +130,7 @@ def _bound(n: Column, least: Fraction) -> Column:
 def _shared(rows: DataFrame, needed: Column) -> DataFrame:
     """Of (node, n, k), the rows of keys that several nodes have, with their number ``users``, and of nodes with enough of them."""
     live = stored(rows.groupBy("k").agg(F.count("*").alias("users")).filter("users > 1"), "shared-keys")
-    met = rows.join(_few(live), "k")
+    met = rows.join(live, "k")
     enough = met.withColumn("shared", F.count("*").over(Window.partitionBy("node"))).filter(F.col("shared") >= needed)
     return stored(enough.select("node", "n", "k", "users", "shared"), "shared-rows")
 
