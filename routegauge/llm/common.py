@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from routegauge.session import cut_lineage, ensure_checkpoint_dir, read_table
 
-__all__ = ["batches_of", "cut_lineage", "fresh", "let", "lower_ascii", "read_table", "slices", "stored", "text_or_empty", "worker_state"]
+__all__ = ["Kept", "batches_of", "cut_lineage", "fresh", "let", "lower_ascii", "read_table", "slices", "stored", "text_or_empty", "worker_state"]
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -77,3 +77,23 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     if name not in held:
         held[name] = make()
     return held[name]
+
+
+class Kept(dict):
+    """A cache of two generations: when the young one is full it takes the place of the old one, whose used entries come back."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.half, self.old = max(entries // 2, 1), {}
+
+    def recall(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.enter(key, value)
+        return value
+
+    def enter(self, key, value) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routegauge.llm.common import slices, stored, text_or_empty
+from routegauge.llm.common import Kept, slices, stored, text_or_empty
 from routegauge.llm.transducer import Transducer, build
 from routegauge.operators.ranking import with_rank
 from routegauge.session import ship_package
@@ -27,7 +27,9 @@ from routegauge.session import ship_package
 LEAST_DOCUMENTS = 10
 SHARD_TERMS = 1 << 16
 BLOCK_BYTES = 64 << 20  # transducers broadcast at once
-HELD_TERMS = 300_000  # counters of a task before it hands them on
+HELD_TERMS = 600_000  # counters of a task before it hands them on
+HELD_OCCURRENCES = 4_000_000  # the same for occurrences of kept terms
+KEPT_WORDS = 600_000  # words whose ordinals a task remembers, for each language
 ORDINALS = 1 << 10  # ordinals of a block of the pair sums
 TILE = 64  # sources of a tile of the pair sums, about
 TOP = 10
@@ -90,49 +92,58 @@ def shards(terms_of: DataFrame) -> DataFrame:
 
 
 class _Vocabulary:
-    """The transducers of one broadcast, unpacked once per worker."""
+    """The transducers of one broadcast, unpacked once per task, and the ordinals of words that texts have had lately."""
 
     def __init__(self, rows: list[tuple[str, int, bytes, bytes]]):
-        self.of: dict[str, tuple[list, list, list]] = {}
+        self.of: dict[str, tuple[list, list, list, Kept]] = {}
         for lang, base, first, automaton in sorted(rows):
-            firsts, bases, automata = self.of.setdefault(lang, ([], [], []))
+            firsts, bases, automata, _ = self.of.setdefault(lang, ([], [], [], Kept(KEPT_WORDS)))
             firsts.append(first)
             bases.append(base)
             automata.append(Transducer.unpack(automaton))
 
-    def ordinal(self, lang: str, word: bytes) -> int:
-        firsts, bases, automata = self.of[lang]
-        i = bisect_right(firsts, word) - 1
-        found = automata[i].ordinal(word) if i >= 0 else -1
-        return bases[i] + found if found >= 0 else -1
+    def ordinals(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The ordinals of those words that are kept terms."""
+        firsts, bases, automata, lately = self.of[lang]
+        found = list(map(lately.get, words))
+        if None in found:
+            for at, word in enumerate(words):
+                if found[at] is None:
+                    ordinal = lately.get(word)
+                    if ordinal is None:
+                        ordinal = lately.recall(word)
+                    if ordinal is None:
+                        i = bisect_right(firsts, word) - 1
+                        place = automata[i].ordinal(word) if i >= 0 else -1
+                        ordinal = bases[i] + place if place >= 0 else -1
+                        lately.enter(word, ordinal)
+                    found[at] = ordinal
+        out = np.fromiter(found, np.int64, len(found))
+        return out[out >= 0]
 
 
 def _recounted(shared):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Vocabulary(shared.value)
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def rows() -> pa.RecordBatch:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for (lang, source), found in held.items():
-                for word, n in found.items():
-                    if (ordinal := known.ordinal(lang, word)) >= 0:
-                        for column, value in zip(out, (lang, source, ordinal, n), strict=True):
-                            column.append(value)
+        known, total = _Vocabulary(shared.value), 0
+        held: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, source), parts in held.items():
+                ordinals, counts = np.unique(np.concatenate(parts), return_counts=True)
+                columns = [pa.repeat(lang, len(counts)), pa.repeat(source, len(counts)), pa.array(ordinals), pa.array(counts.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "ordinal", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())],
-                names=["lang", "source", "ordinal", "n"],
-            )
 
         for batch in slices(batches):
             columns = (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))
             for lang, source, text in zip(*columns, strict=True):
                 if lang in known.of:
-                    held[lang, source].update(terms(text.as_py()))
-            if sum(map(len, held.values())) > HELD_TERMS:
-                yield rows()
-        yield rows()
+                    held[lang, source].append(known.ordinals(lang, terms(text.as_py())))
+                    total += len(held[lang, source][-1])
+            if total > HELD_OCCURRENCES:
+                yield from rows()
+                total = 0
+        yield from rows()
 
     return apply
 

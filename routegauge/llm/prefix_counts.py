@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routegauge.llm.common import slices, text_or_empty, worker_state
+from routegauge.llm.common import Kept, slices, text_or_empty, worker_state
 from routegauge.llm.tokens import load_encoding
 from routegauge.session import ship_package
 
@@ -33,26 +33,6 @@ _LONG = 32  # bytes of a piece that is worked out together with others
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
-class Kept(dict):
-    """A cache of two generations: when the young one is full it takes the place of the old one, whose used entries come back."""
-
-    def __init__(self, entries: int):
-        super().__init__()
-        self.half, self.old = max(entries // 2, 1), {}
-
-    def recall(self, key):
-        value = self.old.get(key)
-        if value is not None:
-            self.enter(key, value)
-        return value
-
-    def enter(self, key, value) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class PrefixTable:
     """Counts of all prefixes of texts for one vocabulary."""
 

@@ -77,7 +77,8 @@ def test_audit_against_brute_force(spark, corpus, monkeypatch):
     monkeypatch.setattr(divergence, "SHARD_TERMS", 16)  # several shards, passes, blocks and tiles
     monkeypatch.setattr(divergence, "ORDINALS", 8)
     monkeypatch.setattr(divergence, "TILE", 3)
-    monkeypatch.setattr(divergence, "HELD_TERMS", 50)
+    for held in ("HELD_TERMS", "HELD_OCCURRENCES", "KEPT_WORDS"):
+        monkeypatch.setattr(divergence, held, 50)
     assert sorted(tuple(r) for r in audit(docs, block_bytes=2000).collect()) == want
 
 
