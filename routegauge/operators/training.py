@@ -1,133 +1,77 @@
-"""Advantage models and grading models with MLlib, calibrated on the scores they give.
-
-MLlib has no listwise ranking loss, so the ranker is a boosted regression on the gain of each grade. It has no monotone
-constraint either: a column that the score must fall in enters as a falling step function of its own, and the trees,
-which do not see that column, fit what the steps leave.
-"""
+"""Advantage models and grading models, boosted on histograms and calibrated on the scores they give."""
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Sequence
 
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routegauge import fixed_values as fv
 from routegauge.functions.hashing import h32
-from routegauge.operators.calibration import calibrate, fit_isotonic
-from routegauge.session import cut_lineage
+from routegauge.operators.boosting import TRAIN, VALID, Booster, Model, Settings, transform_by
+from routegauge.operators.calibration import fit_isotonic
 
 VALIDATION_FOLDS = 10  # one of so many hash folds stops the advantage model
 
+ADVANTAGE = Settings(rounds=fv.ADVANTAGE_ROUNDS, patience=fv.ADVANTAGE_PATIENCE, depth=5, least_rows=20, l2=1e-4, best_round=False)
+RANKER = Settings(rounds=fv.RANKER_ROUNDS, patience=fv.RANKER_PATIENCE, depth=6, least_rows=100, l2=1e-2, objective="ndcg")
 
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    """Add the vector column ``features``; missing values count as 0."""
-    filled = df.select("*", F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).cast("double") for c in features]).alias("_f"))
-    return filled.withColumn("features", array_to_vector("_f")).drop("_f")
 
+def stops(seed: int = 0) -> Column:
+    """Whether a row helps to decide when the advantage model stops, instead of training it."""
+    return h32("request_id", F.lit(f"stop-{seed}")) % VALIDATION_FOLDS == 0
 
-def _booster(label: str, weight: str | None, **params) -> GBTRegressor:
-    settings = {"stepSize": 0.05, "maxBins": 255, "seed": 0} | params
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", **settings)
-    return gbt.setWeightCol(weight) if weight else gbt
 
+def fold_of(folds: int, seed: int = 0) -> Column:
+    return (h32("request_id", F.lit(seed)) % folds).cast("int")
 
-def boost_with_patience(gbt: GBTRegressor, train: DataFrame, valid: DataFrame, most: int, patience: int) -> GBTRegressionModel:
-    """Trees up to the round with the least squared error on ``valid``, sought until ``patience`` rounds bring nothing better.
 
-    MLlib's own early stopping ends at the first round without a gain. Fits of one seed share their first trees, so the
-    rounds are doubled until the best one lies far enough back (or ``most`` is reached), and the best prefix is fitted
-    again. Without validation rows all ``most`` rounds are kept. Both tables should be stored: every tree reads ``train``.
-    """
-    if valid.isEmpty():
-        return gbt.setMaxIter(most).fit(train)
-    rounds = min(most, patience + max(patience // 4, 1))
-    while True:
-        model = gbt.setMaxIter(rounds).fit(train)
-        errors = model.evaluateEachIteration(valid, "squared")
-        best = min(range(rounds), key=errors.__getitem__) + 1
-        if best == rounds == most:
-            return model
-        if best + patience <= rounds or rounds == most:
-            return gbt.setMaxIter(best).fit(train)
-        rounds = min(most, 2 * rounds)
+def squared_error(scored: DataFrame, label: str, weight: str | None) -> float:
+    """The mean squared error of ``prediction``, weighted if a column is named."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    return scored.agg(F.sum(w * (F.col("prediction") - F.col(label)) ** 2) / F.sum(w)).first()[0]
 
 
 def train_advantage(
-    train: DataFrame, label: str = "advantage", weight: str | None = "weight", most: int = fv.ADVANTAGE_ROUNDS,
-    patience: int = fv.ADVANTAGE_PATIENCE, seed: int = 0, **params,
-) -> tuple[GBTRegressionModel, float]:
+    train: DataFrame, features: Sequence[str], label: str = "advantage", weight: str | None = "weight", seed: int = 0,
+    settings: Settings = ADVANTAGE,
+) -> tuple[Model, float]:
     """Boosted regression of the advantage, stopped on a tenth of ``train``, and its (weighted) error on all of ``train``."""
-    settings = {"maxDepth": 5, "minInstancesPerNode": 20} | params
-    held = h32("request_id", F.lit(f"stop-{seed}")) % VALIDATION_FOLDS == 0
-    wanted = ["features", label] + ([weight] if weight else [])
-    fitted = cut_lineage(train.filter(~held).select(*wanted))
-    model = boost_with_patience(_booster(label, weight, **settings), fitted, train.filter(held), most, patience)
-    scored = model.transform(train)
-    evaluator = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="mse")
-    return model, (evaluator.setWeightCol(weight) if weight else evaluator).evaluate(scored)
-
-
-class Ranker(NamedTuple):
-    """Boosted trees plus, where a column is named, a step function that never rises in it."""
-
-    model: GBTRegressionModel
-    falling: str | None = None
-    steps: DataFrame | None = None
+    part = F.when(stops(seed), VALID).otherwise(TRAIN)
+    (model,) = Booster(train, list(features), label, weight, [part], settings).fit()
+    return model, squared_error(model.transform(train), label, weight)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Add ``prediction``."""
-        scored = self.model.transform(df)
-        if self.falling is None:
-            return scored
-        return _with_falling(scored, self.falling, self.steps).withColumn(
-            "prediction", F.col("prediction") + F.col("_falling")
-        ).drop("_falling")
 
-
-def _against(column: str):
-    """The negated column, a missing value counting as 0; steps that rise in it fall in the column."""
-    return -F.coalesce(F.col(f"`{column}`"), F.lit(0.0)).cast("double")
-
-
-def _with_falling(df: DataFrame, column: str, steps: DataFrame) -> DataFrame:
-    asked = calibrate(steps, df.withColumn("_against", _against(column)), "_against", "_falling")
-    return asked.withColumn("_falling", F.coalesce("_falling", F.lit(0.0))).drop("_against")
+def gain_of(grade: str = "grade") -> Column:
+    """The gain of a grade: 0, 1, 2, 4, ..."""
+    return F.when(F.col(grade) == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.col(grade) - 1.0))
 
 
 def train_ranker(
-    train: DataFrame, dev: DataFrame, weight: str = "weight", falling: str | None = None, most: int = fv.RANKER_ROUNDS,
-    patience: int = fv.RANKER_PATIENCE, **params,
-) -> Ranker:
-    """Boosted regression of the gain of ``grade``; dev rows decide when to stop.
+    table: DataFrame, features: Sequence[str], split: str = "split", weight: str = "weight", falling: str | None = None,
+    settings: Settings = RANKER,
+) -> Model:
+    """Boosted ranking of ``grade`` on the rows of split ``train``, as one list; the NDCG of ``dev`` decides when to stop.
 
-    With ``falling``, a column that ``features`` should leave out, the score never rises in that column.
+    With ``falling``, one of the features, the score never rises in that column.
     """
-    settings = {"maxDepth": 6, "minInstancesPerNode": 100} | params
-    gain = F.when(F.col("grade") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(2.0), F.col("grade") - 1.0))
-    train, dev = train.withColumn("_gain", gain), dev.withColumn("_gain", gain)
-    steps = None
     if falling is not None:
-        steps = fit_isotonic(train.withColumn("_against", _against(falling)), "_against", "_gain", F.col(weight))
-        train, dev = [
-            _with_falling(df, falling, steps).withColumn("_gain", F.col("_gain") - F.col("_falling")) for df in (train, dev)
-        ]
-    train, dev = [cut_lineage(df.select("features", "_gain", weight)) for df in (train, dev)]
-    model = boost_with_patience(_booster("_gain", weight, **settings), train, dev, most, patience)
-    return Ranker(model, falling, steps)
+        settings = Settings(**{**settings.__dict__, "direction": {falling: -1}})
+    part = F.when(F.col(split) == "train", TRAIN).when(F.col(split) == "dev", VALID).otherwise(0)
+    (model,) = Booster(table.withColumn("_gain", gain_of()), list(features), "_gain", weight, [part], settings).fit()
+    return model
 
 
 def fit_isotonic_cv(
-    train: DataFrame, label: str = "advantage", folds: int = 5, seed: int = 0, **params
-) -> tuple[GBTRegressionModel, DataFrame]:
-    """Calibrate on out-of-fold predictions, then refit the base model on everything."""
-    folded = train.withColumn("_fold", h32("request_id", F.lit(seed)) % folds)
-    held_out = None
-    for k in range(folds):
-        model, _ = train_advantage(folded.filter(F.col("_fold") != k), label, None, **params)
-        part = model.transform(folded.filter(F.col("_fold") == k)).select("prediction", label)
-        held_out = part if held_out is None else held_out.unionByName(part)
-    return train_advantage(train, label, None, **params)[0], fit_isotonic(held_out, "prediction", label)
+    train: DataFrame, features: Sequence[str], label: str = "advantage", folds: int = 5, seed: int = 0, settings: Settings = ADVANTAGE
+) -> tuple[Model, DataFrame]:
+    """The base model, and its calibration on out-of-fold predictions.
+
+    The model of every fold and the base model grow in the same scans; the folds are predicted in one scan as well.
+    """
+    fold, role = fold_of(folds, seed), F.when(stops(seed), VALID).otherwise(TRAIN)
+    parts = [F.when(fold != k, role).otherwise(0) for k in range(folds)]
+    *of_folds, model = Booster(train, list(features), label, None, [*parts, role], settings).fit()
+    held_out = transform_by(of_folds, train, fold)
+    return model, fit_isotonic(held_out, "prediction", label)

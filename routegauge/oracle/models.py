@@ -95,6 +95,38 @@ SELECT j.i AS j, k.i AS i, min((k.cy - coalesce(b.cy, 0)) / (k.cw - coalesce(b.c
 FROM x_sums j JOIN x_sums k ON k.i >= j.i LEFT JOIN x_sums b ON b.i = j.i - 1
 """)
 
+# --- boosting ---------------------------------------------------------------------------------------
+
+_INPUTS = ", ".join(f"('{c}', coalesce(f.{c}, 0)::DOUBLE)" for c in _FEATURES) + ", ('delta_tokens_mean', t.tok_c - t.tok_d)"
+cte("x_boost", f"""
+SELECT t.request_id, adv, weight, feature, x FROM x_train t JOIN x_feat f ON f.request_id = t.request_id, LATERAL (VALUES {_INPUTS}) v(feature, x)
+""")
+cte("x_ends", "SELECT feature, min(x) AS lo, max(x) AS hi FROM x_boost GROUP BY 1")
+cte("x_start", "SELECT sum(weight * adv) / sum(weight) AS start FROM x_train")
+cte("x_firstsums", """
+SELECT feature, len(list_filter(range(1, 16), lambda i: lo + (hi - lo) * (i / 16::DOUBLE) < x))::INT AS bin,
+  sum(weight * (start - adv)) AS g, sum(weight) AS h, count(*) AS n
+FROM x_boost JOIN x_ends USING (feature), x_start GROUP BY 1, 2
+""")
+cte("x_sides", """
+SELECT a.feature, a.bin, sum(b.g) FILTER (WHERE b.bin <= a.bin) AS gl, sum(b.h) FILTER (WHERE b.bin <= a.bin) AS hl,
+  sum(b.n) FILTER (WHERE b.bin <= a.bin) AS nl, coalesce(sum(b.g) FILTER (WHERE b.bin > a.bin), 0) AS gr,
+  coalesce(sum(b.h) FILTER (WHERE b.bin > a.bin), 0) AS hr, coalesce(sum(b.n) FILTER (WHERE b.bin > a.bin), 0) AS nr
+FROM x_firstsums a JOIN x_firstsums b USING (feature) GROUP BY 1, 2
+""")
+cte("x_firstsplit", """
+SELECT * FROM x_sides WHERE least(nl, nr) >= 20
+ORDER BY gl * gl / (hl + 1e-4::DOUBLE) + gr * gr / (hr + 1e-4::DOUBLE) DESC, bin LIMIT 1
+""")
+cte("x_folds", f"""
+SELECT adv, weight, {h("request_id || ':0'")} % 5 AS fold, {h("request_id || ':stop-0'")} % 10 = 0 AS stops FROM x_train
+""")
+
+
+def _five(expr: str) -> str:
+    return f"(round(({expr})::DOUBLE, 5) + 0.0::DOUBLE)"
+
+
 MODELS = {
     "checklist_margin": f'SELECT request_id, q, side, vs AS "set", {r6("m")} AS margin FROM x_margin',
     "checklist_probs": f"""SELECT request_id, q, {r6('p_dir')} AS p_dir, {r6('p_cot')} AS p_cot, {r6('margin_raw')} AS margin_raw,
@@ -131,3 +163,14 @@ MODELS = {
 
 MODELS["verbalizer_sets"] = """
     SELECT vs AS "set", side, (row_number() OVER (PARTITION BY vs, side ORDER BY no) - 1)::INT AS pos, token_id FROM x_vset"""
+MODELS["boost_parts"] = f"""
+    SELECT m::INT AS model, count(*) FILTER (WHERE NOT stops) AS train_rows, count(*) FILTER (WHERE stops) AS stop_rows,
+      {r6("avg(adv) FILTER (WHERE NOT stops)")} AS start,
+      {r6("sum(weight * adv) FILTER (WHERE NOT stops) / sum(weight) FILTER (WHERE NOT stops)")} AS weighted_start
+    FROM x_folds, range(0, 6) r(m) WHERE m <> fold GROUP BY 1"""
+MODELS["boost_first_sums"] = f"SELECT feature, bin, {_five('g')} AS g, {_five('h')} AS h, n FROM x_firstsums"
+MODELS["boost_first_split"] = " UNION ALL ".join(
+    f"""SELECT feature, bin, '{side}' AS side, n{side[0]}::BIGINT AS n, {_five(f'-g{side[0]} / (h{side[0]} + 1e-4::DOUBLE)')} AS leaf,
+      {_five('start')} AS start FROM x_firstsplit, x_start"""
+    for side in ("left", "right")
+)

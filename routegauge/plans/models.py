@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routegauge import fixed_values as fv
+from routegauge.operators import boosting as B
 from routegauge.operators import calibration as K
 from routegauge.operators import checklist as C
 from routegauge.operators import labels as L
@@ -119,11 +120,10 @@ def select_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 FALLING = "delta_tokens_mean"
 
 
-def training_table(spark: SparkSession, sf_dir: str, without: str | None = None) -> DataFrame:
-    """Split core joined with the features (but one, if named), materialised because boosting reads it many times."""
+def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split core joined with the features, materialised because labels and models read it several times."""
     scored = R.split_core(spark, sf_dir).withColumn("delta_tokens_mean", F.col("tok_c") - F.col("tok_d"))
-    names = [c for c in FEATURES if c != without]
-    return cut_lineage(T.assemble(scored.join(feature_table(spark, sf_dir), "request_id", "left"), names))
+    return cut_lineage(scored.join(feature_table(spark, sf_dir), "request_id", "left"))
 
 
 def _of(df: DataFrame, split: str) -> DataFrame:
@@ -133,19 +133,62 @@ def _of(df: DataFrame, split: str) -> DataFrame:
 @plan
 def train_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = training_table(spark, sf_dir)
-    model, mse = T.train_advantage(_of(table, "train"))
+    model, mse = T.train_advantage(_of(table, "train"), FEATURES)
     return model.transform(table).select("request_id", "split", "advantage", "prediction", F.lit(mse).alias("train_mse"))
 
 
+@plan
+def boost_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model of the cross-validation (the last one is the base model): rows that train and stop it, and where it starts."""
+    train = _of(training_table(spark, sf_dir), "train")
+    fold, stop = T.fold_of(5), T.stops()
+    rows = train.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter(F.col("model") != fold)
+    return rounded(rows.groupBy("model").agg(
+        F.count_if(~stop).alias("train_rows"), F.count_if(stop).alias("stop_rows"),
+        F.avg(F.when(~stop, F.col("advantage"))).alias("start"),
+        (F.sum(F.when(~stop, F.col("weight") * F.col("advantage"))) / F.sum(F.when(~stop, F.col("weight")))).alias("weighted_start"),
+    ))
+
+
+#: Evenly spaced bins of the first split, so that SQL finds them as well.
+EVEN_BINS = 16
+
+
+@plan
+def boost_first_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first tree of the advantage model is split by: gradients, curvatures and rows of every bin of every feature."""
+    train = _of(training_table(spark, sf_dir), "train")
+    cuts = B.even_cuts(train, FEATURES, EVEN_BINS)
+    return rounded(B.first_sums(train, FEATURES, "advantage", "weight", cuts, T.ADVANTAGE), 5)
+
+
+@plan
+def boost_first_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first split of the advantage model: feature, bin that still goes left, gain, and both leaf values."""
+    train = _of(training_table(spark, sf_dir), "train")
+    cuts = B.even_cuts(train, FEATURES, EVEN_BINS)
+    (model,) = B.Booster(train, FEATURES, "advantage", "weight", [F.lit(B.TRAIN)], T.Settings(rounds=1, depth=1), cuts).fit()
+    tree = model.trees[0]
+    row = (FEATURES[tree.feature[0]], int(tree.border[0]), float(tree.value[1]), float(tree.value[2]), float(model.start))
+    found = spark.createDataFrame([row], "feature string, bin int, left double, right double, start double")
+    sums = B.first_sums(train, FEATURES, "advantage", "weight", cuts, T.ADVANTAGE)
+    side = F.when(F.col("s.bin") <= F.col("t.bin"), "left").otherwise("right").alias("side")
+    both = sums.alias("s").join(F.broadcast(found).alias("t"), "feature").groupBy("feature", "t.bin", "start", "left", "right", side).agg(
+        F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")
+    )
+    leaf = F.when(F.col("side") == "left", F.col("left")).otherwise(F.col("right"))
+    return rounded(both.select("feature", "bin", "side", "n", leaf.alias("leaf"), "start"), 5)
+
+
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = training_table(spark, sf_dir, without=FALLING)
+    table = training_table(spark, sf_dir)
     return L.rank_labels(table, L.rank_thresholds(_of(table, "train")))
 
 
 @plan
 def train_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _graded(spark, sf_dir)
-    model = T.train_ranker(_of(table, "train"), _of(table, "dev"), falling=FALLING)
+    model = T.train_ranker(table, FEATURES, falling=FALLING)
     return model.transform(table).select("request_id", "split", "grade", "prediction")
 
 
@@ -160,7 +203,7 @@ def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def isotonic_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = training_table(spark, sf_dir)
-    model, iso = T.fit_isotonic_cv(_of(table, "train"))
+    model, iso = T.fit_isotonic_cv(_of(table, "train"), FEATURES)
     return K.calibrate(iso, model.transform(table), "prediction").select("request_id", "split", "prediction", "calibrated")
 
 
@@ -169,7 +212,7 @@ def trained_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, ranker, calibration on train, policies from dev, reports on dev and test."""
     table = _graded(spark, sf_dir)
     train = _of(table, "train")
-    model = T.train_ranker(train, _of(table, "dev"), falling=FALLING)
+    model = T.train_ranker(table, FEATURES, falling=FALLING)
     iso = K.fit_isotonic(model.transform(train), "prediction", "advantage")
     scored = K.calibrate(iso, model.transform(table), "prediction").select(
         "request_id", "split", "mu_d", "mu_c", "tok_d", "tok_c", F.col("calibrated").alias("score")

@@ -61,3 +61,11 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch copy that nothing reads any more; other paths are left alone."""
+    root = spark.sparkContext.getCheckpointDir()
+    if root and path.startswith(f"{root}/"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
