@@ -6,12 +6,17 @@ Scored tables carry request_id, score, mu_d, mu_c (quality) and tok_d, tok_c (to
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routegauge import fixed_values as fv
 from routegauge.operators.ranking import interpolated, lerp, with_rank
+from routegauge.session import cut_lineage, ship_package
 
 TINY = 1e-12
 SLACK = 1e-9
@@ -209,13 +214,76 @@ def select_epsilon(front: DataFrame, target: float) -> DataFrame:
 # --- token budgets ----------------------------------------------------------------------------------
 
 
+def _small(items: pa.RecordBatch, after: int, room: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(asked, delta, small): items behind the last event, and which of them take at most half of the room."""
+    place, delta = items.column(0).to_numpy(), items.column(1).to_numpy()
+    asked = place > after
+    return asked, delta, asked & (delta <= room / 2)
+
+
+def _part_sums(state: list[tuple[int, int, float]]):
+    """(part, b, small): the tokens of small items of every range and budget."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = TaskContext.get().partitionId(), np.zeros(len(state))
+        for batch in batches:
+            for i, (_, after, room) in enumerate(state):
+                _, delta, small = _small(batch, after, room)
+                sums[i] += delta[small].sum()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(state), pa.int32()), pa.array([b for b, _, _ in state], pa.int32()), pa.array(sums)], names=["part", "b", "small"]
+        )
+
+    return apply
+
+
+def _part_events(state: list[tuple[int, int, float]], before: dict[tuple[int, int], float]):
+    """(part, b, event, selected, tokens, ndcg) of what every range would take, up to its own first event."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        found = [[None, 0, 0.0, 0.0] for _ in state]
+        used = [before.get((part, b), 0.0) for b, _, _ in state]
+        for batch in batches:
+            place, gain = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for i, (_, after, room) in enumerate(state):
+                if found[i][0] is not None:
+                    continue
+                asked, delta, small = _small(batch, after, room)
+                upto = used[i] + np.cumsum(np.where(small, delta, 0.0))
+                event = asked & np.where(small, upto > room / 2, upto + delta <= room)
+                at = np.flatnonzero(event)[:1]
+                taken = small.copy()
+                if len(at):
+                    found[i][0] = int(place[at[0]])
+                    taken[at[0]] = True
+                    taken[at[0] + 1 :] = False
+                found[i][1] += int(taken.sum())
+                found[i][2] += float(delta[taken].sum())
+                found[i][3] += float(gain[taken].sum())
+                used[i] = float(upto[-1]) if len(upto) else used[i]
+        columns = list(zip(*found, strict=True))
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(state), pa.int32()), pa.array([b for b, _, _ in state], pa.int32()),
+             *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
+            names=["part", "b", "event", "selected", "tokens", "ndcg"],
+        )
+
+    return apply
+
+
 def greedy_under_budgets(df: DataFrame, targets: list[float], lambda_cost: float = fv.LAMBDA_COST) -> list[dict]:
     """Reports of the greedy selection for each mean-token target.
 
-    Free items first, then by gain per token, skipping items that do not fit. Per round every budget
-    takes the whole prefix that fits; what is skipped can never fit later because the residual only
-    shrinks, so the result equals the item-by-item scan. The loop state is one row per budget.
+    Free items first, then by gain per token, skipping items that do not fit; the result equals the item-by-item scan. First
+    every budget takes the whole prefix that fits. From then on a round halves the room of every budget: items of at most
+    half the room always fit until half of it is used, so prefix sums over these find the first item that uses it up, or
+    the first larger item that fits; everything small before it is taken, and so is the item. The number of rounds is
+    logarithmic in the ratio of the largest to the smallest item, and all budgets share them. Items are laid out once in
+    their order; a round scans them twice. The driver holds one row per budget and range of items.
     """
+    ship_package(df.sparkSession)
     delta = F.col("tok_c") - F.col("tok_d")
     rows = df.select(
         "request_id", "score", "mu_d", "tok_d", delta.alias("delta"), (F.col("mu_c") - F.col("mu_d")).alias("d_ndcg")
@@ -229,6 +297,7 @@ def greedy_under_budgets(df: DataFrame, targets: list[float], lambda_cost: float
         F.count_if(free).alias("selected"),
         F.coalesce(F.sum(F.when(free, F.col("delta"))), F.lit(0.0)).alias("free_tokens"),
         F.coalesce(F.sum(F.when(free, F.col("d_ndcg"))), F.lit(0.0)).alias("free_ndcg"),
+        F.coalesce(F.min(F.when((F.col("delta") > 0) & gains, F.col("delta"))), F.lit(0.0)).alias("least"),
     ).first()
     n = base["n"]
     state = [
@@ -243,40 +312,42 @@ def greedy_under_budgets(df: DataFrame, targets: list[float], lambda_cost: float
     ordered = with_rank(
         paid.select("request_id", "density", "delta", "d_ndcg"),
         [F.desc("density"), F.asc("request_id")], sums={"used": "delta"}, rank="place", size="_n",
-    ).drop("_n")
+    ).select("place", "delta", "d_ndcg", "used")
+    laid_out = cut_lineage(ordered.repartitionByRange("place").sortWithinPartitions("place"))
+
+    def take(i: int, r: dict, after: int | None) -> None:
+        s = state[i]
+        for c in ("selected", "tokens", "ndcg"):
+            s[c] += r[c]
+        s["residual"] -= r["tokens"]
+        s["after"] = after
+
     active = [i for i, s in enumerate(state) if s["residual"] > 0]
-    first = True
-    while active:
-        limits = F.explode(F.array(*[
-            F.struct(F.lit(i).alias("b"), F.lit(state[i]["after"]).cast("bigint").alias("after"),
-                     F.lit(state[i]["residual"]).alias("residual"))
-            for i in active
-        ]))
-        if first:  # all budgets share the prefix sums of the full order
-            offered = ordered.withColumn("_l", limits).select("*", "_l.b", "_l.residual").drop("_l")
-        else:
-            still = (F.col("place") > F.col("_l.after")) & (F.col("delta") <= F.col("_l.residual"))
-            left = ordered.drop("used").withColumn("_l", limits).filter(still).select("*", "_l.b", "_l.residual").drop("_l")
-            offered = with_rank(left, [F.asc("place")], by=("b",), sums={"used": "delta"}, rank="_rn", size="_n")
-        fits = F.col("used") <= F.col("residual")
-        taken = {
-            r["b"]: r
-            for r in offered.groupBy("b").agg(
-                F.count_if(fits).alias("selected"),
-                F.coalesce(F.sum(F.when(fits, F.col("delta"))), F.lit(0.0)).alias("tokens"),
-                F.coalesce(F.sum(F.when(fits, F.col("d_ndcg"))), F.lit(0.0)).alias("ndcg"),
-                F.min(F.when(~fits, F.col("place"))).alias("misfit"),
-            ).collect()  # one row per budget
-        }
-        for i, r in taken.items():
-            s = state[i]
-            s["selected"] += r["selected"]
-            s["tokens"] += r["tokens"]
-            s["ndcg"] += r["ndcg"]
-            s["residual"] -= r["tokens"]
-            s["after"] = r["misfit"]
-        active = [i for i, r in taken.items() if r["misfit"] is not None and state[i]["residual"] > 0]
-        first = False
+    if active:
+        limits = F.explode(F.array(*[F.struct(F.lit(i).alias("b"), F.lit(state[i]["residual"]).alias("residual")) for i in active]))
+        fits = F.col("used") <= F.col("l.residual")
+        first = laid_out.withColumn("l", limits).groupBy("l.b").agg(
+            F.count_if(fits).alias("selected"),
+            F.coalesce(F.sum(F.when(fits, F.col("delta"))), F.lit(0.0)).alias("tokens"),
+            F.coalesce(F.sum(F.when(fits, F.col("d_ndcg"))), F.lit(0.0)).alias("ndcg"),
+            F.min(F.when(~fits, F.col("place"))).alias("misfit"),
+        ).collect()  # one row per budget
+        for r in first:
+            take(r["b"], r, r["misfit"])
+    items = laid_out.select("place", "delta", "d_ndcg")
+    while active := [i for i, s in enumerate(state) if s["after"] and s["residual"] >= base["least"]]:
+        asked = [(i, state[i]["after"], state[i]["residual"]) for i in active]
+        sums = items.mapInArrow(_part_sums(asked), "part int, b int, small double").toPandas().sort_values(["b", "part"])
+        sums["before"] = sums.groupby("b")["small"].cumsum() - sums["small"]
+        before = {(int(p), int(b)): float(x) for p, b, x in sums[["part", "b", "before"]].itertuples(index=False)}
+        schema = "part int, b int, event bigint, selected bigint, tokens double, ndcg double"
+        found = items.mapInArrow(_part_events(asked, before), schema).collect()
+        for i in active:
+            mine = sorted((r for r in found if r["b"] == i), key=lambda r: r["part"])
+            stop = next((k for k, r in enumerate(mine) if r["event"] is not None), None)
+            upto = mine if stop is None else mine[: stop + 1]
+            total = {c: sum(r[c] for r in upto) for c in ("selected", "tokens", "ndcg")}
+            take(i, total, None if stop is None else mine[stop]["event"])
     return [
         {
             "budget_mean_tokens": s["budget"], "selected": s["selected"], "mean_ndcg": s["ndcg"] / n,

@@ -97,6 +97,23 @@ def test_greedy_skips_and_goes_on(spark):
         assert (got["selected"], got["total_tokens"], got["mean_ndcg"]) == (count, pytest.approx(total), pytest.approx(ndcg))
 
 
+def test_greedy_needs_few_rounds(spark, monkeypatch):
+    """Tiny items alternate with ones that have just become too large; the prefix that fits is one pair long each time."""
+    rows, room = [], 5000.0
+    for k in range(5000):
+        for delta in (0.5, room - 0.5 * k - 0.25):
+            rows.append((len(rows), delta * (20_000 - len(rows)), 0.0, 0.5, 10.0, 10.0 + delta))
+    columns = "request_id bigint, score double, mu_d double, mu_c double, tok_d double, tok_c double"
+    df = spark.createDataFrame(rows, columns).repartition(5)
+    rounds, plain = [], P._part_events
+    monkeypatch.setattr(P, "_part_events", lambda *a: rounds.append(1) or plain(*a))
+    targets = [10 + room / len(rows), 10 + 3 * room / len(rows), 10.01]
+    for t, got in zip(targets, P.greedy_under_budgets(df, targets)):
+        count, total, ndcg = brute_greedy(rows, t)
+        assert (got["selected"], got["total_tokens"], got["mean_ndcg"]) == (count, pytest.approx(total), pytest.approx(ndcg))
+    assert len(rounds) <= 20
+
+
 def test_eta_stops_at_the_first_misfit(spark):
     rows = [(1, 1.0, 0.0, 1.0, 0.0, 10.0), (2, 0.9, 0.0, 1.0, 0.0, 100.0), (3, 0.01, 0.0, 1.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "request_id bigint, score double, mu_d double, mu_c double, tok_d double, tok_c double")
