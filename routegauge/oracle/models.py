@@ -174,3 +174,4 @@ MODELS["boost_first_split"] = " UNION ALL ".join(
       {_five('start')} AS start FROM x_firstsplit, x_start"""
     for side in ("left", "right")
 )
+MODELS["entries_npz"] = MODELS["write_entries"].replace(" AS rows,", " AS rows, count(DISTINCT request_id) AS requests,")

@@ -166,6 +166,9 @@ def _rounded(cols, wrap="{}") -> str:
 
 SCORING = {
     "explode_runs": "SELECT request_id, mode, run, text, num_tokens FROM x_runs",
+    "outputs_files": "SELECT request_id, mode, run, text, num_tokens FROM x_runs",
+    "token_means_npy": f"""SELECT row_number() OVER (PARTITION BY mode ORDER BY request_id) - 1 AS row, mode, {r6('avg_tokens')} AS avg_tokens
+        FROM x_tokens""",
     "parse_rec_answers": "SELECT request_id, mode, run, pos, item_id FROM x_ids",
     "avg_tokens": f"SELECT request_id, mode, {r6('avg_tokens')} AS avg_tokens FROM x_tokens",
     "rec_ndcg": f"""SELECT request_id, mode, run, {r6('coalesce(ndcg5, -1)')} AS ndcg5,

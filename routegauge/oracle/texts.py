@@ -193,6 +193,10 @@ TEXTS = {
         SELECT * FROM x_loaded UNION ALL
         (SELECT request_id, 'debug', n_history FROM x_loaded WHERE split = 'train' ORDER BY request_id LIMIT 10)""",
     "chat_inputs": "SELECT conv_id AS request_id, turn::INT AS turn, role, text AS content FROM conversations",
+    "chat_files": """
+        SELECT turn, role, content, count(*) AS n FROM (
+          SELECT (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS turn, role, text AS content FROM conversations)
+        GROUP BY ALL""",
     "prompt_fallback": """
         SELECT c.conv_id AS request_id, coalesce(any_value(d.text), arg_min(c.text, c.turn)) AS prompt
         FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id WHERE role = 'user' GROUP BY c.conv_id""",

@@ -17,6 +17,7 @@ from routegauge.plans import routing as R
 from routegauge.plans.registry import plan, rounded
 from routegauge.plans.scoring import rec_wide_with_tokens
 from routegauge.session import cut_lineage, scratch_path
+from routegauge.sources import arrays
 from routegauge.sources import derived as D
 from routegauge.sources import sinks
 
@@ -231,3 +232,13 @@ def write_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("section").agg(
         F.count(F.lit(1)).alias("rows"), F.count("vec").alias("with_vector")
     )
+
+
+@plan
+def entries_npz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the entry vectors in NumPy shards, read them back, and count."""
+    path = scratch_path(spark, "shards")
+    arrays.write_entries_npz(D.rec_vectors(spark, sf_dir, D.requests(spark, sf_dir)), path)
+    return arrays.read_entries_npz(spark, path).groupBy("section").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("vec").alias("with_vector"), F.count_distinct("request_id").alias("requests")
+    )

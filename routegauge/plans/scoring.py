@@ -10,8 +10,9 @@ from routegauge import fixed_values as fv
 from routegauge.functions import list_metrics as LM
 from routegauge.operators import ir_scores, mode_compare, rec_scores
 from routegauge.plans.registry import plan, rounded
+from routegauge.session import scratch_path
+from routegauge.sources import arrays, readers, sinks
 from routegauge.sources import derived as D
-from routegauge.sources import readers
 
 
 def _in_both_modes(req: DataFrame) -> DataFrame:
@@ -42,10 +43,10 @@ def rec_pairs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame
     return mode_compare.pair_long(rec_wide_with_tokens(spark, sf_dir), columns)
 
 
-@plan
-def explode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mode, value): the generation record of every request."""
     runs = D.rec_runs(D.requests(spark, sf_dir))
-    lines = runs.groupBy("request_id", "mode").agg(
+    return runs.groupBy("request_id", "mode").agg(
         F.sort_array(F.collect_list(F.struct("run", "text", "num_tokens"))).alias("outputs")
     ).select(
         "mode",
@@ -56,9 +57,40 @@ def explode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("outputs"),
         )).alias("value"),
     )
+
+
+@plan
+def explode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _output_lines(spark, sf_dir)
     return readers.explode_outputs(readers.parse_outputs(lines, keep=["mode"]), keep=["mode"]).drop("prompt")
 
 
+#: Small ranges, so that files of the test tables are cut as large ones would be.
+RANGE_BYTES = 1 << 16
+
+
+@plan
+def outputs_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation records written as files of one JSON array each, and read back by ranges."""
+    lines, path, found = _output_lines(spark, sf_dir), scratch_path(spark, "outputs"), []
+    for mode in ("direct", "cot"):
+        sinks.write_json_arrays(lines.filter(F.col("mode") == mode), f"{path}/{mode}")
+        read = readers.explode_outputs(readers.read_outputs(spark, f"{path}/{mode}", RANGE_BYTES))
+        found.append(read.withColumn("mode", F.lit(mode)).drop("prompt"))
+    return found[0].unionByName(found[1])
+
+
+@plan
+def token_means_npy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean tokens of both modes in the order of the requests, through NumPy files."""
+    means, path, found = _rec_tokens(D.requests(spark, sf_dir)), scratch_path(spark, "means"), []
+    for mode in ("direct", "cot"):
+        arrays.write_npy(means.filter(F.col("mode") == mode), "request_id", "avg_tokens", f"{path}/{mode}", 1000)
+        read = arrays.read_npy(spark, f"{path}/{mode}", 4096)
+        found.append(read.select("row", F.lit(mode).alias("mode"), F.get("values", F.lit(0)).alias("avg_tokens")))
+    return rounded(found[0].unionByName(found[1]))
+
+
 @plan
 def parse_rec_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec_scores.parse_answers(D.rec_runs(D.requests(spark, sf_dir)))

@@ -9,9 +9,9 @@ from routegauge.functions import vectors as V
 from routegauge.operators import prompts as Q
 from routegauge.operators import spans as S
 from routegauge.plans.registry import plan, rounded
-from routegauge.session import materialise, read_table
+from routegauge.session import materialise, read_table, scratch_path
 from routegauge.sources import derived as D
-from routegauge.sources import readers
+from routegauge.sources import readers, sinks
 
 DIRECT_SYSTEM = "Answer at once."
 COT_SYSTEM = "Think first, then answer."
@@ -70,6 +70,16 @@ def chat_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parse_messages(turns, keep=["request_id", "turn"])[0]
 
 
+@plan
+def chat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats written as files of one JSON array each and read back by ranges: how often each message has each place."""
+    said = D.chat_turns(spark, sf_dir).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+    chats = said.select(F.to_json(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("value"))
+    path = scratch_path(spark, "chats")
+    sinks.write_json_arrays(chats, path)
+    return readers.read_chats(spark, path, 1 << 16).groupBy("turn", "role", "content").agg(F.count(F.lit(1)).alias("n"))
+
+
 @plan
 def prompt_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = read_table(spark, sf_dir, "documents").select(

@@ -7,7 +7,8 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from routegauge.sources.ranges import RANGE_BYTES, array_files, array_records, file_sizes
 
 OUTPUTS = "array<struct<text:string,num_tokens:int>>"
 GENERATION = f"request_id string, prompt string, outputs {OUTPUTS}"
@@ -30,21 +31,16 @@ def read_items_csv(spark: SparkSession, path: str, schema: str = "item_id bigint
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False, multiLine=True, escape='"')
 
 
-def _array_files(spark: SparkSession, path: str) -> list[str]:
-    """Files that hold one JSON array: a record on a line of its own never starts with a bracket."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    found = lines.filter(F.ltrim("value").startswith("[")).select("file").distinct()
-    return [r["file"] for r in found.collect()]  # one row per array file
-
-
-def read_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """Generation output, every file either one JSON array (read by one task) or JSON lines."""
-    arrays = _array_files(spark, path)
+def read_outputs(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Generation output, every file either one JSON array or JSON lines. Files of either kind are read by many tasks."""
+    arrays = array_files(file_sizes(spark, path))
+    names = [r["file"] for r in arrays.select("file").collect()]  # one row per array file
     lines = spark.read.json(path, schema=GENERATION)
-    if not arrays:
+    if not names:
         return lines
-    listed = spark.read.json([unquote(f) for f in arrays], schema=GENERATION, multiLine=True)
-    return lines.filter(~F.col("_metadata.file_path").isin(arrays)).unionByName(listed)
+    listed = array_records(arrays, range_bytes).select(F.from_json("value", GENERATION).alias("r")).select("r.*")
+    others = [f for f in (r["file"] for r in file_sizes(spark, path).select("file").collect()) if f not in set(names)]
+    return spark.read.json([unquote(f) for f in others], schema=GENERATION).unionByName(listed) if others else listed
 
 
 def parse_outputs(lines: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -67,17 +63,21 @@ def explode_outputs(generated: DataFrame, keep: list[str] = (), keep_empty: bool
     ).select("request_id", *keep, "prompt", (F.col("p") + 1).alias("run"), "o.text", "o.num_tokens")
 
 
-def read_chats(spark: SparkSession, path: str) -> DataFrame:
+def read_chats(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A JSON array of chats per file, each an array of messages, to file, request_id, turn, role, content.
 
-    request_id counts the chats of one file, so file and request_id together name a chat. A file is one array and
-    hence one task; large collections should come as JSON lines.
+    request_id counts the chats of one file, so file and request_id together name a chat. A file is cut into ranges, each
+    read by a task of its own.
     """
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    chats = whole.select("file", F.from_json("value", f"array<{MESSAGES}>").alias("chats"))
-    bad_shape = F.raise_error(F.lit("a chat file holds an array of arrays of messages")).cast(f"array<{MESSAGES}>")
-    checked = chats.select("file", F.posexplode(F.when(F.col("chats").isNull(), bad_shape).otherwise(F.col("chats"))))
-    return checked.select("file", F.col("pos").cast("bigint").alias("request_id"), F.posexplode("col").alias("turn", "m")).select(
+    files = file_sizes(spark, path)
+    arrays = array_files(files)
+    if not files.join(arrays, "file", "left_anti").isEmpty():
+        raise ValueError("a chat file holds an array of arrays of messages")
+    chats = array_records(arrays, range_bytes)
+    parsed = F.when(F.ltrim("value").startswith("["), F.from_json("value", MESSAGES))
+    bad_shape = F.raise_error(F.lit("a chat file holds an array of arrays of messages")).cast(MESSAGES)
+    checked = chats.select("file", F.col("index").alias("request_id"), F.coalesce(parsed, bad_shape).alias("chat"))
+    return checked.select("file", "request_id", F.posexplode("chat").alias("turn", "m")).select(
         "file", "request_id", "turn", "m.role", "m.content"
     )
 

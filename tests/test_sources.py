@@ -1,13 +1,15 @@
 """File formats, sinks and session plumbing."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from routegauge.plans.features import features_of_entries
 from routegauge.session import ensure_checkpoint_dir
-from routegauge.sources import readers, sinks
+from routegauge.sources import arrays, ranges, readers, sinks
 
 RECORDS = [
     {"request_id": "req_0", "prompt": "p", "outputs": [{"text": "[1]", "num_tokens": 4}, {"text": "[2]"}]},
@@ -106,3 +108,72 @@ def test_checkpoint_folder_is_the_configured_one(spark):
     if configured:
         assert configured in spark.sparkContext.getCheckpointDir()
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_json_arrays_in_many_ranges(spark, tmp_path):
+    """Records with brackets, quotes and backslashes inside strings, cut at every place."""
+    texts = ['[{"', "}\\", '\\"]', "é\u2028", "\\\\", 'a"b\\\\"c', "", "[[]]" * 9, "x" * 70]
+    records = [{"request_id": f"req_{i}", "prompt": t, "outputs": [{"text": t + u, "num_tokens": i} for u in texts]} for i, t in enumerate(texts)]
+    for indent, ascii_only in ((None, True), (1, False)):
+        path = tmp_path / f"all{indent}.json"
+        path.write_text("\n " + json.dumps(records, indent=indent, ensure_ascii=ascii_only), encoding="utf-8")
+        for size in (37, 1000, 1 << 20):
+            found = readers.read_outputs(spark, str(path), size)
+            got = {r.request_id: (r.prompt, [(o.text, o.num_tokens) for o in r.outputs]) for r in found.collect()}
+            assert got == {r["request_id"]: (r["prompt"], [(o["text"], o["num_tokens"]) for o in r["outputs"]]) for r in records}
+    files = ranges.file_sizes(spark, str(path))
+    rows = ranges.array_records(files, 300)
+    assert rows.rdd.getNumPartitions() > 3
+    assert [json.loads(r.value)["request_id"] for r in rows.orderBy("index").collect()] == [r["request_id"] for r in records]
+    assert [r["index"] for r in rows.orderBy("index").collect()] == list(range(len(records)))
+
+
+def test_brackets_outside_strings_equal_a_plain_scan():
+    rng = random.Random(2)
+    for _ in range(300):
+        data = "".join(rng.choice('[]{}"\\\\\\"a,') for _ in range(rng.randint(0, 40))).encode()
+        escaped, inside = rng.random() < 0.5, rng.random() < 0.5
+        want, esc, ins = [], escaped, inside
+        for i, b in enumerate(data):
+            c = chr(b)
+            if esc:
+                esc = False
+            elif c == "\\":
+                esc = True
+            elif c == '"':
+                ins = not ins
+            elif not ins and c in "[]{}":
+                want.append((i, 1 if c in "[{" else -1))
+        places, steps, ends, loose = ranges.marks(data, escaped, inside)
+        assert [(int(p), int(s)) for p, s in zip(places, steps)] == want
+        assert ends == ins and (loose == esc or not data)
+
+
+def test_npy_round_trip_in_ranges(spark, tmp_path):
+    table = spark.range(1000).select(F.col("id"), (F.col("id") * 0.5 - 3).alias("x")).repartition(5)
+    arrays.write_npy(table, "id", "x", str(tmp_path / "means"), shard_size=150)
+    names = sorted(p.name for p in (tmp_path / "means").iterdir())
+    assert names[0] == "part-00000.npy" and len(names) >= 7
+    found = arrays.read_npy(spark, str(tmp_path / "means"), range_bytes=400)
+    assert [(r.row, list(r["values"])) for r in found.orderBy("row").collect()] == [(i, [i * 0.5 - 3]) for i in range(1000)]
+    plain = tmp_path / "one.npy"
+    matrix = np.arange(600, dtype=np.float32).reshape(200, 3)
+    np.save(plain, matrix)
+    found = arrays.read_npy(spark, str(plain), range_bytes=120)
+    assert found.rdd.getNumPartitions() > 1
+    assert [list(r["values"]) for r in found.orderBy("row").collect()] == matrix.tolist()
+    np.save(tmp_path / "bad.npy", np.array([{}], dtype=object), allow_pickle=True)
+    with pytest.raises(Exception, match="only plain numbers"):
+        arrays.read_npy(spark, str(tmp_path / "bad.npy")).collect()
+
+
+def test_npz_entries_round_trip(spark, tmp_path):
+    rows = [(i % 7, "history" if i % 3 else "candidate", i, None if i == 4 else i * 10, None if i % 11 == 5 else [float(i), 0.5, -1.0]) for i in range(60)]
+    table = spark.createDataFrame(rows, "request_id long, section string, pos int, item_id long, vec array<float>").repartition(3)
+    arrays.write_entries_npz(table, str(tmp_path / "shards"), shard_size=2)
+    shards = sorted((tmp_path / "shards").iterdir())
+    assert shards[0].name == "entry_lists_shard000.npz" and len(shards) >= 4
+    with np.load(shards[0]) as one:
+        assert len(set(one["request_id"].tolist())) <= 2 and one["pooling"].tolist() == ["mean"]
+    got = arrays.read_entries_npz(spark, str(tmp_path / "shards"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(((*r[:4], r[4] and list(r[4])) for r in rows), key=repr)
