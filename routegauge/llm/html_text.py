@@ -19,23 +19,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routegauge.llm.common import text_or_empty
+from routegauge.session import ship_package
 
 LABELLED = 5_000  # distinct pages that the weights are learnt from, at most about
 _SLOTS = 1 << 30
 _SPACE = re.compile(r"\s+")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|(?=<)|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A value may be quoted behind ``=`` only; other quotes are plain characters.
+_VALUE = r"=\s*(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'<>][^\s<>]*+)"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>=]|{_VALUE}|=)*+)(?:>|(?=<)|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=][^\s<>/=]*+)\s*+(?:=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s\"'<>][^\s<>]*+)))?|.", re.S)
+_NAMING = {"class", "id", "role"}
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe"}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp",
            "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr"}
 _DROPPED = {"nav", "footer", "aside", "button", "select", "dialog", "menu", "head", "object", "canvas", "audio", "video"}
-_DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|menu|modal|nav|"
-    r"navbar|navigation|newsletter|notice|popup|promo|promoted|recommended|related|respond|share|sharing|sidebar|social|sponsor|sponsored|"
-    r"subscribe|toolbar|widget|complementary|contentinfo)(?=$|[\s_-])"
+_DROPPED_WORDS = set(
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer footer menu modal nav "
+    "navbar navigation newsletter notice popup promo promoted recommended related respond share sharing sidebar social sponsor sponsored "
+    "subscribe toolbar widget complementary contentinfo".split()
 )
+_PARTS = re.compile(r"[_-]+")
 _REGION = {"article", "main"}
 _KNOWN = set(
     "a abbr acronym address applet area article aside audio b base basefont bdi bdo big blockquote body br button canvas caption center cite code "
@@ -51,6 +56,26 @@ _WORD, _TAG = 0, 1
 _NEVER = "never text"  # the sign that always drops
 
 
+def naming(attributes: str) -> list[str]:
+    """The words of the class, id and role attributes of a tag, in lower case; other attributes and their values do not count."""
+    found = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1] is not None and m[1].lower() in _NAMING:
+            found += next((v for v in m.groups()[1:] if v is not None), "").lower().split()
+    return found
+
+
+def signs_of(names: list[str], within: bool) -> frozenset[str]:
+    """Names that mark an element as no text. Within a marked region all parts of a name must say so, elsewhere one of them."""
+    every = all if within else any
+    found = []
+    for name in names:
+        parts = [p for p in _PARTS.split(_DIGITS.sub("", name)) if p]
+        if parts and every(p in _DROPPED_WORDS for p in parts):
+            found.append(_DIGITS.sub("", name))
+    return frozenset(found)
+
+
 def events(page: str) -> Iterator[tuple[int, str, str, frozenset[str], bool]]:
     """Words (one event per run of text) and tags of a page in order; broken markup is read as far as it goes."""
     stack: list[tuple[str, frozenset[str], bool, bool]] = []  # tag, signs, marked, is a block
@@ -87,15 +112,15 @@ def events(page: str) -> Iterator[tuple[int, str, str, frozenset[str], bool]]:
             block, signs, marked = settle()
             yield _TAG, tag, "/", signs, marked
             continue
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower() if "=" in m[3] else ""
+        names = naming(m[3]) if "=" in m[3] else []
         more = none
         if tag in _DROPPED or (tag == "header" and not marked):
             more = frozenset([_NEVER])
         elif tag == "form":
             more = frozenset(["form"])
-        elif names and tag not in ("html", "body") and tag not in _REGION and _DROPPED_NAMES.search(names):
-            more = frozenset(_DIGITS.sub("", x) for x in names.split() if _DROPPED_NAMES.search(x))
-        yield _TAG, tag, names, signs | more, marked or tag in _REGION
+        elif names and tag not in ("html", "body") and tag not in _REGION:
+            more = signs_of(names, marked)
+        yield _TAG, tag, " ".join(names), signs | more, marked or tag in _REGION
         if tag == "svg" and m[3].endswith("/"):  # the slash counts in foreign elements only
             continue
         if tag in _RAW:
@@ -225,8 +250,10 @@ def with_main_text(pages: DataFrame, page: str = "html", labelled: int = LABELLE
     """The ``keep`` columns of every row and text, the main text of its page.
 
     Null and empty pages, and pages without words, have an empty text. Without any labelled page fixed scores are used. Repeated
-    rows get the same answer each; a page without a marked region is read like all others.
+    rows get the same answer each; a page without a marked region is read like all others. Pages are read whole, however
+    long; other columns do not matter. An empty table gives no rows.
     """
+    ship_package(pages.sparkSession)
     weights = learn(pages, page, labelled)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

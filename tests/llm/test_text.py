@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -223,3 +224,39 @@ def test_pipeline_stages(spark, tmp_path, odd):
         assert docs.columns == documents.columns
     rows = corpus_pipeline.run(spark, str(tmp_path))
     assert rows.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("body, want", [
+    ("<p title=it's>first words here</p><p>second words here</p>", "first words here\n\nsecond words here"),
+    ('<p>see <a href="/p?id=ad-12">words</a> more</p>', "see words more"),
+    ('<p>see <a href="/x?a=1&id=share me">words</a> more</p>', "see words more"),
+    ('<p data-id="notice">kept words</p>', "kept words"),
+    ('<div id="social-history"><p>kept words too</p></div>', "kept words too"),
+    ('<p class=a"b>odd quote</p><p>next</p>', "odd quote\n\nnext"),
+    ("<p x='1' id = \"comments\">gone</p><p>some words that stay</p>", "some words that stay"),
+    ('<a title="a > b" class="x">keep &amp; this</a>', "keep & this"),
+    ('<div class="ad-banner"><p>buy</p></div><p>some words kept</p>', "some words kept"),
+])
+def test_attributes_of_ordinary_markup(body, want):
+    page = f"<html><body><nav>menu one two</nav><article>{body}</article><footer>end of page</footer></body></html>"
+    assert html_text.extract(page, {}) == want
+
+
+def test_best_run_equals_brute_force():
+    rng = random.Random(3)
+    for _ in range(100):
+        found = [(rng.choice([0, 1]), rng.choice(["p", "div", "a", "x-y"]), "w " * rng.randint(0, 4), rng.random() < 0.3, False) for _ in range(rng.randint(0, 30))]
+        value = [html_text._score({}, k, n, d) * (len(w.split()) if k == 0 else 1) for k, n, w, d, _ in found]
+        start, end = html_text._best(found, {})
+        best = max((sum(value[i:j]) for i in range(len(value)) for j in range(i, len(value) + 1)), default=0.0)
+        assert sum(value[start:end]) == pytest.approx(max(best, 0.0))
+
+
+def test_clashing_names_of_url_filter_and_decontamination(spark, odd):
+    pages = odd.select(F.lit("http://a.example.com/en/x").alias("url"), *[F.lit("z").alias(c) for c in ("best_rule_", "url_key", "short", "host", "rule")])
+    rules = spark.createDataFrame([("example.com", "/en/", "block")], "host string, path string, action string")
+    assert {(r.rule, r.verdict) for r in url_filter.with_verdicts(pages, rules).collect()} == {("example.com/en/", "block")}
+    bench = spark.createDataFrame([("b1", "y" * 50_000)], "item_id string, text string")
+    clash = odd.withColumns({c: F.lit("z") for c in ("found_n_hit", "found_spans", "n_hit_", "spans", "items_", "key_", "body_", "n_words")})
+    hit = [r.doc_id for r in decontamination.with_leaks(clash, bench).filter("contaminated").collect()]
+    assert hit == [9]
