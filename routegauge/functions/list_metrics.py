@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SHORT = 64
 
 
 def _discount(index: Column) -> Column:
@@ -57,8 +62,44 @@ def top1(pred: Column, truth: Column) -> Column:
     return _both(pred, truth, F.when(same, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
+def concordant(ranks: np.ndarray) -> int:
+    """Pairs in which the later entry is larger, counted bit by bit in n log n steps.
+
+    Entries are kept in groups of equal higher bits, in their order; of a group, every entry with the next bit set follows
+    on those before it without.
+    """
+    found, group = 0, np.zeros(len(ranks), np.int64)
+    for bit in range(int(ranks.max()).bit_length() - 1, -1, -1) if len(ranks) else ():
+        high = ranks >> bit & 1
+        low_before = np.cumsum(1 - high)
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        at_start = (low_before[first] - (1 - high[first])).repeat(np.diff(np.r_[first, len(group)]))
+        found += int((low_before - at_start)[high == 1].sum())
+        group = group * 2 + high
+        order = np.argsort(group, kind="stable")
+        ranks, group = ranks[order], group[order]
+    return found
+
+
+@F.arrow_udf(T.DoubleType())
+def _long_accuracy(pred: pa.Array, truth: pa.Array) -> pa.Array:
+    out = []
+    for own, known in zip(pred, truth, strict=True):
+        if not own.is_valid or not known.is_valid:
+            out.append(None)
+            continue
+        places = {x: p for p, x in enumerate(known.as_py()) if x is not None}  # the last place of a repeated id
+        ranks = np.array([places[x] for x in own.as_py() if x in places], np.int64)
+        m = len(ranks)
+        out.append(concordant(ranks) / (m * (m - 1) / 2) if m > 1 else 0.0)
+    return pa.array(out, pa.float64())
+
+
 def pairwise_accuracy(pred: Column, truth: Column) -> Column:
-    """Share of concordant pairs among the ids both lists know; 0 with fewer than two."""
+    """Share of concordant pairs among the ids both lists know; 0 with fewer than two.
+
+    Lists of up to ``SHORT`` ids are compared pair by pair inside Spark, longer ones are counted in n log n steps.
+    """
     ranks = F.filter(F.transform(pred, lambda x: -relevance(truth, x)), lambda r: r < 0)
     m = F.size(ranks)
     right = F.aggregate(
@@ -67,7 +108,10 @@ def pairwise_accuracy(pred: Column, truth: Column) -> Column:
         lambda s, n: s + n,
     )
     pairs = m.cast("bigint") * (m - 1) / 2
-    return _both(pred, truth, F.when(m > 1, right / pairs).otherwise(F.lit(0.0)))
+    short = F.when(m > 1, right / pairs).otherwise(F.lit(0.0))
+    long = F.greatest(F.size(pred), F.size(truth)) > SHORT
+    counted = _long_accuracy(F.when(long, pred), F.when(long, truth))
+    return _both(pred, truth, F.when(long, counted).otherwise(short))
 
 
 def footrule(pred: Column, truth: Column) -> Column:

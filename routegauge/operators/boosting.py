@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routegauge.session import discard, scratch_path, ship_package
 
@@ -106,7 +107,7 @@ def transform_by(models: list[Model], df: DataFrame, which: Column, name: str =
     """Add the score of the model whose number is ``which``; all models are applied in one scan."""
     ship_package(df.sparkSession)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(number: pd.Series, *columns: pd.Series) -> pd.Series:
         out = np.zeros(len(number))
         for m, model in enumerate(models):

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,21 @@ def test_requests_without_runs_have_rows(spark):
     scored = ir_scores.score_runs(answers, truth)
     rows = {r["request_id"]: r for r in ir_scores.request_metrics(scored, wanted=wanted).collect()}
     assert rows[1]["avg_top1"] == 1.0 and rows[2]["avg_top1"] == 0.0 and rows[2]["ndcg10_1"] == 0.0
+
+
+def test_pairwise_accuracy_of_long_lists(spark):
+    rng = np.random.default_rng(5)
+    lists = []
+    for n in (3, 64, 65, 300):
+        truth = rng.permutation(n).tolist()
+        pred = rng.integers(0, n + 20, n).tolist()
+        lists.append((n, [int(x) for x in pred], [int(x) for x in truth] + [int(truth[0])]))
+    big = rng.permutation(10_000)
+    lists.append((10_000, [int(x) for x in big], list(range(10_000))))
+    df = spark.createDataFrame(lists, "n int, pred array<bigint>, truth array<bigint>")
+    got = {r.n: r.acc for r in df.select("n", LM.pairwise_accuracy(F.col("pred"), F.col("truth")).alias("acc")).collect()}
+    for n, pred, truth in lists:
+        place = {x: i for i, x in enumerate(truth)}
+        r = np.array([place[x] for x in pred if x in place])
+        right = sum(int((r[i + 1 :] > r[i]).sum()) for i in range(len(r)))
+        assert got[n] == pytest.approx(right / max(len(r) * (len(r) - 1) / 2, 1))
