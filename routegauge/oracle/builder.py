@@ -29,6 +29,15 @@ def build(body: str) -> str:
     return f"WITH {parts}\n{body.strip()}"
 
 
+def re2(pattern: str) -> str:
+    """A pattern of ``fixed_values`` for RE2: without the flags it lacks, a look-ahead for one sign as a sign or the end."""
+    flags = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    if flags:
+        kept = "".join(f for f in flags[1] if f not in "Ud")
+        pattern = (f"(?{kept})" if kept else "") + pattern[flags.end() :]
+    return pattern.replace("(?!>)", "(?:[^>]|$)").replace("'", "''")
+
+
 def h(expr: str) -> str:
     """First 8 hex digits of md5 as BIGINT."""
     return f"(('0x' || substr(md5({expr}), 1, 8))::BIGINT)"
