@@ -139,6 +139,52 @@ def pair_products(left: pa.Array, right: pa.Array, same: pa.Array) -> pa.Array:
     )
 
 
+_UNITS = T.StructType([
+    T.StructField("n", T.LongType()), T.StructField("ones", _DOUBLE), T.StructField("fourths", _DOUBLE),
+    T.StructField("total", _DOUBLES), T.StructField("gram", _DOUBLES),
+])
+_UNITS_ARROW = pa.struct([("n", pa.int64()), ("ones", pa.float64()), ("fourths", pa.float64()), ("total", _DOUBLES_ARROW), ("gram", _DOUBLES_ARROW)])
+
+
+@F.arrow_udf(_UNITS)
+def unit_sums(block: pa.Array) -> pa.Array:
+    """Of the unit vectors of a block: their number, the sums of their second and fourth powers of length, sum and Gram."""
+    out = []
+    for x in _blocks(block):
+        u = _unit(x)
+        squares = np.square(u).sum(axis=1)
+        out.append({"n": len(u), "ones": float(squares.sum()), "fourths": float(np.square(squares).sum()), "total": u.sum(axis=0), "gram": (u.T @ u).ravel()})
+    return pa.array(out, _UNITS_ARROW)
+
+
+def _angles(x: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(x) @ _unit(anchor), -1.0, 1.0))
+
+
+@F.arrow_udf(_FARTHEST)
+def widest_row(block: pa.Array, anchor: pa.Array) -> pa.Array:
+    """The row of a block at the widest angle to an anchor (the first on ties), with that angle."""
+    out = []
+    for x, a in zip(_blocks(block), _vectors(anchor)):
+        angle = _angles(x, a)
+        at = int(angle.argmax())
+        out.append({"gap": float(angle[at]), "v": x[at]})
+    return pa.array(out, _FARTHEST_ARROW)
+
+
+@F.arrow_udf(_DOUBLE)
+def least_cosine(block: pa.Array, vector: pa.Array) -> pa.Array:
+    """The least cosine of the rows of a block to one vector."""
+    return pa.array([float((_unit(x) @ _unit(v)).min()) for x, v in zip(_blocks(block), _vectors(vector))], pa.float64())
+
+
+@F.arrow_udf(T.ArrayType(_DOUBLES))
+def rows_beyond(block: pa.Array, anchor: pa.Array, angle: pa.Array) -> pa.Array:
+    """The rows of a block at no less than an angle to an anchor."""
+    rows = zip(_blocks(block), _vectors(anchor), angle.to_pylist())
+    return pa.array([list(x[_angles(x, a) >= least]) for x, a, least in rows], pa.list_(_DOUBLES_ARROW))
+
+
 def _top3(gram: np.ndarray) -> float:
     return float(np.sqrt(np.clip(np.linalg.eigvalsh(gram)[-3:], 0.0, None)).sum())
 

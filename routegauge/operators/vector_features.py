@@ -250,13 +250,47 @@ def block_pairs(table: DataFrame, *columns: str) -> DataFrame:
     return single.unionByName(paired.drop("from_block", "block"))
 
 
+def _least_cosines(many: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(request_id, low): the least cosine over all pairs of rows, for requests of several blocks.
+
+    Two rows are no farther apart than their angles to an anchor together. The row at the widest angle is compared with all
+    others; only rows wide enough to come farther apart than the farthest pair so found are compared with one another.
+    """
+    at = many.join(anchors, "request_id")
+    wide = at.select("request_id", "block", M.widest_row("m", "anchor").alias("f")).groupBy("request_id").agg(
+        F.max("f.gap").alias("widest"), F.max_by("f.v", F.struct(F.col("f.gap"), -F.col("block"))).alias("v")
+    )
+    bound = many.join(wide, "request_id").select("request_id", M.least_cosine("m", "v").alias("low")).groupBy("request_id").agg(F.min("low").alias("low"))
+    needed = bound.join(wide, "request_id").select("request_id", "low", (F.acos(F.greatest("low", F.lit(-1.0))) - F.col("widest") - 1e-9).alias("needed"))
+    needed = materialise(needed, "pair-bounds")
+    left = at.join(needed, "request_id").select("request_id", "block", "blocks", M.rows_beyond("m", "anchor", "needed").alias("m"))
+    left = materialise(left.filter(F.size("m") > 0), "wide-rows")
+    found = block_pairs(left, "m").select("request_id", M.pair_products("l_m", "r_m", "same").alias("p")).select("request_id", "p.low")
+    return found.unionByName(needed.select("request_id", "low")).groupBy("request_id").agg(F.min("low").alias("low"))
+
+
 def pairwise(table: DataFrame) -> DataFrame:
-    """Mean, population deviation and minimum of the cosine over all candidate pairs."""
-    pairs = block_pairs(table.filter(F.col("section") == "candidate"), "m")
-    parts = pairs.select("request_id", M.pair_products("l_m", "r_m", "same").alias("p")).select("request_id", "p.*")
-    merged = parts.groupBy("request_id").agg(
-        F.sum("cnt").alias("cnt"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.min("low").alias("low")
-    ).filter(F.col("cnt") > 0)
+    """Mean, population deviation and minimum of the cosine over all candidate pairs.
+
+    A request of one block has its products taken in one piece. For larger ones the mean follows from the sum of the unit
+    vectors and the deviation from their Gram matrix, both linear in the vectors; only the minimum needs pairs.
+    """
+    own = table.filter(F.col("section") == "candidate")
+    small = own.filter(F.col("blocks") == 1).select("request_id", M.pair_products("m", "m", F.lit(True)).alias("p"))
+    merged = small.select("request_id", "p.cnt", "p.total", "p.squares", "p.low")
+    many = own.filter(F.col("blocks") > 1).select("request_id", "block", "blocks", "m")
+    if not many.isEmpty():
+        sums = many.select("request_id", M.unit_sums("m").alias("u")).groupBy("request_id").agg(
+            *[F.sum(f"u.{c}").alias(c) for c in ("n", "ones", "fourths")],
+            V.sum_vector(F.col("u.total")).alias("anchor"), V.sum_vector(F.col("u.gram")).alias("gram"),
+        )
+        sums = materialise(sums, "unit-sums")
+        linear = sums.select(
+            "request_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("cnt"),
+            ((V.norm2(F.col("anchor")) - F.col("ones")) / 2).alias("total"), ((V.norm2(F.col("gram")) - F.col("fourths")) / 2).alias("squares"),
+        )
+        merged = merged.unionByName(linear.join(_least_cosines(many, sums.select("request_id", "anchor")), "request_id"))
+    merged = merged.filter(F.col("cnt") > 0)
     mean = F.col("total") / F.col("cnt")
     return merged.select(
         "request_id",
