@@ -415,6 +415,12 @@ def fill_zero(requests: DataFrame, features: DataFrame, names: list[str]) -> Dat
     return joined.select("request_id", *[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in names])
 
 
+def side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """One row per request with the columns of all parts, which have no more than one row for a request: one shuffle for all."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy("request_id").agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in rows.columns if c != "request_id"])
+
+
 def _only(features: DataFrame, allowed: DataFrame) -> DataFrame:
     return features.join(allowed, "request_id", "left_semi")
 
@@ -435,8 +441,7 @@ def rec_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
             clusters(table),
         )
     ]
-    joined = reduce(lambda a, b: a.join(b, "request_id", "left"), parts)
-    return fill_zero(requests, joined, REC_FEATURES)
+    return fill_zero(requests, side_by_side(parts), REC_FEATURES)
 
 
 def ir_sides(prof: DataFrame) -> DataFrame:
@@ -465,7 +470,7 @@ def ir_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
             clusters(table),
         )
     ]
-    joined = reduce(lambda a, b: a.join(b, "request_id", "left"), parts)
+    joined = side_by_side(parts)
     for c in UNSET_FOR_IR:
         joined = joined.withColumn(c, F.lit(0.0))
     return fill_zero(requests, joined, IR_FEATURES)
