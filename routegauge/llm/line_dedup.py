@@ -195,7 +195,7 @@ def split_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def line_links(lines: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b): a spanning forest, per task, of the links between distinct lines (h, line), known by their hashes."""
-    homes = lines.mapInArrow(_keys(most, True), "k long, h long")
+    homes = stored(lines.mapInArrow(_keys(most, True), "k long, h long"), "home-segments")
     visits = lines.mapInArrow(_keys(most, False), "k long, h long")
     index = homes.groupBy("k").agg(F.min("h").alias("low"), F.max("h").alias("high"))  # one row per segment
     met = visits.join(index, "k").filter("low <> h OR high <> h").select("k", "h")
