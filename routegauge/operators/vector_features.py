@@ -91,7 +91,7 @@ def _scatter(part: str) -> Column:
     return F.greatest(spread, F.lit(0.0)) / F.greatest(n - 1, F.lit(1))
 
 
-def _both_sides() -> Column:
+def both_sides() -> Column:
     return F.col("hist").isNotNull() & F.col("cand").isNotNull()
 
 
@@ -99,32 +99,44 @@ def _cosine(a: Column, b: Column) -> Column:
     return V.dot(V.unit_vector(a), V.unit_vector(b))
 
 
-def spread(prof: DataFrame) -> DataFrame:
+def spread_columns() -> dict[str, Column]:
     """Variances always; covariance traces only when both sides have vectors."""
-    return prof.select(
-        "request_id",
-        F.coalesce(F.col("hist.n"), F.lit(0)).cast("double").alias("hist_len"),
-        _variance("hist").alias("hist_embedding_variance"),
-        _variance("cand").alias("cand_embedding_dispersion"),
-        F.when(_both_sides(), _scatter("hist")).alias("hist_cov_trace"),
-        F.when(_both_sides(), _scatter("cand")).alias("cand_cov_trace"),
-    )
+    return {
+        "hist_len": F.coalesce(F.col("hist.n"), F.lit(0)).cast("double"),
+        "hist_embedding_variance": _variance("hist"),
+        "cand_embedding_dispersion": _variance("cand"),
+        "hist_cov_trace": F.when(both_sides(), _scatter("hist")),
+        "cand_cov_trace": F.when(both_sides(), _scatter("cand")),
+    }
+
+
+def drift_columns() -> dict[str, Column]:
+    return {"hist_drift_cos": _cosine(F.col("early.centroid"), F.col("late.centroid"))}
+
+
+def centroid_columns() -> dict[str, Column]:
+    h, c = F.col("hist.centroid"), F.col("cand.centroid")
+    return {
+        "hist_cand_centroid_cos": _cosine(h, c),
+        "hist_cand_centroid_dist": V.distance(c, h),
+        "cand_centroid_norm": V.norm(c),
+    }
+
+
+def _named(columns: dict[str, Column]) -> list[Column]:
+    return [c.alias(k) for k, c in columns.items()]
+
+
+def spread(prof: DataFrame) -> DataFrame:
+    return prof.select("request_id", *_named(spread_columns()))
 
 
 def drift(prof: DataFrame) -> DataFrame:
-    return prof.filter(_both_sides()).select(
-        "request_id", _cosine(F.col("early.centroid"), F.col("late.centroid")).alias("hist_drift_cos")
-    )
+    return prof.filter(both_sides()).select("request_id", *_named(drift_columns()))
 
 
 def centroids(prof: DataFrame) -> DataFrame:
-    h, c = F.col("hist.centroid"), F.col("cand.centroid")
-    return prof.filter(_both_sides()).select(
-        "request_id",
-        _cosine(h, c).alias("hist_cand_centroid_cos"),
-        V.distance(c, h).alias("hist_cand_centroid_dist"),
-        V.norm(c).alias("cand_centroid_norm"),
-    )
+    return prof.filter(both_sides()).select("request_id", *_named(centroid_columns()))
 
 
 def adjacent(table: DataFrame) -> DataFrame:
@@ -143,7 +155,7 @@ def adjacent(table: DataFrame) -> DataFrame:
 # --- similarity of candidates to history or query ---------------------------------------------------
 
 
-def _picks(n: Column) -> dict[str, Column]:
+def picks(n: Column) -> dict[str, Column]:
     """0-based ascending places of the wanted order statistics among n values."""
     out = {"top1": n - 1, "top2": F.greatest(n - 2, F.lit(0)), "top10": F.greatest(n - 10, F.lit(0))}
     for name, p in PROBS.items():
@@ -164,7 +176,7 @@ def _order_statistics(rows: DataFrame) -> DataFrame:
     upto = Window.partitionBy("request_id", "b").orderBy("sim").rowsBetween(Window.unboundedPreceding, 0)
     placed = values.withColumn("upto", F.sum("c").over(upto)).join(buckets, ["request_id", "b"])
     end = F.col("skip") + F.col("upto")
-    hit = {k: (end - F.col("c") <= i) & (i < end) for k, i in _picks(F.col("n")).items()}
+    hit = {k: (end - F.col("c") <= i) & (i < end) for k, i in picks(F.col("n")).items()}
     return placed.groupBy("request_id").agg(*[F.max(F.when(h, F.col("sim"))).alias(k) for k, h in hit.items()])
 
 
@@ -187,7 +199,11 @@ def similarity_statistics(sims: DataFrame, prefix: str, extra: list[Column] = ()
         *extra,
     )
     picked = stats.join(_order_statistics(sims.select("request_id", "n", "sim")), "request_id")
-    keep = [c for c in stats.columns if c != "n"]
+    return from_places(picked, [c for c in stats.columns if c != "n"], prefix)
+
+
+def from_places(picked: DataFrame, keep: list[str], prefix: str) -> DataFrame:
+    """The columns kept, with quantiles and leading values from the order statistics beside them."""
     return picked.select(
         *[F.col(f"`{c}`") for c in keep],
         *[_lerp("", p).alias(f"{prefix}_sim_{p}") for p in PROBS],
@@ -203,7 +219,7 @@ def candidate_history(table: DataFrame, prof: DataFrame) -> DataFrame:
 
     The mean cosine to all history vectors is one dot product with the mean of their unit vectors.
     """
-    sides = prof.filter(_both_sides()).select(
+    sides = prof.filter(both_sides()).select(
         "request_id", F.col("hist.unit_mean").alias("hu"), F.col("recent.unit_mean").alias("ru"),
         F.col("hist.centroid").alias("hc"),
     )
@@ -290,14 +306,21 @@ def pairwise(table: DataFrame) -> DataFrame:
             ((V.norm2(F.col("anchor")) - F.col("ones")) / 2).alias("total"), ((V.norm2(F.col("gram")) - F.col("fourths")) / 2).alias("squares"),
         )
         merged = merged.unionByName(linear.join(_least_cosines(many, sums.select("request_id", "anchor")), "request_id"))
-    merged = merged.filter(F.col("cnt") > 0)
+    return _pair_statistics(merged)
+
+
+def _pair_statistics(merged: DataFrame) -> DataFrame:
+    return merged.filter(F.col("cnt") > 0).select("request_id", *_named(pair_columns()))
+
+
+def pair_columns() -> dict[str, Column]:
+    """From the number of pairs, the sum and the squares of their cosines, and the least one."""
     mean = F.col("total") / F.col("cnt")
-    return merged.select(
-        "request_id",
-        mean.alias("cand_pairwise_cos_mean"),
-        F.sqrt(F.greatest(F.col("squares") / F.col("cnt") - mean * mean, F.lit(0.0))).alias("cand_pairwise_cos_std"),
-        F.col("low").alias("cand_pairwise_cos_min"),
-    )
+    return {
+        "cand_pairwise_cos_mean": mean,
+        "cand_pairwise_cos_std": F.sqrt(F.greatest(F.col("squares") / F.col("cnt") - mean * mean, F.lit(0.0))),
+        "cand_pairwise_cos_min": F.col("low"),
+    }
 
 
 def singular_sum(table: DataFrame, prof: DataFrame, section: str, part: str, name: str) -> DataFrame:
@@ -388,7 +411,11 @@ def clusters(table: DataFrame) -> DataFrame:
     sums = pairs.select(
         "request_id", M.label_distances("l_m", "l_labels", "r_m", "r_labels", "same").alias("d")
     ).groupBy("request_id").agg(*[F.sum(F.get("d", F.lit(j))).alias(f"d{j}") for j in range(M.CLUSTERS)])
-    joined = sizes.join(sums, "request_id")
+    return cluster_statistics(sizes.join(sums, "request_id"))
+
+
+def cluster_statistics(joined: DataFrame, keep: list[str] = ("request_id",)) -> DataFrame:
+    """From rows n0.. and sums of distances d0.. of the clusters of a request, beside the columns kept."""
     count = reduce(Column.__add__, [F.col(f"n{j}") for j in range(M.CLUSTERS)])
     shares = [F.try_divide(f"n{j}", count) for j in range(M.CLUSTERS)]
     entropy = reduce(Column.__add__, [F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0)) for p in shares])
@@ -398,9 +425,10 @@ def clusters(table: DataFrame) -> DataFrame:
     centre = F.try_divide(F.aggregate("means", F.lit(0.0), lambda s, x: s + x), F.size("means"))
     squares = F.aggregate("means", F.lit(0.0), lambda s, x: s + (x - F.col("mu")) * (x - F.col("mu")))
     spread_of = F.sqrt(F.try_divide(squares, F.size("means")))
-    return joined.select("request_id", entropy.alias("cand_cluster_size_entropy_k3"), means.alias("means")).withColumn(
+    kept = [F.col(f"`{c}`") for c in keep]
+    return joined.select(*kept, entropy.alias("cand_cluster_size_entropy_k3"), means.alias("means")).withColumn(
         "mu", centre
-    ).select("request_id", "cand_cluster_size_entropy_k3", F.when(F.size("means") > 0, spread_of).alias("ambiguous_cluster_score"))
+    ).select(*kept, "cand_cluster_size_entropy_k3", F.when(F.size("means") > 0, spread_of).alias("ambiguous_cluster_score"))
 
 
 # --- wide tables ------------------------------------------------------------------------------------
@@ -425,23 +453,39 @@ def _only(features: DataFrame, allowed: DataFrame) -> DataFrame:
     return features.join(allowed, "request_id", "left_semi")
 
 
-def rec_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
-    """The 36 recommendation features."""
+_MEASURE = {"adj": "adjacent", "pairwise": "pairs", "singular": "singular", "cluster": "clusters"}
+_NEAR = ("history_candidate", "top", "cand_sim_>", "c2h", "cand_density")
+
+
+def measure_of(name: str) -> str:
+    """The measure that a recommendation feature is worked out from."""
+    return next((m for mark, m in _MEASURE.items() if mark in name), "near" if name.startswith(_NEAR) else "parts")
+
+
+def entry_features(entries: DataFrame, names: list[str]) -> DataFrame:
+    """request_id and the named recommendation features, by way of blocks; NULL where there is none."""
+    wanted = {measure_of(n) for n in names}
     table = materialise(blocks(usable(entries)), "vector-blocks", "section")
     prof = materialise(profile(table), "vector-profile")
-    sided = prof.filter(_both_sides()).select("request_id")
-    parts = [
-        spread(prof), drift(prof), centroids(prof), candidate_history(table, prof),
-    ] + [
-        _only(t, sided)
-        for t in (
-            adjacent(table), pairwise(table),
-            singular_sum(table, prof, "history", "hist", "hist_pca_singular_top3_sum"),
-            singular_sum(table, prof, "candidate", "cand", "cand_pca_singular_top3_sum"),
-            clusters(table),
-        )
-    ]
-    return fill_zero(requests, side_by_side(parts), REC_FEATURES)
+    sided = prof.filter(both_sides()).select("request_id")
+    made = {
+        "parts": lambda: [spread(prof), drift(prof), centroids(prof)],
+        "near": lambda: [candidate_history(table, prof)],
+        "adjacent": lambda: [_only(adjacent(table), sided)],
+        "pairs": lambda: [_only(pairwise(table), sided)],
+        "singular": lambda: [
+            _only(singular_sum(table, prof, "history", "hist", "hist_pca_singular_top3_sum"), sided),
+            _only(singular_sum(table, prof, "candidate", "cand", "cand_pca_singular_top3_sum"), sided),
+        ],
+        "clusters": lambda: [_only(clusters(table), sided)],
+    }
+    wide = side_by_side([part for m, parts in made.items() if m in wanted for part in parts()])
+    return wide.select("request_id", *[F.col(f"`{n}`") for n in names])
+
+
+def rec_features(requests: DataFrame, entries: DataFrame) -> DataFrame:
+    """The 36 recommendation features."""
+    return fill_zero(requests, entry_features(entries, REC_FEATURES), REC_FEATURES)
 
 
 def ir_sides(prof: DataFrame) -> DataFrame:

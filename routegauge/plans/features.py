@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from routegauge import fixed_values as fv
 from routegauge.operators import vector_features as E
+from routegauge.operators import whole_requests as W
 from routegauge.plans.registry import plan, rounded
 from routegauge.session import materialise, scratch_path
 from routegauge.sources import derived as D
 from routegauge.sources import readers, sinks
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """The blocks, written once because profile, joins and matrix products all read them."""
-    return materialise(E.blocks(rows), "vector-blocks", "section")
-
-
-def _rec(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    req = D.requests(spark, sf_dir)
-    table = _blocks(E.usable(D.rec_vectors(spark, sf_dir, req)))
-    return req, table, E.profile(table)
+def _rec(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """The named features of every request. The requests are stored once, as lists of ids."""
+    req = materialise(D.requests(spark, sf_dir).select("request_id", "history", "candidates"), "requests")
+    found = W.features(D.rec_vector_lists(spark, sf_dir, req), D.embeddings(spark, sf_dir), names)
+    return E.fill_zero(req, found, names)
 
 
 def _ir(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    table = _blocks(E.usable(D.ir_vectors(spark, sf_dir)))
+    # the blocks are written once because profile, joins and matrix products all read them
+    table = materialise(E.blocks(E.usable(D.ir_vectors(spark, sf_dir))), "vector-blocks", "section")
     req = D.embeddings(spark, sf_dir).select(F.col("vec_id").alias("request_id"))
     return req, table, E.profile(table)
 
@@ -34,82 +32,61 @@ def _filled(req: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
     return rounded(E.fill_zero(req, features, names))
 
 
-def _sided(prof: DataFrame, features: DataFrame) -> DataFrame:
-    both = prof.filter(F.col("hist").isNotNull() & F.col("cand").isNotNull())
-    return features.join(both.select("request_id"), "request_id", "left_semi")
-
-
 def _named(part: str) -> list[str]:
     return [c for c in E.REC_FEATURES if part in c]
 
 
 @plan
 def vec_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, _, prof = _rec(spark, sf_dir)
     names = ["hist_len", "hist_embedding_variance", "cand_embedding_dispersion", "hist_cov_trace", "cand_cov_trace"]
-    return _filled(req, E.spread(prof), names)
+    return rounded(_rec(spark, sf_dir, names))
 
 
 @plan
 def vec_svd3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, table, prof = _rec(spark, sf_dir)
-    history = _sided(prof, E.singular_sum(table, prof, "history", "hist", "hist_pca_singular_top3_sum"))
-    cands = _sided(prof, E.singular_sum(table, prof, "candidate", "cand", "cand_pca_singular_top3_sum"))
-    return _filled(req, history.join(cands, "request_id", "left"), _named("singular"))
+    return rounded(_rec(spark, sf_dir, _named("singular")))
 
 
 @plan
 def hist_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, table, prof = _rec(spark, sf_dir)
-    return _filled(req, _sided(prof, E.adjacent(table)), _named("hist_adj"))
+    return rounded(_rec(spark, sf_dir, _named("hist_adj")))
 
 
 @plan
 def hist_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, _, prof = _rec(spark, sf_dir)
-    return _filled(req, E.drift(prof), ["hist_drift_cos"])
+    return rounded(_rec(spark, sf_dir, ["hist_drift_cos"]))
 
 
 @plan
 def cand_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, table, prof = _rec(spark, sf_dir)
-    return _filled(req, _sided(prof, E.pairwise(table)), _named("cand_pairwise"))
+    return rounded(_rec(spark, sf_dir, _named("cand_pairwise")))
 
 
 @plan
 def hist_cand_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, table, prof = _rec(spark, sf_dir)
-    names = [c for c in _named("history_candidate_sim") if "gap" not in c]
-    return _filled(req, E.candidate_history(table, prof), names)
+    return rounded(_rec(spark, sf_dir, [c for c in _named("history_candidate_sim") if "gap" not in c]))
 
 
 @plan
 def sim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, table, prof = _rec(spark, sf_dir)
     names = ["top1_sim", "top10_sim", "top_k_sim_gap", "history_candidate_sim_top1_top2_gap"] + _named("cand_sim_>")
-    return _filled(req, E.candidate_history(table, prof), names)
+    return rounded(_rec(spark, sf_dir, names))
 
 
 @plan
 def recent_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, table, prof = _rec(spark, sf_dir)
-    return _filled(req, E.candidate_history(table, prof), ["c2h_recentK_mean", "c2h_recentK_max"])
+    return rounded(_rec(spark, sf_dir, ["c2h_recentK_mean", "c2h_recentK_max"]))
 
 
 @plan
 def centroid_feats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req, table, prof = _rec(spark, sf_dir)
-    near = E.candidate_history(table, prof).select("request_id", "cand_density_wrt_hist")
     names = ["hist_cand_centroid_cos", "hist_cand_centroid_dist", "cand_centroid_norm", "cand_density_wrt_hist"]
-    return _filled(req, E.centroids(prof).join(near, "request_id", "left"), names)
+    return rounded(_rec(spark, sf_dir, names))
 
 
 @plan
 def cand_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req = D.requests(spark, sf_dir)
-    table = _blocks(E.usable(D.rec_vectors(spark, sf_dir, req)))
-    names = ["cand_cluster_size_entropy_k3", "ambiguous_cluster_score"]
-    return _filled(req, _sided(E.profile(table), E.clusters(table)), names)
+    return rounded(_rec(spark, sf_dir, ["cand_cluster_size_entropy_k3", "ambiguous_cluster_score"]))
 
 
 @plan
@@ -125,8 +102,7 @@ def query_cand_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req = D.requests(spark, sf_dir)
-    return E.rec_features(req, D.rec_vectors(spark, sf_dir, req))
+    return _rec(spark, sf_dir, E.REC_FEATURES)
 
 
 @plan
