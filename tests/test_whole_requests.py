@@ -53,3 +53,19 @@ def test_repeated_ids_are_left_to_the_join(spark):
     assert lookups.shared(vec) is not None
     assert lookups.shared(vec.unionByName(vec)) is None
     assert lookups.shared(vec.withColumn("vec", F.slice("vec", 1, 2 + F.col("vec_id").cast("int") % 2))) is None
+
+
+def test_distances_inside_clusters_at_once_equal_those_row_by_row(monkeypatch):
+    import pyarrow as pa
+    from routegauge.functions import matrices as M
+
+    rng = np.random.default_rng(5)
+    sides = [[rng.normal(size=(n, DIM)) for n in (7, 20, 3)] for _ in range(2)]
+    labels = [[rng.integers(0, 3, len(x)).tolist() for x in side] for side in sides]
+    column = lambda side: pa.array([list(x) for x in side], pa.list_(pa.list_(pa.float64())))
+    got = []
+    for small in (0, 1 << 10):
+        monkeypatch.setattr(M, "SMALL", small)
+        found = M.label_distances.func(column(sides[0]), pa.array(labels[0]), column(sides[1]), pa.array(labels[1]), pa.array([True, False, True]))
+        got.append(np.array(found.to_pylist()))
+    assert np.allclose(*got) and (got[0] > 0).any()
