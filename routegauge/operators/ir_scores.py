@@ -14,7 +14,8 @@ KEYS = ("request_id", "mode")
 def parse_answers(runs: DataFrame) -> DataFrame:
     """request_id, mode, run, pos, passage."""
     ids = runs.select(*KEYS, "run", ir_ids(F.col("text")).alias("ids"))
-    return ids.select(*KEYS, "run", F.posexplode("ids").alias("pos", "passage"))
+    # of the plain form Spark infers a filter on the ids, which would parse every answer again
+    return ids.select(*KEYS, "run", F.posexplode_outer("ids").alias("pos", "passage")).filter(F.col("pos").isNotNull())
 
 
 def with_lists(runs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -57,10 +57,11 @@ def request_number(request_id: Column) -> Column:
 
 def explode_outputs(generated: DataFrame, keep: list[str] = (), keep_empty: bool = False) -> DataFrame:
     """One row per run, numbered from 1. With ``keep_empty`` a record without outputs has one row, whose run is NULL."""
-    each = F.posexplode_outer if keep_empty else F.posexplode
-    return generated.select(
-        request_number(F.col("request_id")).alias("request_id"), *keep, "prompt", each("outputs").alias("p", "o")
-    ).select("request_id", *keep, "prompt", (F.col("p") + 1).alias("run"), "o.text", "o.num_tokens")
+    # the outer form also where empty records go: of the plain one Spark infers a filter that parses every record again
+    rows = generated.select(
+        request_number(F.col("request_id")).alias("request_id"), *keep, "prompt", F.posexplode_outer("outputs").alias("p", "o")
+    )
+    return (rows if keep_empty else rows.filter(F.col("p").isNotNull())).select("request_id", *keep, "prompt", (F.col("p") + 1).alias("run"), "o.text", "o.num_tokens")
 
 
 def read_chats(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -5,7 +5,9 @@ import io
 
 import pytest
 
+from routegauge.operators import rec_scores
 from routegauge.sources import derived as D
+from routegauge.sources import readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +31,25 @@ def test_purchases_are_sent_once_behind_the_join(spark, shuffled_joins):
     # line items, orders, and the joined rows to their customer
     assert plan.count("Exchange hashpartitioning") == 3
     assert plan.count("Exchange hashpartitioning(request_id") == 1
+
+
+def test_answers_are_ranked_and_parsed_once(spark):
+    # md5 of the ranking, of the hash of a run, and of the order of the candidates
+    runs = D.rec_runs(D.requests(spark, SF))
+    assert plan_of(rec_scores.parse_answers(runs)).count("md5(") == plan_of(runs).count("md5(")
+
+
+def test_records_are_parsed_once(spark):
+    lines = spark.createDataFrame([('{"request_id": "req_3", "prompt": "", "outputs": [{"text": "a", "num_tokens": 2}]}',),
+                                   ('{"request_id": "req_4", "prompt": "", "outputs": []}',)], "value string")
+    runs = readers.explode_outputs(readers.parse_outputs(lines))
+    assert plan_of(runs).count("from_json(") == 1
+    assert [tuple(r) for r in runs.collect()] == [(3, "", 1, "a", 2)]
+
+
+def test_runs_with_their_truth_need_no_join(spark):
+    requests = D.requests(spark, SF).cache()
+    carried = rec_scores.score_runs(D.rec_runs(requests, "truth"), requests)
+    joined = rec_scores.score_runs(D.rec_runs(requests), requests)
+    assert "Join" not in plan_of(carried).split("InMemoryRelation")[0]
+    assert sorted(map(tuple, carried.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
