@@ -4,10 +4,11 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from routegauge.operators import rec_scores
 from routegauge.sources import derived as D
-from routegauge.sources import readers
+from routegauge.sources import ranges, readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +54,13 @@ def test_runs_with_their_truth_need_no_join(spark):
     joined = rec_scores.score_runs(D.rec_runs(requests), requests)
     assert "Join" not in plan_of(carried).split("InMemoryRelation")[0]
     assert sorted(map(tuple, carried.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
+
+
+def test_many_small_ranges_share_tasks(spark):
+    most = ranges.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    rows = spark.range(5000).withColumn("size", F.lit(1 << 16))
+    assert ranges.spread(rows, F.col("size")).rdd.getNumPartitions() == most
+    large = spark.range(most * 2).withColumn("size", F.lit(ranges.TASK_BYTES))
+    assert ranges.spread(large, F.col("size")).rdd.getNumPartitions() == most * 2
+    assert ranges.spread(rows.limit(3)).rdd.getNumPartitions() == 3
+    assert ranges.spread(rows.limit(0)).rdd.getNumPartitions() == 1
