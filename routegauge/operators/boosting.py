@@ -38,6 +38,7 @@ _FINEST = 36  # bits behind the point of fixed-point sums, at most
 _LEAST_CURVATURE = 1e-3
 _SUMS = "model int, slot int, feature int, bin int, g long, h long, n long"
 _BLOCKS = "block long, n int, bins binary, y binary, w binary, parts binary, score binary"
+_PICKS = "model int, slot int, feature int, border int, gain double, lg double, lh double, ln double, rg double, rh double, rn double"
 _LEADING = "model int, part int, score double, block long, row int, y double, w double, bins binary"
 
 
@@ -387,6 +388,42 @@ def best_split(sums: np.ndarray, settings: Settings, direction: np.ndarray, low:
     return Split(int(f), int(at), float(gain[f, at]), tuple(left[f, at].tolist()), tuple(right[f, at].tolist()))
 
 
+def _add_up(cells: dict[tuple[int, int], np.ndarray], columns: list[np.ndarray], features: int, bins: int) -> None:
+    """Add rows (model, slot, feature, bin, g, h, n) to the sums (feature, bin, 3) of their node; slot -1 holds the further sums."""
+    model, slot, f, b, *values = columns
+    pairs, which = np.unique(np.stack([model, slot]), axis=1, return_inverse=True)
+    values, which = np.stack(values, axis=1), which.ravel()
+    order = np.argsort(which, kind="stable")
+    for (m, s), rows in zip(pairs.T.tolist(), np.split(order, np.cumsum(np.bincount(which))[:-1]), strict=True):
+        if s < 0:
+            cells[m, s] = cells.get((m, s), 0) + values[rows].sum(axis=0)
+        else:
+            held = cells.setdefault((m, s), np.zeros((features, bins, 3), np.int64))
+            np.add.at(held, (f[rows], b[rows]), values[rows])
+
+
+def _picker(bounds: dict[tuple[int, int], tuple[float, float]], scale: dict[int, float], shape: tuple[int, int], one: float,
+            direction: np.ndarray, settings: Settings):
+    """Adds up the sums of whole nodes and picks their splits: one row per (model, slot), slot -1 with the further sums."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                _add_up(cells, [c.to_numpy() for c in batch.columns], *shape)
+        out = []
+        for (m, s), held in cells.items():
+            if s < 0:
+                out.append((m, s, -1, -1, 0.0, *(held / one).tolist(), 0.0, 0.0, 0.0))
+            elif (found := best_split(held / [one, one, 1.0] * [scale[m], scale[m], 1.0], settings, direction, *bounds[m, s])) is not None:
+                out.append((m, s, found.feature, found.border, found.gain, *found.left, *found.right))
+        if out:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] * 4 + [pa.float64()] * 7, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PICKS.split(", ")])
+
+    return apply
+
+
 class Booster:
     """Fits one model for every part of a table, all in the same scans."""
 
@@ -440,15 +477,28 @@ class Booster:
         if not self.few:
             keys = ["model", "slot", "feature", "bin"]
             found = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-        table = found.toArrow()
-        model, slot, f, b, g, h, n = (table.column(c).to_numpy() for c in table.column_names)
-        out = {(m.number, s): np.zeros((len(self.features), self.bins, 3), np.int64) for m in shared for s in range(int(m.slots.max()) + 1)}
-        more = {m.number: np.zeros(3, np.int64) for m in shared}
-        for i in range(len(model)):
-            cell = more[model[i]] if slot[i] < 0 else out[model[i], slot[i]][f[i], b[i]]
-            cell += (g[i], h[i], n[i])
+        cells = {(m.number, s): np.zeros((len(self.features), self.bins, 3), np.int64) for m in shared for s in range(int(m.slots.max()) + 1)}
+        cells |= {(m.number, -1): np.zeros(3, np.int64) for m in shared}
+        _add_up(cells, [c.to_numpy() for c in found.toArrow().columns], len(self.features), self.bins)
         unit = np.array([self.one, self.one, 1.0])
-        return {k: v / unit for k, v in out.items()}, {k: v / self.one for k, v in more.items()}
+        return {k: v / unit for k, v in cells.items() if k[1] >= 0}, {m.number: cells[m.number, -1] / self.one for m in shared}
+
+    def picks(self, shared: list[_Shared], bounds: dict[tuple[int, int], tuple[float, float]], scale: dict[int, float]):
+        """The best split of every open (model, node slot), and the further sums of every model.
+
+        The sums of a node meet in one task, which picks its split: the driver gets one row per node, whatever the number of tasks.
+        """
+        found = self.blocks.mapInArrow(_histograms(shared, len(self.features), self.bins, len(self.fits), self.settings, self.one), _SUMS)
+        if self.parts > 1:
+            found = found.repartition(min(len(bounds), self.spark.sparkContext.defaultParallelism), "model", "slot")
+        picker = _picker(bounds, scale, (len(self.features), self.bins), self.one, self.direction, self.settings)
+        rows = found.mapInArrow(picker, _PICKS).toArrow().to_pylist()
+        splits = {
+            (r["model"], r["slot"]): Split(r["feature"], r["border"], r["gain"], (r["lg"], r["lh"], r["ln"]), (r["rg"], r["rh"], r["rn"]))
+            for r in rows if r["slot"] >= 0
+        }
+        more = {m.number: np.zeros(3) for m in shared} | {r["model"]: np.array([r["lg"], r["lh"], r["ln"]]) for r in rows if r["slot"] < 0}
+        return splits, more
 
     def _find_leaders(self, fits: list[_Fit]) -> None:
         """The leaders of the training rows, and the metric of the validation rows."""
@@ -487,26 +537,30 @@ class Booster:
                 slots = np.full(len(trees[f.number].feature), -1)
                 slots[list(open_nodes[f.number])] = np.arange(len(open_nodes[f.number]))
                 shared.append(self._shared(f, trees[f.number], slots))
-            sums, more = self.sums(shared)
-            for f in growing:
-                if level == 0:
+            bounds = {(f.number, s): b for f in growing for s, b in enumerate(open_nodes[f.number].values())}
+            if level == 0 and self.settings.objective == "ndcg":  # roots are scaled by a sum over all rows
+                sums, more = self.sums(shared)
+                for f in growing:
                     total = more[f.number]
-                    if self.settings.objective == "ndcg":
-                        scale[f.number] = np.log2(1 + total[0]) / total[0] if total[0] > 0 else 1.0
-                    elif total[1] > 0:
-                        self._judge(f, -total[0] / total[1])
-                        if f.done:
-                            continue
-                self._split(f, trees[f.number], open_nodes, sums, scale[f.number], level)
+                    scale[f.number] = np.log2(1 + total[0]) / total[0] if total[0] > 0 else 1.0
+                one = {k: v * [scale[k[0]], scale[k[0]], 1.0] for k, v in sums.items()}
+                splits = {k: best_split(v, self.settings, self.direction, *bounds[k]) for k, v in one.items()}
+            else:
+                splits, more = self.picks(shared, bounds, scale)
+            for f in growing:
+                if level == 0 and self.settings.objective != "ndcg" and more[f.number][1] > 0:
+                    self._judge(f, -more[f.number][0] / more[f.number][1])
+                    if f.done:
+                        continue
+                self._split(f, trees[f.number], open_nodes, splits, level)
         for f in fits:
             if not f.done:
                 f.trees.append(trees[f.number])
 
-    def _split(self, fit: _Fit, tree: Tree, open_nodes: dict, sums: dict, scale: float, level: int) -> None:
+    def _split(self, fit: _Fit, tree: Tree, open_nodes: dict, splits: dict, level: int) -> None:
         children = {}
         for slot, (node, (low, high)) in enumerate(open_nodes[fit.number].items()):
-            cells = sums[fit.number, slot] * np.array([scale, scale, 1.0])
-            found = best_split(cells, self.settings, self.direction, low, high)
+            found = splits.get((fit.number, slot))
             if found is None:
                 if level == 0:
                     fit.done = True
@@ -534,6 +588,7 @@ class Booster:
             f.stored = len(f.trees)
 
     def fit(self) -> list[Model]:
+        self.parts = self.blocks.rdd.getNumPartitions()
         self.few = self._few()
         for done in range(self.settings.rounds + 1):
             active = [f for f in self.fits if not f.done]
