@@ -1,11 +1,16 @@
 """Steps that many queries share: how often they send or work out their rows."""
 
 import contextlib
+import hashlib
 import io
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from routegauge.functions.digests import MOST, first_words, units
+from routegauge.functions.hashing import unit
 from routegauge.operators import rec_scores
 from routegauge.sources import derived as D
 from routegauge.sources import ranges, readers
@@ -64,3 +69,25 @@ def test_many_small_ranges_share_tasks(spark):
     assert ranges.spread(large, F.col("size")).rdd.getNumPartitions() == most * 2
     assert ranges.spread(rows.limit(3)).rdd.getNumPartitions() == 3
     assert ranges.spread(rows.limit(0)).rdd.getNumPartitions() == 1
+
+
+def test_digests_of_lists_equal_the_hash_of_each_id(spark):
+    """A batch of lists is digested at once; odd ids, empty lists and more texts than a piece holds are among them."""
+    rows = [(i, "cot" if i % 3 else "direct", i % 7, [i * 31 + j for j in range(i % 23)] + ([None, -5, 2**63 - 1] if i % 50 == 0 else []))
+            for i in range(600)] + [(None, "direct", 1, [1]), (-(2**63), "direct", 6, [-(2**63)])]
+    lists = spark.createDataFrame(rows, "request_id long, mode string, run int, ids array<long>")
+    each = F.transform("ids", lambda i: unit("request_id", "mode", "run", i))
+    found = lists.select(units("request_id", "mode", "run", "ids").alias("found"), each.alias("want")).collect()
+    assert [r["found"] for r in found] == [r["want"] for r in found]
+
+
+def test_digests_equal_md5_at_every_length():
+    texts = ["".join(random.Random(n).choices("0123456789:abc", k=n)) for n in range(MOST + 1)]
+    assert first_words(pa.array(texts)).tolist() == [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in texts]
+
+
+def test_answers_are_ranked_by_batches(spark):
+    """Ranking takes no md5 per run and candidate in Spark's rows: one is left for the hash of the run."""
+    req = D.requests(spark, SF).cache()
+    plan = plan_of(D.rec_runs(req)).split("InMemoryRelation")[0]
+    assert plan.count("md5(") == 1 and "ArrowEvalPython" in plan
