@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from routegauge.functions.digests import MOST, first_words, units
 from routegauge.functions.hashing import unit
+from routegauge.operators import checklist as C
 from routegauge.operators import rec_scores
+from routegauge.plans import models, scoring
 from routegauge.sources import derived as D
 from routegauge.sources import ranges, readers
 
@@ -91,3 +93,20 @@ def test_answers_are_ranked_by_batches(spark):
     req = D.requests(spark, SF).cache()
     plan = plan_of(D.rec_runs(req)).split("InMemoryRelation")[0]
     assert plan.count("md5(") == 1 and "ArrowEvalPython" in plan
+
+
+def test_margins_are_taken_once_per_vector(spark):
+    req = D.requests(spark, SF).cache()
+    found, names = models._probed(spark, SF, req)
+    assert "ArrowEvalPython" not in plan_of(found)
+    each, known = C.margins(D.probe_vectors(spark, SF, req), D.verbalizer_weights(spark, SF, C.verbalizer_sets(D.verbalizer_tokens(spark, SF))))
+    assert names == known
+    columns = ["request_id", "q", "side", "margins"]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(map(tuple, each.select(columns).collect()))
+
+
+def test_requests_are_dealt_out_before_they_are_answered(spark):
+    """A stored file of few requests keeps all cores busy."""
+    one = D.requests(spark, SF).coalesce(1).cache()
+    plan = plan_of(scoring.rec_wide(spark, SF, req=one)).split("InMemoryRelation")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 1
