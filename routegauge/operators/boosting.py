@@ -6,6 +6,9 @@ that table, picks the splits. Several models, such as the folds of a cross-valid
 are carried along in the blocks and brought up to date every few rounds; the trees since then are applied within the scan.
 Nothing is fitted twice: a fit goes on from round to round until its validation rows have not gained for ``patience`` rounds.
 
+A job per level is dear where the rows are few: up to ``HELD_BYTES`` a model's rows are held by one task, which takes the same
+rounds over them, and every model has a task of its own (``held_rows``). Larger tables go by scans.
+
 Sums are kept in fixed point, so they do not depend on the order of the tasks and a fit can be repeated exactly.
 
 Two objectives are known. ``squared`` fits a label. ``ndcg`` ranks all training rows of a model as one list: the gradient of
@@ -32,9 +35,11 @@ TRAIN, VALID = 1, 2
 STORE_EVERY = 20  # rounds between two updates of the stored scores
 DIRECT_PARTS = 64  # up to so many partitions the driver adds their sums itself
 PART_ROWS = 20_000
+HELD_BYTES = 320 << 20  # what a task may hold for the fit of one model; more rows are fitted by scans
 LEADERS = 30  # places of the list that pairs are formed with
 VALID_PLACES = 10
 _FINEST = 36  # bits behind the point of fixed-point sums, at most
+HELD_ROW = 56  # bytes that a task holds of a row besides its bins
 _LEAST_CURVATURE = 1e-3
 _SUMS = "model int, slot int, feature int, bin int, g long, h long, n long"
 _BLOCKS = "block long, n int, bins binary, y binary, w binary, parts binary, score binary"
@@ -227,22 +232,44 @@ def _gradients(model: _Shared, block: _Block, rows: np.ndarray, score: np.ndarra
     y, w = block.y[rows], block.w[rows]
     if objective == "squared":
         return w * (score - y), w, None
-    place = np.full(len(rows), len(model.leaders))
-    index = {int(r): i for i, r in enumerate(rows)}
+    own = {}  # rows that lead the list, with their place
     for i, leader in enumerate(model.leaders):
-        if leader["block"] == block.number and leader["row"] in index:
-            place[index[leader["row"]]] = i
+        at = int(np.searchsorted(rows, leader["row"])) if leader["block"] == block.number else len(rows)
+        if at < len(rows) and rows[at] == leader["row"]:
+            own[at] = i
     lead_score, lead_y, lead_w = (np.array([x[c] for x in model.leaders], float) for c in ("score", "y", "w"))
-    discount = np.r_[1 / np.log2(np.arange(len(model.leaders)) + 2.0), 0.0]
-    counts = (np.arange(len(model.leaders))[None] < place[:, None]) & (lead_y[None] != y[:, None])
-    above = y[:, None] > lead_y[None]  # the row should stand above the leader
-    apart = np.where(above, score[:, None] - lead_score[None], lead_score[None] - score[:, None])
-    change = np.abs(y[:, None] - lead_y[None]) * np.abs(discount[place][:, None] - discount[None, :-1]) / max(model.top_gain, 1e-300)
-    change = np.where(counts, change / (0.01 + np.abs(apart)), 0.0)
-    p = 1 / (1 + np.exp(np.clip(apart, -50, 50)))
-    push, curve = p * change, p * (1 - p) * change
-    g = np.where(above, -push, push)
-    return w * g.sum(axis=1), w * curve.sum(axis=1), (lead_w * -g.sum(axis=0), lead_w * curve.sum(axis=0), 2 * push.sum())
+    discount = 1 / np.log2(np.arange(len(model.leaders)) + 2.0) / max(model.top_gain, 1e-300)
+    g, h, lead_g, lead_h, total = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(lead_y)), np.zeros(len(lead_y)), 0.0
+
+    def pushed(y, score, other_y, other_score):
+        """How far up a row is pushed by its pair with another one of discount 1, against which it has none, and the curvature."""
+        away, apart = y - other_y, score - other_score
+        side = np.sign(away)
+        p = 1 / (1 + np.exp(np.clip(side * apart, -50, 50)))
+        push = p * (np.abs(away) / (0.01 + np.abs(apart)))
+        return side * push, push * (1 - p), push
+
+    behind = np.delete(np.arange(len(rows)), list(own)) if own else slice(None)
+    far_y, far_score = y[behind], score[behind]
+    kinds, kind = np.unique(np.stack([lead_score, lead_y], axis=1), axis=0, return_inverse=True)
+    up, bend, both = np.zeros(len(far_y)), np.zeros(len(far_y)), np.zeros((len(kinds), 2))
+    for k, share in enumerate(np.bincount(kind.ravel(), discount, len(kinds))):  # leaders of equal score and label push alike
+        push, curve, change = pushed(far_y, far_score, kinds[k, 1], kinds[k, 0])
+        both[k] = push.sum(), curve.sum()
+        total += share * change.sum()
+        up += share * push
+        bend += share * curve
+    g[behind], h[behind] = -up, bend
+    lead_g += discount * both[kind.ravel(), 0]
+    lead_h += discount * both[kind.ravel(), 1]
+    for at, place in own.items():
+        push, curve, change = pushed(y[at], score[at], lead_y[:place], lead_score[:place])
+        less = discount[:place] - discount[place]
+        g[at], h[at] = -(less * push).sum(), (less * curve).sum()
+        lead_g[:place] += less * push
+        lead_h[:place] += less * curve
+        total += (less * change).sum()
+    return w * g, w * h, (lead_w * lead_g, lead_w * lead_h, 2 * total)
 
 
 def unit_of(rows: int) -> float:
@@ -424,89 +451,18 @@ def _picker(bounds: dict[tuple[int, int], tuple[float, float]], scale: dict[int,
     return apply
 
 
-class Booster:
-    """Fits one model for every part of a table, all in the same scans."""
-
-    def __init__(self, rows: DataFrame, features: list[str], label: str, weight: str | None, parts: list[Column], settings: Settings,
-                 cuts: list[np.ndarray] | None = None):
-        """``parts`` tells, per model, which rows train it (1), which decide when it stops (2), and which it does not see (0).
-
-        ``rows`` should be stored. Missing features and labels count as 0.
-        """
-        self.spark, self.features, self.settings = rows.sparkSession, features, settings
-        ship_package(self.spark)
-        self.cuts = cuts or quantile_cuts(rows, features, settings.bins)
-        self.bins = max(map(len, self.cuts)) + 1
-        self.direction = np.array([settings.direction.get(c, 0) for c in features])
-        self.fits = [_Fit(i) for i in range(len(parts))]
-        plain = rows.select(
-            *[_plain(c).alias(f"f{i}") for i, c in enumerate(features)], _plain(label).alias("y"),
-            (_plain(weight) if weight else F.lit(1.0)).alias("w"), F.array(*[p.cast("int") for p in parts]).alias("parts"),
-        )
-        self.rows = plain.count()
-        self.path = scratch_path(self.spark, "boost")
-        plain = plain.coalesce(self.rows // PART_ROWS + 1)  # fewer tasks for few rows; more rows keep their partitions
-        plain.mapInArrow(_pack(self.cuts, len(parts)), _BLOCKS).write.parquet(self.path)
-        self.blocks = self.spark.read.schema(_BLOCKS).parquet(self.path)
-        self._begin(plain)
+class Rounds:
+    """The rounds of a fit: trees grown level by level and when to stop. What lies below says how the rows are read.
 
-    def _begin(self, plain: DataFrame) -> None:
-        n = len(self.fits)
-        self.one = unit_of(self.rows)
-        if self.settings.objective == "squared":
-            inside = [F.when(F.col("parts")[i] == TRAIN, F.col("w")) for i in range(n)]
-            row = plain.agg(*[F.sum(c * F.col("y")).alias(f"y{i}") for i, c in enumerate(inside)], *[F.sum(c).alias(f"w{i}") for i, c in enumerate(inside)]).first()
-            for i, fit in enumerate(self.fits):
-                fit.start = row[f"y{i}"] / row[f"w{i}"] if row[f"w{i}"] else 0.0
-            return
-        for i, fit in enumerate(self.fits):
-            for part, most in ((TRAIN, LEADERS), (VALID, VALID_PLACES)):
-                best = plain.filter(F.col("parts")[i] == part).orderBy(F.desc("y")).limit(most).select("y").collect()
-                top = sum(r["y"] / np.log2(at + 2) for at, r in enumerate(best))
-                fit.top_gain, fit.valid_gain = (top, fit.valid_gain) if part == TRAIN else (fit.top_gain, top)
+    It has ``settings``, ``fits`` and ``direction``, and answers ``leading``, ``sums``, ``picks`` and ``store_scores``.
+    """
 
     def _shared(self, fit: _Fit, tree: Tree | None = None, slots: np.ndarray | None = None) -> _Shared:
         return _Shared(fit.number, fit.start, fit.trees[fit.stored :], tree, slots, fit.leaders, fit.top_gain)
 
-    def _few(self) -> bool:
-        return self.blocks.rdd.getNumPartitions() <= DIRECT_PARTS
-
-    def sums(self, shared: list[_Shared]) -> tuple[dict[tuple[int, int], np.ndarray], dict[int, np.ndarray]]:
-        """Sums (feature, bin, 3) of every open (model, node slot), and the further sums of every model."""
-        found = self.blocks.mapInArrow(_histograms(shared, len(self.features), self.bins, len(self.fits), self.settings, self.one), _SUMS)
-        if not self.few:
-            keys = ["model", "slot", "feature", "bin"]
-            found = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-        cells = {(m.number, s): np.zeros((len(self.features), self.bins, 3), np.int64) for m in shared for s in range(int(m.slots.max()) + 1)}
-        cells |= {(m.number, -1): np.zeros(3, np.int64) for m in shared}
-        _add_up(cells, [c.to_numpy() for c in found.toArrow().columns], len(self.features), self.bins)
-        unit = np.array([self.one, self.one, 1.0])
-        return {k: v / unit for k, v in cells.items() if k[1] >= 0}, {m.number: cells[m.number, -1] / self.one for m in shared}
-
-    def picks(self, shared: list[_Shared], bounds: dict[tuple[int, int], tuple[float, float]], scale: dict[int, float]):
-        """The best split of every open (model, node slot), and the further sums of every model.
-
-        The sums of a node meet in one task, which picks its split: the driver gets one row per node, whatever the number of tasks.
-        """
-        found = self.blocks.mapInArrow(_histograms(shared, len(self.features), self.bins, len(self.fits), self.settings, self.one), _SUMS)
-        if self.parts > 1:
-            found = found.repartition(min(len(bounds), self.spark.sparkContext.defaultParallelism), "model", "slot")
-        picker = _picker(bounds, scale, (len(self.features), self.bins), self.one, self.direction, self.settings)
-        rows = found.mapInArrow(picker, _PICKS).toArrow().to_pylist()
-        splits = {
-            (r["model"], r["slot"]): Split(r["feature"], r["border"], r["gain"], (r["lg"], r["lh"], r["ln"]), (r["rg"], r["rh"], r["rn"]))
-            for r in rows if r["slot"] >= 0
-        }
-        more = {m.number: np.zeros(3) for m in shared} | {r["model"]: np.array([r["lg"], r["lh"], r["ln"]]) for r in rows if r["slot"] < 0}
-        return splits, more
-
     def _find_leaders(self, fits: list[_Fit]) -> None:
         """The leaders of the training rows, and the metric of the validation rows."""
-        places = {TRAIN: LEADERS, VALID: VALID_PLACES}
-        found = self.blocks.mapInArrow(_leading([self._shared(f) for f in fits], len(self.features), len(self.fits), self.settings.rate, places), _LEADING)
-        if not self.few:
-            found = found.repartition(1).mapInArrow(_merge_leading(places), _LEADING)  # no more than 40 rows a task and model
-        rows = _first(found.toArrow().to_pylist(), places)
+        rows = self.leading(fits, {TRAIN: LEADERS, VALID: VALID_PLACES})
         for fit in fits:
             fit.leaders = [x for x in rows if x["model"] == fit.number and x["part"] == TRAIN]
             held = [x for x in rows if x["model"] == fit.number and x["part"] == VALID]
@@ -556,6 +512,7 @@ class Booster:
         for f in fits:
             if not f.done:
                 f.trees.append(trees[f.number])
+                self.grown(f)
 
     def _split(self, fit: _Fit, tree: Tree, open_nodes: dict, splits: dict, level: int) -> None:
         children = {}
@@ -577,7 +534,104 @@ class Booster:
                     children[child] = bound
         open_nodes[fit.number] = children
 
-    def _store_scores(self) -> None:
+    def grown(self, fit: _Fit) -> None:
+        """What is to be done once a tree of a model is whole."""
+
+    def run(self, store_every: int | None = None) -> None:
+        store_every = store_every or STORE_EVERY
+        for done in range(self.settings.rounds + 1):
+            active = [f for f in self.fits if not f.done]
+            if self.settings.objective == "ndcg" and active:
+                self._find_leaders(active)
+                active = [f for f in active if not f.done]
+            if not active or done == self.settings.rounds:
+                break
+            self._grow(active)
+            if done % store_every == store_every - 1:
+                self.store_scores()
+
+
+class Booster(Rounds):
+    """Fits one model for every part of a table, all in the same scans."""
+
+    def __init__(self, rows: DataFrame, features: list[str], label: str, weight: str | None, parts: list[Column], settings: Settings,
+                 cuts: list[np.ndarray] | None = None):
+        """``parts`` tells, per model, which rows train it (1), which decide when it stops (2), and which it does not see (0).
+
+        ``rows`` should be stored. Missing features and labels count as 0.
+        """
+        self.spark, self.features, self.settings = rows.sparkSession, features, settings
+        ship_package(self.spark)
+        self.cuts = cuts or quantile_cuts(rows, features, settings.bins)
+        self.bins = max(map(len, self.cuts)) + 1
+        self.direction = np.array([settings.direction.get(c, 0) for c in features])
+        self.fits = [_Fit(i) for i in range(len(parts))]
+        plain = rows.select(
+            *[_plain(c).alias(f"f{i}") for i, c in enumerate(features)], _plain(label).alias("y"),
+            (_plain(weight) if weight else F.lit(1.0)).alias("w"), F.array(*[p.cast("int") for p in parts]).alias("parts"),
+        )
+        plain = plain.filter(F.exists("parts", lambda p: p != 0))
+        self.rows = plain.count()
+        self.path = scratch_path(self.spark, "boost")
+        plain = plain.coalesce(self.rows // PART_ROWS + 1)  # fewer tasks for few rows; more rows keep their partitions
+        plain.mapInArrow(_pack(self.cuts, len(parts)), _BLOCKS).write.parquet(self.path)
+        self.blocks = self.spark.read.schema(_BLOCKS).parquet(self.path)
+        self._begin(plain)
+
+    def _begin(self, plain: DataFrame) -> None:
+        n = len(self.fits)
+        self.one = unit_of(self.rows)
+        if self.settings.objective == "squared":
+            inside = [F.when(F.col("parts")[i] == TRAIN, F.col("w")) for i in range(n)]
+            row = plain.agg(*[F.sum(c * F.col("y")).alias(f"y{i}") for i, c in enumerate(inside)], *[F.sum(c).alias(f"w{i}") for i, c in enumerate(inside)]).first()
+            for i, fit in enumerate(self.fits):
+                fit.start = row[f"y{i}"] / row[f"w{i}"] if row[f"w{i}"] else 0.0
+            return
+        for i, fit in enumerate(self.fits):
+            for part, most in ((TRAIN, LEADERS), (VALID, VALID_PLACES)):
+                best = plain.filter(F.col("parts")[i] == part).orderBy(F.desc("y")).limit(most).select("y").collect()
+                top = sum(r["y"] / np.log2(at + 2) for at, r in enumerate(best))
+                fit.top_gain, fit.valid_gain = (top, fit.valid_gain) if part == TRAIN else (fit.top_gain, top)
+
+    def _few(self) -> bool:
+        return self.blocks.rdd.getNumPartitions() <= DIRECT_PARTS
+
+    def sums(self, shared: list[_Shared]) -> tuple[dict[tuple[int, int], np.ndarray], dict[int, np.ndarray]]:
+        """Sums (feature, bin, 3) of every open (model, node slot), and the further sums of every model."""
+        found = self.blocks.mapInArrow(_histograms(shared, len(self.features), self.bins, len(self.fits), self.settings, self.one), _SUMS)
+        if not self.few:
+            keys = ["model", "slot", "feature", "bin"]
+            found = found.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+        cells = {(m.number, s): np.zeros((len(self.features), self.bins, 3), np.int64) for m in shared for s in range(int(m.slots.max()) + 1)}
+        cells |= {(m.number, -1): np.zeros(3, np.int64) for m in shared}
+        _add_up(cells, [c.to_numpy() for c in found.toArrow().columns], len(self.features), self.bins)
+        unit = np.array([self.one, self.one, 1.0])
+        return {k: v / unit for k, v in cells.items() if k[1] >= 0}, {m.number: cells[m.number, -1] / self.one for m in shared}
+
+    def picks(self, shared: list[_Shared], bounds: dict[tuple[int, int], tuple[float, float]], scale: dict[int, float]):
+        """The best split of every open (model, node slot), and the further sums of every model.
+
+        The sums of a node meet in one task, which picks its split: the driver gets one row per node, whatever the number of tasks.
+        """
+        found = self.blocks.mapInArrow(_histograms(shared, len(self.features), self.bins, len(self.fits), self.settings, self.one), _SUMS)
+        if self.parts > 1:
+            found = found.repartition(min(len(bounds), self.spark.sparkContext.defaultParallelism), "model", "slot")
+        picker = _picker(bounds, scale, (len(self.features), self.bins), self.one, self.direction, self.settings)
+        rows = found.mapInArrow(picker, _PICKS).toArrow().to_pylist()
+        splits = {
+            (r["model"], r["slot"]): Split(r["feature"], r["border"], r["gain"], (r["lg"], r["lh"], r["ln"]), (r["rg"], r["rh"], r["rn"]))
+            for r in rows if r["slot"] >= 0
+        }
+        more = {m.number: np.zeros(3) for m in shared} | {r["model"]: np.array([r["lg"], r["lh"], r["ln"]]) for r in rows if r["slot"] < 0}
+        return splits, more
+
+    def leading(self, fits: list[_Fit], places: dict[int, int]) -> list[dict]:
+        found = self.blocks.mapInArrow(_leading([self._shared(f) for f in fits], len(self.features), len(self.fits), self.settings.rate, places), _LEADING)
+        if not self.few:
+            found = found.repartition(1).mapInArrow(_merge_leading(places), _LEADING)  # no more than 40 rows a task and model
+        return _first(found.toArrow().to_pylist(), places)
+
+    def store_scores(self) -> None:
         """Write the scores of all rows anew and drop the former blocks."""
         changed = [self._shared(f) for f in self.fits]
         path = scratch_path(self.spark, "boost")
@@ -587,19 +641,19 @@ class Booster:
         for f in self.fits:
             f.stored = len(f.trees)
 
+    def held(self) -> bool:
+        """Whether a task may hold the rows of a model for its whole fit."""
+        return self.rows * (len(self.features) + HELD_ROW) <= HELD_BYTES
+
     def fit(self) -> list[Model]:
-        self.parts = self.blocks.rdd.getNumPartitions()
-        self.few = self._few()
-        for done in range(self.settings.rounds + 1):
-            active = [f for f in self.fits if not f.done]
-            if self.settings.objective == "ndcg" and active:
-                self._find_leaders(active)
-                active = [f for f in active if not f.done]
-            if not active or done == self.settings.rounds:
-                break
-            self._grow(active)
-            if done % STORE_EVERY == STORE_EVERY - 1:
-                self._store_scores()
+        if self.held():
+            from routegauge.operators.held_rows import fit_held
+
+            self.fits = fit_held(self)
+        else:
+            self.parts = self.blocks.rdd.getNumPartitions()
+            self.few = self._few()
+            self.run()
         discard(self.spark, self.path)
         out = []
         for f in self.fits:
