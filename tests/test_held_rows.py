@@ -1,7 +1,10 @@
 """Fits by tasks that hold their rows: the trees of the scans, in a few jobs."""
 
+import time
+
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from routegauge.operators import boosting as B
@@ -43,7 +46,7 @@ def test_held_rows_give_the_trees_of_the_scans_in_a_few_jobs(table, monkeypatch,
     held, jobs = fitted(table, monkeypatch, True, **changed)
     scanned, many = fitted(table, monkeypatch, False, **changed)
     assert held == scanned and all(held)
-    assert jobs <= 2 < many
+    assert jobs == 3 < many  # one for every model
 
 
 def test_tables_beyond_the_bound_are_scanned(table):
@@ -56,3 +59,24 @@ def test_tables_beyond_the_bound_are_scanned(table):
 def test_rows_that_no_model_sees_are_not_kept(table):
     booster = B.Booster(table, FEATURES, "gain", None, [F.when(F.col("id") < 90, B.TRAIN).otherwise(0)], B.Settings(rounds=1))
     assert booster.rows == 90
+
+
+def test_models_are_fitted_by_tasks_of_their_own(table, tmp_path):
+    """All tasks wait for one another, so fits one after the other would not end."""
+    from routegauge.operators import held_rows
+
+    class Waiting(B.Settings):
+        def __getattribute__(self, name):
+            if name == "rounds" and TaskContext.get() is not None:
+                (tmp_path / f"{TaskContext.get().taskAttemptId()}").touch()
+                end = time.time() + 60
+                while len(list(tmp_path.iterdir())) < 3:
+                    if time.time() > end:
+                        raise TimeoutError
+                    time.sleep(0.05)
+            return super().__getattribute__(name)
+
+    parts = [F.when(F.col("id") % 4 == k, 0).otherwise(B.TRAIN) for k in range(3)]
+    booster = B.Booster(table, FEATURES, "gain", None, parts, B.Settings(rounds=2))
+    booster.settings = Waiting(rounds=2)
+    assert [len(f.trees) for f in held_rows.fit_held(booster)] == [2, 2, 2]
